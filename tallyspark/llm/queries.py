@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing
+from . import jaccard, mixing, packing, pii, quality
 
-MODULES = (packing, jaccard, mixing)
+MODULES = (quality, packing, jaccard, pii, mixing)
 
 
 def queries() -> dict:
