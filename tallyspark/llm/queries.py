@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, pii, quality
+from . import jaccard, langid, mixing, packing, pii, quality
 
-MODULES = (quality, packing, jaccard, pii, mixing)
+MODULES = (quality, packing, jaccard, pii, langid, mixing)
 
 
 def queries() -> dict:
