@@ -1,13 +1,16 @@
 """Exact Jaccard self-join of word-shingle sets, through a token-group matrix.
 
-1. A document's set is hashed to 64-bit tokens.  Equal sets form one class (a class's fingerprint has 128 bits).
-2. Each class keeps its `REGION` lowest tokens.  Tokens that many regions hold are common; they come last in the order of
-   tokens.  Any order is exact: two sets that link share a token among the first n - ceil(t n) + 1 of both.
-3. Sets that share such a token meet.  Each is first tried against the least of them (its hub); linked ones form a group.
-4. Token-group matrix: groups are cut into blocks of at most BLOCK sets, and each keeps the union of its tokens.  A set
-   meets a block of another group only where they share a token; the block is opened only if the set's overlap with the
-   union can reach the least overlap a link needs, and only then its sets are compared one by one.
-5. Links give components.  No pair within a group is ever listed once the group is known to be linked.
+1. A document's set is hashed to 64-bit tokens.  Equal sets form one class (its fingerprint has 128 bits).
+2. Groups of similar sets.  Two sets that link differ in at most D tokens, D being fixed by the larger's size.  So if the
+   token space is cut into D + 1 segments, they agree on all tokens of one segment: each set goes into one group for
+   each segment, keyed by the segment's contents.  (Sizes are cut into classes, each with its own D; a set also goes into
+   the next class up, where a larger partner may be.)  A group's members share a few shingles and miss the same ones, so
+   one frequent shingle or passage brings no groups together.
+3. Each group's members are tried against one of them, the hub: the one that meets most others.
+4. Token-group matrix, for groups whose members are not yet all linked: a group is cut into blocks of at most BLOCK sets;
+   each block keeps the union of its tokens.  A set outside the group's largest linked part is bounded by its overlap with
+   the union, and only a block whose bound allows a link is opened and its sets compared one by one.
+5. Links give components.  Pairs within what is known to be linked are never listed.
 """
 
 from __future__ import annotations
@@ -25,10 +28,9 @@ from .components import components
 
 #: Words in a shingle and percent of similarity, of near-duplicate operators in general.
 SHINGLE, PERCENT = 5, 80
-#: Lowest tokens kept, as a multiple of those the order needs; regions in which a token is common; sets in a block, and
-#: queries that one task holds against a block.
-REGION, COMMON, BLOCK, QUERIES = 1.6, 48, 64, 512
-#: Rows up to which a list of tokens or ids is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
+#: Sets in a block, and queries that one task holds against a block.
+BLOCK, QUERIES = 64, 512
+#: Rows up to which a list of ids is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -40,9 +42,26 @@ def tokens(text: str | None, k: int) -> np.ndarray:
     return np.unique(C.Rolling(w).windows(k) if len(w) >= k else C.Rolling(w).spans(np.array([0]), np.array([len(w)])))
 
 
-def need(n, percent: int):
-    """Tokens at the start of the order that a set of n needs: n - ceil(t n) + 1."""
-    return n - -(-n * percent // 100) + 1
+def size_class(n: int, percent: int) -> int:
+    """Classes of sizes; a set of n links only with its own class and the two beside it."""
+    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+
+
+def keys(t: np.ndarray, percent: int) -> np.ndarray:
+    """The groups of a set of rising tokens."""
+    out = [np.zeros(0, np.uint64)]
+    if len(t):
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(C.mix(t ^ np.uint64(0x5851F42D4C957F2D)))))
+        own = size_class(len(t), percent)
+        for c in (own, own + 1):
+            top = int(np.ceil((100 / percent) ** (c + 1) + 1e-6))
+            differ = 2 * top * (100 - percent) // (100 + percent)
+            if differ:
+                m = differ + 1
+                at = np.searchsorted(t >> np.uint64(32), (np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
+                salt = C.mix(np.arange(m, dtype=np.uint64) + np.uint64((c + 1) << 40))
+                out.append(C.mix((sums[at[1:]] - sums[at[:-1]]) ^ salt))
+    return np.concatenate(out)
 
 
 def _print(t: np.ndarray) -> bytes:
@@ -51,43 +70,16 @@ def _print(t: np.ndarray) -> bytes:
     return b"".join(int(x[0]).to_bytes(8, "big") for x in (C.Rolling(t, 1).spans(end * 0, end), C.Rolling(C.mix(t)).spans(end * 0, end)))
 
 
-def _regions(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, fp, low = [], [], []
-            for text in b.column("text").to_pylist():
-                t = tokens(text, k)
-                n.append(len(t))
-                fp.append(_print(t))
-                low.append(np.sort(t.view(np.int64))[: int(REGION * need(len(t), percent)) + 1] if len(t) else t.view(np.int64))
-            flat = pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))
-            region = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), region], ["doc_id", "n", "fp", "region"])
-
-    return run
-
-
-def _first(region: np.ndarray, n: int, hot: np.ndarray, percent: int) -> np.ndarray | None:
-    """What the order needs of a set of n whose lowest tokens are given; None if more of the set must be seen."""
-    p = need(n, percent)
-    at = np.minimum(np.searchsorted(hot, region), max(0, len(hot) - 1))
-    common = hot[at] == region if len(hot) else np.zeros(len(region), bool)
-    rare = region[~common]
-    if len(rare) < p and len(region) < n:
-        return None
-    return np.concatenate([rare, region[common]])[:p]
-
-
-def _starts(hot, percent: int):
-    """Regions to (rep, n, first); first is null where the whole set must be seen."""
+def _grouped(k: int, percent: int):
+    """(doc_id, text) to (doc_id, n, fp, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column("n").to_pylist()
-            region, flat = b.column("region"), b.column("region").values.to_numpy()
-            at = region.offsets.to_numpy()
-            first = [_first(flat[at[i] : at[i + 1]], n[i], hot.value, percent) for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array(first, pa.list_(pa.int64()))], ["rep", "n", "first"])
+            sets = [tokens(x, k) for x in b.column("text").to_pylist()]
+            made = [keys(t, percent).view(np.int64) for t in sets]
+            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
+            made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), pa.array([_print(t) for t in sets], pa.binary()), made], ["doc_id", "n", "fp", "keys"])
 
     return run
 
@@ -103,16 +95,6 @@ def _sets(k: int):
     return run
 
 
-def _late(hot, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.sort(np.frombuffer(s, np.int64)) for s in b.column("s").to_pylist()]
-            first = [_first(s, len(s), hot.value, percent) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["rep", "n", "first"])
-
-    return run
-
-
 def _open(percent: int):
     """Queries (rep, s) and one block (brep, bs) to linked pairs."""
 
@@ -163,51 +145,37 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
     Documents link when 100 * |A & B| >= percent * |A | B|.  A text with fewer words than a shingle is one shingle; without
     words (or null) its set is empty, and it is its own component.  A row with a null id links with nothing and has a null
     component.  Repeated ids are one node.  An empty table gives an empty result."""
-    made = C.cut(docs.select("doc_id", "text").mapInArrow(_regions(shingle, percent), "doc_id long, n long, fp binary, region array<long>"))
-    one = F.min(F.struct(F.col("doc_id").alias("least"), "n", "region"))
+    made = C.cut(docs.select("doc_id", "text").mapInArrow(_grouped(shingle, percent), "doc_id long, n long, fp binary, keys array<long>"))
+    one = F.min(F.struct(F.col("doc_id").alias("least"), "n"))
     classes = made.filter("n > 0 and doc_id is not null").groupBy("fp").agg(one.alias("r"))
     classes = C.cut(classes.select(F.xxhash64("fp").alias("rep"), "fp", "r.*"))
 
-    # The order of tokens.  Which tokens are common is a matter of cost alone, so the list may be cut to a broadcast's size.
-    counts = C.cut(classes.select(F.explode("region").alias("token")).groupBy("token").count().filter(F.col("count") > COMMON))
-    least = COMMON
-    while counts.filter(F.col("count") > least).count() > BROADCAST_ROWS:
-        least *= 2
-    hot = np.sort(counts.filter(F.col("count") > least).select("token").toPandas()["token"].to_numpy(np.int64))
-    hot = spark.sparkContext.broadcast(hot)
-    schema = "rep long, n long, first array<long>"
-    start = C.cut(classes.select("rep", "n", "region").mapInArrow(_starts(hot, percent), schema))
-    late = _load(docs, classes.join(start.filter("first is null").select("rep"), "rep"), shingle).mapInArrow(_late(hot, percent), schema)
-    first = start.filter("first is not null").unionByName(late)
-    first = C.cut(first.select("rep", "n", F.explode("first").alias("token")))
-
-    # Sets that share a token, and the one of them whose start is shared most: a text that others were made from.
-    shared = first.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    met = C.cut(first.join(shared, "token"))
-    score = met.groupBy("rep", "n").agg(F.count("*").alias("met"))
-    score = score.select("rep", (F.col("met") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
+    # Copies carry the same keys; counting distinct classes of a key needs only the least and the greatest.
+    row = made.filter("n > 0 and doc_id is not null").select(F.xxhash64("fp").alias("rep"), "n", "doc_id", "fp", F.explode("keys").alias("key"))
+    shared = row.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("key")
+    met = row.join(shared, "key").select("key", "rep", "n").distinct()
+    met = C.cut(met)
+    score = met.groupBy("rep", "n").agg(F.count("*").alias("met")).select("rep", (F.col("met") / F.col("n")).alias("score"))
     met = met.join(score, "rep")
-    hub = met.groupBy("token").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("token", "h.hub", "h.hub_n")
-    met = C.cut(met.join(hub, "token").drop("score"))
+    hub = met.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.hub", "h.hub_n")
+    met = C.cut(met.join(hub, "key").drop("score"))
     sets = C.cut(_load(docs, classes.join(met.select("rep").distinct(), "rep"), shingle))
 
     star = met.filter("rep <> hub").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     star = star.select("rep", F.col("hub").alias("g")).distinct()
     links = _links(sets, star, star.select(F.col("g").alias("rep"), "g").distinct(), percent)
 
-    # Groups: what is linked so far, and what met at one hub without a link.  Blocks of them are the columns of the matrix.
-    group = components(links).withColumnRenamed("id", "rep")
-    member = met.groupBy("rep").agg(F.min("hub").alias("hub")).join(group, "rep", "left")
-    member = C.cut(member.select("rep", F.coalesce("component", "rep").alias("component"), F.coalesce("component", "hub").alias("g"), F.col("component").isNotNull().alias("linked")))
-    parts = member.groupBy("g", "linked").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    block = F.xxhash64("g", "linked", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    member = C.cut(member.join(parts, ["g", "linked"]).select("rep", "component", "linked", block.alias("g")))
-    seen = met.select("rep", "token").join(member, "rep")
-    mixed = seen.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
-    seen = C.cut(seen.join(mixed, "token"))
-    holds = seen.select("token", "g", F.when(F.col("linked"), F.col("component")).alias("other")).distinct()
-    ask = seen.select("token", "rep", "component").join(holds, "token").filter("other is null or component <> other").select("rep", "g")
-    links = C.cut(links.unionByName(_links(sets, ask, member.select("rep", "g"), percent)))
+    # Groups that are not linked throughout, and the largest linked part of each.
+    part = components(links).withColumnRenamed("id", "rep")
+    met = C.cut(met.select("key", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    per = met.groupBy("key", "component").agg(F.count("*").alias("k"))
+    per = per.groupBy("key").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    met = met.join(per.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.col("m.component").alias("major")), "key")
+    met = C.cut(met)
+    member = met.select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).alias("g"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    ask = met.filter("component <> major").select("key", "rep", each).select("rep", F.xxhash64("key", "block").alias("g"))
+    links = C.cut(links.unionByName(_links(sets, ask, member, percent)))
     links = C.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
 
     # Back from classes to rows.
