@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, pii, quality, substrings, toxicity
+from . import jaccard, langid, media, mixing, packing, pii, quality, substrings, toxicity
 
-MODULES = (quality, packing, jaccard, pii, toxicity, substrings, langid, mixing)
+MODULES = (quality, packing, jaccard, pii, media, toxicity, substrings, langid, mixing)
 
 
 def queries() -> dict:
