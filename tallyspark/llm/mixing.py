@@ -17,13 +17,15 @@ BITS, LEVEL = 60, 12
 BROADCAST_SOURCES = 100_000
 
 
-def sizes(docs: DataFrame, size=None) -> DataFrame:
-    """docs as (doc_id, source, size, h): h is a 60-bit hash of id and text, so only repeated rows tie."""
-    unit = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), C.text_of(F.col("text"))))
-    return docs.select(
-        "doc_id", "source", (C.n_words(F.col("text")) if size is None else size).alias("size"),
-        F.conv(F.substring(unit, 1, BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+def unit(doc_id: str = "doc_id", text: str = "text"):
+    """A 60-bit hash of id and text, so that only repeated rows tie."""
+    both = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), C.text_of(F.col(text)))
+    return F.conv(F.substring(F.md5(both), 1, BITS // 4), 16, 10).cast("long")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, source, size, h)."""
+    return docs.select("doc_id", "source", C.n_words(F.col("text")).alias("size"), unit().alias("h"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
@@ -73,22 +75,37 @@ def thresholds(sized: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
     return out.withColumn("limit", F.coalesce("limit", F.lit((1 << BITS) - 1)))  # the budget holds all
 
 
+def limits(sized: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
+    """(s, source_size, target, base, limit): one row per source, its name as s; ready to be joined."""
+    goal = C.cut(targets(sized, weights, share_percent, most))
+    n = goal.count()
+    return C.small(C.cut(thresholds(sized, goal, n).withColumnRenamed("source", "s").drop("budget")), n, BROADCAST_SOURCES)
+
+
+def _copies(h, most: int):
+    return F.least(F.lit(most).cast("long"), F.col("base") + (h <= F.col("limit")).cast("long"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, h, limit.
+    """One row per row of docs: doc_id, source, size, source_size, target, h, limit, copies, taken.
 
     A row is taken `copies` times, whole; taken = size * copies.  A source's sum is as near to its target as a threshold on
     h allows.  Null text has size 0; null is a source of its own; repeated rows share their fate; an empty table gives an
     empty result."""
     sized = C.cut(sizes(docs))
-    goal = C.cut(targets(sized, weights, share_percent, most))
-    n = goal.count()
-    limits = C.cut(thresholds(sized, goal, n)).withColumnRenamed("source", "s")
-    out = sized.join(C.small(limits, n, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    copies = F.least(F.lit(most), F.col("base") + (F.col("h") <= F.col("limit")).cast("long")).alias("copies")
-    out = out.select("doc_id", "source", "size", "source_size", "target", "h", "limit", copies)
+    out = sized.join(limits(sized, weights, share_percent, most), F.col("source").eqNullSafe(F.col("s")))
+    out = out.select("doc_id", "source", "size", "source_size", "target", "h", "limit", _copies(F.col("h"), most).alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def sample(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix() takes it.  Texts are not shuffled."""
+    goal = limits(C.cut(sizes(docs)), weights, share_percent, most)
+    out = docs.withColumn("_unit_", unit()).join(goal, F.col("source").eqNullSafe(F.col("s")))
+    each = F.explode(F.array_repeat(F.lit(0), _copies(F.col("_unit_"), most).cast("int")))
+    return out.select(*(docs[c] for c in docs.columns), each.alias("_copy_")).drop("_copy_")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
