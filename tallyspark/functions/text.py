@@ -48,7 +48,7 @@ def header(c: Column) -> Column:
 def date_of(c: Column) -> Column:
     """dd/mm/yyyy, dd/mm/yy, yyyy-mm-dd or a spreadsheet's serial number; else null."""
     s = F.trim(c)
-    by = [F.when(s.rlike(p), F.try_to_date(s, F.lit(f))) for p, f in ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))]
+    by = [F.when(s.rlike(p), F.try_to_date(s, f)) for p, f in ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))]
     serial = F.when(s.rlike(r"^\d{1,6}(\.\d+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(s.try_cast("double")).cast("int")))
     return F.coalesce(*by, serial)
 
