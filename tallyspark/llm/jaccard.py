@@ -139,8 +139,7 @@ def _links(sets: DataFrame, queries: DataFrame, blocks: DataFrame, percent: int)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (links of its
-    class to other texts).
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Documents link when 100 * |A & B| >= percent * |A | B|.  A text with fewer words than a shingle is one shingle; without
     words (or null) its set is empty, and it is its own component.  A row with a null id links with nothing and has a null
@@ -165,28 +164,31 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
     star = star.select("rep", F.col("hub").alias("g")).distinct()
     links = _links(sets, star, star.select(F.col("g").alias("rep"), "g").distinct(), percent)
 
-    # Groups that are not linked throughout, and the largest linked part of each.
+    # Groups that are not linked throughout, without their hubs (those have been tried), and the largest linked part of each.
     part = components(links).withColumnRenamed("id", "rep")
-    met = C.cut(met.select("key", "rep").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    per = met.groupBy("key", "component").agg(F.count("*").alias("k"))
-    per = per.groupBy("key").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    met = met.join(per.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.col("m.component").alias("major")), "key")
-    met = C.cut(met)
-    member = met.select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).alias("g"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    ask = met.filter("component <> major").select("key", "rep", each).select("rep", F.xxhash64("key", "block").alias("g"))
-    links = C.cut(links.unionByName(_links(sets, ask, member, percent)))
+    rest = met.filter("rep <> hub").select("key", "rep", "hub").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = C.cut(rest)
+    per = rest.groupBy("key", "component").agg(F.count("*").alias("k"))
+    per = per.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    rest = C.cut(rest.join(per.select("key", F.col("m.component").alias("major")), "key"))
+    # Each set stands in one block, with others that share its least hub: texts much alike share many keys.
+    member = rest.groupBy("rep", "component").agg(F.min("hub").alias("hub"))
+    blocks = member.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    member = C.cut(member.join(blocks, "hub").select("rep", "component", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("g")))
+    one = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).select("g", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
+    holds = rest.select("key", "rep").join(member.select("rep", "g"), "rep").select("key", "g").distinct().join(one, "g")
+    ask = rest.filter("component <> major").select("key", "rep", "component").join(holds, "key")
+    ask = ask.filter("only is null or only <> component").select("rep", "g").distinct()
+    links = C.cut(links.unionByName(_links(sets, ask, member.select("rep", "g"), percent)))
     links = C.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
 
     # Back from classes to rows.
     name = components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep")
     smallest = name.groupBy("component").agg(F.min("least").alias("component_id"))
     name = name.join(smallest, "component").select("rep", "component_id")
-    degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("rep", "fp", "least").join(name, "rep", "left").join(degree, "rep", "left")
-    named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    named = classes.select("rep", "fp", "least").join(name, "rep", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     out = made.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("fp")).alias("fp")).join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _load(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:

@@ -20,6 +20,8 @@ CODED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: Distinct instances that a pattern needs, rounds of scoring, and the share of a pattern's occurrences that must be
 #: identifiers for it to be trusted.
 INSTANCES, ROUNDS, TRUST = 3, 3, 0.6
+#: One in so many documents gives the first bound on how often a context occurs.
+SHARE = 32
 #: Rows up to which a table of patterns is broadcast.
 BROADCAST_ROWS = 200_000
 _BLOCK = 256
@@ -70,7 +72,7 @@ def found(docs: DataFrame) -> DataFrame:
     trimmed = "regexp_replace(m.v, r'^[^\\p{L}\\p{N}+]+|[^\\p{L}\\p{N}]+$', '')"
     lead = "char_length(m.v) - char_length(regexp_replace(m.v, r'^[^\\p{L}\\p{N}+]+', ''))"
     occ = f"transform(at_coded, (m, i) -> named_struct('pattern', {_context('where[i]')}, 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
-    df = df.withColumn("occ", F.expr(f"filter({occ}, o -> o.pattern is not null and char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3)"))
+    df = df.withColumn("occ", F.expr(f"filter({occ}, o -> o.pattern is not null and (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
     return df.select(*docs.columns, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
 
 
@@ -89,15 +91,24 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
     unseen instance's score is the noisy-or of its patterns'.  Scores go back and forth for `rounds`."""
     edges = spotted.select(F.explode("occ").alias("o")).select("o.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = C.cut(edges)
-    many = C.cut(edges.groupBy("pattern").agg(F.count("*").alias("k"), F.max("seed").alias("seed")).filter(F.col("k") >= instances).select("pattern"))
+    many = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("coded")).filter(F.col("k") >= instances)
+    many = C.cut(many.select("pattern", "coded", F.lit(0).cast("long").alias("total")))
+    # A count over some documents is a lower bound: patterns that it rules out needn't be counted over all.
+    for share in (SHARE, 1):
+        n = many.count()
+        if not n:
+            return many.select("pattern", F.lit(1.0).alias("trust"))
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) if share > 1 else docs
+        contexts = F.expr(f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> {_context('i')}))")
+        every = some.select(C.words(F.col("text")).alias("w")).select(F.explode(contexts).alias("pattern"))
+        known = C.small(many.select("pattern"), n, BROADCAST_ROWS)
+        totals = every.join(known, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+        many = many.drop("total").join(totals, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+        many = C.cut(many.filter(F.col("coded") >= trust * F.col("total")))
     n = many.count()
     if not n:
-        return many.withColumn("trust", F.lit(1.0))
-    many = C.small(many, n, BROADCAST_ROWS)
-    w = docs.select(C.words(F.col("text")).alias("w"))
-    every = w.select(F.explode(F.expr(f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> {_context('i')}))")).alias("pattern"))
-    totals = C.cut(every.join(many, "pattern").groupBy("pattern").agg(F.count("*").alias("total")))
-    edges = C.cut(edges.join(C.small(totals, n, BROADCAST_ROWS), "pattern"))
+        return many.select("pattern", F.lit(1.0).alias("trust"))
+    edges = C.cut(edges.join(C.small(many.select("pattern", "total"), n, BROADCAST_ROWS), "pattern"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         share = F.sum(F.col("n") * F.col("score")) / F.first("total")
