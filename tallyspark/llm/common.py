@@ -64,6 +64,14 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def aside(df: DataFrame, needed: list[str], results: set[str]) -> tuple[DataFrame, list[Column]]:
+    """df with all but the needed columns under names that no operator uses, and the columns that bring them back; those
+    named as a result give way to it."""
+    rest = [c for c in df.columns if c not in needed]
+    made = df.select(*needed, *(F.col(f"`{c}`").alias(f"_x{i}_") for i, c in enumerate(rest)))
+    return made, [F.col(f"_x{i}_").alias(c) for i, c in enumerate(rest) if c not in results]
+
+
 # --- numpy, inside tasks -------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

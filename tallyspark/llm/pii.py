@@ -62,6 +62,7 @@ def _joined(spans: str) -> Column:
 def found(docs: DataFrame) -> DataFrame:
     """docs with key (of the row), n_<kind>, base: array of (start, kind_no, stop, kind), and occ: the coded words that
     could be identifiers, as (pattern, instance, start, stop, seed)."""
+    docs, back = C.aside(docs, ["doc_id", "text"], {"key", "base", "occ", "all", "more", *(f"n_{k}" for k in FORMATS)})
     df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", C.words(F.col("text")))
     df = _positions(df, "t", FORMATS | {"coded": CODED})
     for i, k in enumerate(FORMATS):
@@ -73,7 +74,7 @@ def found(docs: DataFrame) -> DataFrame:
     lead = "char_length(m.v) - char_length(regexp_replace(m.v, r'^[^\\p{L}\\p{N}+]+', ''))"
     occ = f"transform(at_coded, (m, i) -> named_struct('pattern', {_context('where[i]')}, 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
     df = df.withColumn("occ", F.expr(f"filter({occ}, o -> o.pattern is not null and (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
-    return df.select(*docs.columns, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
+    return df.select("doc_id", "text", *back, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
 
 
 def _context(i: str) -> str:
@@ -124,7 +125,8 @@ def extract(spark: SparkSession, docs: DataFrame, instances: int = INSTANCES, ro
     """docs with n_email, n_ip, n_card, n_phone, base and all: arrays of spans (start, kind_no, stop, kind), code points,
     end exclusive, by start and kind.  `all` adds spans of kind `context`, which no base span overlaps.
 
-    Null text counts as empty; equal rows get equal spans; an empty table gives an empty result."""
+    Null text counts as empty; equal rows get equal spans; an empty table gives an empty result.  Columns of docs named as
+    results, key, occ or more give way."""
     spotted = C.cut(found(docs))
     patterns = trusted(docs, spotted, instances, rounds, trust)
     n = patterns.count()

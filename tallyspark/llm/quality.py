@@ -30,7 +30,8 @@ def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; null text counts as empty.
 
     Repeated windows are found within the row: each window's hash carries its place, one primitive sort brings equal ones
-    together, and full hashes confirm them."""
+    together, and full hashes confirm them.  A column of docs that is named as one of these gives way."""
+    docs, back = C.aside(docs, ["text"], {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"})
     cols = [c for c in docs.columns if c != "text"]
     df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", C.words(F.col("text")))
     df = df.select(*cols, "t", "w", F.expr("if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))").alias("h"))
@@ -45,7 +46,7 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select("*", lines.alias("lines"))
     return df.select(
-        *cols, F.size("w").cast("long").alias("n_words"), F.char_length(F.translate("t", C.SPACES, "")).cast("long").alias("word_chars"),
+        *back, F.size("w").cast("long").alias("n_words"), F.char_length(F.translate("t", C.SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
@@ -85,11 +86,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: Colu
 
     A stratum (by default the language, null as one of its own) with too few labels gets no cutoff and loses nothing
     beyond base.  Several labels of one id count as bad if any is; null labels count for nothing; an empty table gives an
-    empty result."""
+    empty result.  Columns of docs with the names of results give way."""
+    docs = docs.drop("stratum", "kept", *(f"cut_{r}" for r in RULES))
     stratum = F.coalesce(F.col("lang"), F.lit("")) if stratum is None else stratum
     made = C.cut(features(docs).withColumn("stratum", stratum))
     truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    cuts = C.cut(cutoffs(made.join(truth, "doc_id"), risk, delta))
+    cuts = C.cut(cutoffs(made.drop("quality").join(truth, "doc_id"), risk, delta))
     out = made.join(C.small(cuts, cuts.count(), BROADCAST_STRATA), "stratum", "left")
     over = [F.coalesce(F.expr(f"n_words > 0 and {v} > cut_{r}"), F.lit(False)) for r, (v, _) in RULES.items()]
     rejected = over[0]

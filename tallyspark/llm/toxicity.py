@@ -175,7 +175,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROW
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1; null counts as empty text): a map over the table, no shuffle."""
+    """docs with score (0 to 1; null counts as empty text): a map over the table, no shuffle.  A column score gives way."""
+    docs = docs.drop("score")
     shared = spark.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
