@@ -50,8 +50,9 @@ def _positions(df: DataFrame, text: str, formats: dict[str, str]) -> DataFrame:
     df = df.select("*", *(F.expr(f"if(size(l_{k}) = 0, array(), transform(sequence(0, (size(l_{k}) - 1) div {_BLOCK}), b -> slice(l_{k}, int(b * {_BLOCK} + 1), {_BLOCK})))").alias(f"b_{k}") for k in formats))
     total = "aggregate({}, 0, (a, y) -> a + y)"
     df = df.select("*", *(F.expr(f"transform(b_{k}, x -> {total.format('x')})").alias(f"s_{k}") for k in formats))
-    before = f"{total.format('slice(s_{0}, 1, b)')} + {total.format('slice(x, 1, i)')}"
-    df = df.select("*", *(F.expr(f"flatten(transform(b_{k}, (x, b) -> transform(x, (y, i) -> {before.format(k)})))").alias(f"p_{k}") for k in formats))
+    # The sums are bound to a variable: a column that is used once would be computed anew for each block.
+    before = f"{total.format('slice(s, 1, b)')} + {total.format('slice(x, 1, i)')}"
+    df = df.select("*", *(F.expr(f"flatten(transform(array(s_{k}), s -> flatten(transform(b_{k}, (x, b) -> transform(x, (y, i) -> {before})))))").alias(f"p_{k}") for k in formats))
     return df.select(*keep, *(F.expr(f"transform(v_{k}, (v, i) -> named_struct('start', p_{k}[i] + g_{k}[i], 'stop', p_{k}[i] + g_{k}[i] + char_length(v), 'v', v))").alias(f"at_{k}") for k in formats))
 
 
