@@ -55,13 +55,13 @@ def axis(ledger: DataFrame) -> DataFrame:
 
 
 def consumption(ledger: DataFrame) -> DataFrame:
-    """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit): which exit took how much
-    of which lot.  A lot costs valor / quantidade, 0 if either is missing."""
+    """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit, saida_data, entrada_data): which
+    exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs valor / quantidade, 0 if either is missing."""
     rows = axis(ledger).filter("casado > 0")
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
     at = W.partitionBy("produto_id").orderBy("lo", "tipo").rowsBetween(_FIRST, 0)
-    lot = F.last(F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "hi", unit.alias("unit"))), True).over(at)
-    out = F.last(F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "hi")), True).over(at)
+    lot = F.last(F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "data_mov", "hi", unit.alias("unit"))), True).over(at)
+    out = F.last(F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "data_mov", "hi")), True).over(at)
     # Rows that start at one point see each other only at the last of them.
     final = F.lead("lo").over(W.partitionBy("produto_id").orderBy("lo", "tipo"))
     seen = rows.select("produto_id", "lo", lot.alias("e"), out.alias("s"), final.alias("proximo"))
@@ -70,15 +70,16 @@ def consumption(ledger: DataFrame) -> DataFrame:
     return seen.select(
         "produto_id", F.col("s.nota_id").alias("saida_nota"), F.col("s.line_no").alias("saida_linha"), F.col("e.nota_id").alias("entrada_nota"),
         F.col("e.line_no").alias("entrada_linha"), used.alias("quantidade"), F.col("e.unit").alias("custo_unit"),
+        F.col("s.data_mov").alias("saida_data"), F.col("e.data_mov").alias("entrada_data"),
     )
 
 
 def exit_costs(ledger: DataFrame) -> DataFrame:
     """Per exit: quantidade, falta, custo_total = lots taken at their cost + shortage at the estimated cost."""
-    taken = consumption(ledger).groupBy(F.col("produto_id"), F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"))
+    taken = consumption(ledger).groupBy(F.col("produto_id"), F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
     taken = taken.agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
     exits = axis(estimates(ledger)).filter("tipo = 'S'")
-    out = exits.join(taken, ["produto_id", "nota_id", "line_no"], "left")
+    out = exits.join(taken, ["produto_id", "nota_id", "line_no", "data_mov"], "left")
     total = F.coalesce("custo_lotes", F.lit(0.0)) + F.col("falta").cast("double") * F.col("est_custo")
     return out.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", total.alias("custo_total"))
 

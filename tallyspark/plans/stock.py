@@ -92,7 +92,7 @@ run AS (SELECT *, sum(CASE tipo WHEN 'E' THEN quantidade ELSE -quantidade END) O
 short AS (SELECT *, -least(0, min(r) OVER w) AS cs FROM run WINDOW w AS (PARTITION BY produto_id ORDER BY data_mov, tipo, nota_id, line_no ROWS UNBOUNDED PRECEDING)),
 fall AS (SELECT *, cs - lag(cs, 1, 0) OVER (PARTITION BY produto_id ORDER BY data_mov, tipo, nota_id, line_no) AS falta FROM short),
 axis AS (SELECT *, sum(casado) OVER (PARTITION BY produto_id, tipo ORDER BY data_mov, nota_id, line_no ROWS UNBOUNDED PRECEDING) AS hi FROM (SELECT *, quantidade - CASE tipo WHEN 'S' THEN falta ELSE 0 END AS casado FROM fall)),
-lots AS (SELECT s.produto_id, s.nota_id AS saida_nota, s.line_no AS saida_linha, e.nota_id AS entrada_nota, e.line_no AS entrada_linha,
+lots AS (SELECT s.produto_id, s.nota_id AS saida_nota, s.line_no AS saida_linha, e.nota_id AS entrada_nota, e.line_no AS entrada_linha, s.data_mov AS saida_data, e.data_mov AS entrada_data,
     least(s.hi, e.hi) - greatest(s.hi - s.casado, e.hi - e.casado) AS usado, coalesce(CASE WHEN e.valor <> 0 THEN e.valor::DOUBLE / e.quantidade::DOUBLE END, 0) AS unit
   FROM axis s JOIN axis e ON s.produto_id = e.produto_id AND s.tipo = 'S' AND e.tipo = 'E' AND s.hi - s.casado < e.hi AND e.hi - e.casado < s.hi AND s.casado > 0 AND e.casado > 0)"""
 
@@ -103,9 +103,9 @@ def fifo_consumption(spark, d):
     return out.select("produto_id", "saida_nota", "saida_linha", "entrada_nota", "entrada_linha", *V.number("quantidade", "custo_unit"))
 
 
-@Q.add(f"""{EST}{AXIS}, used AS (SELECT produto_id, saida_nota AS nota_id, saida_linha AS line_no, sum(usado::DOUBLE * unit) AS c FROM lots GROUP BY ALL)
+@Q.add(f"""{EST}{AXIS}, used AS (SELECT produto_id, saida_nota AS nota_id, saida_linha AS line_no, saida_data AS data_mov, sum(usado::DOUBLE * unit) AS c FROM lots GROUP BY ALL)
 SELECT a.produto_id, a.nota_id, a.line_no, a.data_mov, round(a.quantidade::DOUBLE, 4) AS quantidade, round(falta::DOUBLE, 4) AS falta, round(coalesce(c, 0) + falta::DOUBLE * est_custo, 2) AS custo_total
-FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no) JOIN est USING (produto_id, data_mov) WHERE a.tipo = 'S'""")
+FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no, data_mov) JOIN est USING (produto_id, data_mov) WHERE a.tipo = 'S'""")
 def exit_cost(spark, d):
     return costing.exit_costs(V.ledger(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "falta"), *V.number("custo_total", digits=2))
 
@@ -115,10 +115,10 @@ def est_cost(spark, d):
     return costing.estimates(V.ledger(spark, d)).groupBy("produto_id", "data_mov").agg(F.max("est_custo").alias("est_custo")).select("produto_id", "data_mov", *V.number("est_custo"))
 
 
-@Q.add(f"""{EST}{AXIS}, used AS (SELECT produto_id, entrada_nota AS nota_id, entrada_linha AS line_no, sum(usado) AS u FROM lots GROUP BY ALL)
+@Q.add(f"""{EST}{AXIS}, used AS (SELECT produto_id, entrada_nota AS nota_id, entrada_linha AS line_no, entrada_data AS data_mov, sum(usado) AS u FROM lots GROUP BY ALL)
 SELECT a.produto_id, a.nota_id, a.line_no, a.data_mov, round(a.quantidade::DOUBLE, 4) AS quantidade, round((a.quantidade - coalesce(u, 0))::DOUBLE, 4) AS resta,
   round((a.quantidade - coalesce(u, 0))::DOUBLE * (valor::DOUBLE / a.quantidade::DOUBLE), 2) AS valor_resta
-FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no) WHERE a.tipo = 'E' AND a.quantidade > coalesce(u, 0)""")
+FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no, data_mov) WHERE a.tipo = 'E' AND a.quantidade > coalesce(u, 0)""")
 def open_lots(spark, d):
     return costing.open_lots(V.ledger(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "resta"), *V.number("valor_resta", digits=2))
 
@@ -126,10 +126,10 @@ def open_lots(spark, d):
 CUT = EST.replace("WHERE status <> 'cancelada' AND data_mov IS NOT NULL)", f"WHERE status <> 'cancelada' AND data_mov IS NOT NULL AND data_mov <= DATE '{DAY}')")
 
 
-@Q.add(f"""{CUT}{AXIS}, used AS (SELECT produto_id, entrada_nota AS nota_id, entrada_linha AS line_no, sum(usado) AS u FROM lots GROUP BY ALL),
+@Q.add(f"""{CUT}{AXIS}, used AS (SELECT produto_id, entrada_nota AS nota_id, entrada_linha AS line_no, entrada_data AS data_mov, sum(usado) AS u FROM lots GROUP BY ALL),
 bal AS (SELECT produto_id, sum(CASE tipo WHEN 'E' THEN quantidade ELSE -quantidade END) AS saldo FROM mov GROUP BY 1),
 val AS (SELECT a.produto_id, sum(CASE a.tipo WHEN 'E' THEN (a.quantidade - coalesce(u, 0))::DOUBLE * coalesce(CASE WHEN valor <> 0 THEN valor::DOUBLE / a.quantidade::DOUBLE END, 0) ELSE -falta::DOUBLE * est_custo END) AS valor
-  FROM axis a LEFT JOIN used ON a.tipo = 'E' AND used.produto_id = a.produto_id AND used.nota_id = a.nota_id AND used.line_no = a.line_no JOIN est ON est.produto_id = a.produto_id AND est.data_mov = a.data_mov GROUP BY 1)
+  FROM axis a LEFT JOIN used ON a.tipo = 'E' AND used.produto_id = a.produto_id AND used.nota_id = a.nota_id AND used.line_no = a.line_no AND used.data_mov = a.data_mov JOIN est ON est.produto_id = a.produto_id AND est.data_mov = a.data_mov GROUP BY 1)
 SELECT produto_id, round(saldo::DOUBLE, 4) AS saldo, round(coalesce(valor, 0), 2) AS valor, round(CASE WHEN saldo > 0 THEN coalesce(valor, 0) / saldo::DOUBLE END, 2) AS custo_medio FROM bal LEFT JOIN val USING (produto_id)""")
 def stock_position(spark, d):
     return costing.position(V.ledger(spark, d), DAY).select("produto_id", *V.number("saldo"), *V.number("valor", "custo_medio", digits=2))
