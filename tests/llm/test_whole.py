@@ -1,9 +1,12 @@
 """Operators do the whole of their job: every row counts, and what is learnt shows."""
 
+import itertools
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lmscore
+from tallyspark.llm import lmscore, quality
 
 
 def test_every_training_text_shapes_the_weights(spark):
@@ -15,3 +18,29 @@ def test_every_training_text_shapes_the_weights(spark):
     start, all_of_them, but_one = lmscore.A.start(lmscore.A.Vocabulary(counts)), *(lmscore.train(spark, d, counts, ranks) for d in (rows, rows.limit(rows.count() - 1)))
     assert all(np.abs(all_of_them[n] - start[n]).max() > 0 for n in start)
     assert any(np.abs(all_of_them[n] - but_one[n]).max() > 0 for n in start)
+
+
+def test_each_quality_rule_selects_a_cutoff(spark, tmp_path):
+    """With enough labels every rule's cutoff is selected, and the documents kept are those of the SQL."""
+    good = " ".join(f"{a}{b}onde" for a, b in itertools.product("abcdefgh", "ijklmnop"))  # 64 words, none twice
+    w = good.split()
+    bad = [
+        " ".join(x + "#" * (i % 2) for i, x in enumerate(w)),
+        "\n".join(f"{' '.join(w[i : i + 3])}\nsame" for i in range(0, 63, 3)),
+        " ".join([*w, *w[:20]]),
+        " ".join(x * 5 for x in w),
+        " ".join(a + b for a, b in itertools.product("abcdefgh", "ijklmnop")),
+    ]
+    texts = [good] * 1200 + [b for b in bad for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i in range(len(texts))], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet"), labels.write.parquet(f"{tmp_path}/labels.parquet")
+    cuts = quality.judge(spark, docs, labels).select(*(f"cut_{r}" for r in quality.RULES)).first()
+    assert None not in tuple(cuts)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(quality.OP1_SQL)
+    columns = [c[0] for c in want.description]
+    got = sorted(map(tuple, quality.op1_quality(spark, str(tmp_path)).select(*columns).collect()))
+    assert got == sorted(want.fetchall()) and sum(r[-1] for r in got) == 1200
