@@ -17,6 +17,11 @@ FORMATS = {
 }
 #: A word with a digit: what a context can reveal.
 CODED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: From a word that a trusted context reveals: the word and the coded groups that adjoin it, a single space or tab before
+#: each and no punctuation between (`DE89 3704 0044`); capitals between two groups belong to them (`GB29 NWBK 6016`).
+GROUPED = r"^[^\x20\x09-\x0D]++(?:(?<=[\p{L}\p{N}])[\x20\t](?:\p{Lu}++[\x20\t])?+(?=[\p{L}\p{N}])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)*+"
+#: A word that is a label itself, and so no instance.
+LABEL = r"^\p{L}[^0-9]*[:=#]$"
 #: Distinct instances that a pattern needs, rounds of scoring, and the share of a pattern's occurrences that must be
 #: identifiers for it to be trusted.
 INSTANCES, ROUNDS, TRUST = 3, 3, 0.6
@@ -71,13 +76,18 @@ def found(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"ok_{k}", F.expr(f"transform({ok}, m -> named_struct('start', m.start, 'kind_no', {i}, 'stop', m.stop, 'kind', '{k}'))"))
     df = df.withColumn("base", F.array_sort(F.concat(*(f"ok_{k}" for k in FORMATS))))
     df = df.withColumn("where", F.expr("if(size(at_coded) = 0, array(), filter(sequence(0, size(w) - 1), i -> w[i] rlike '[0-9]'))"))
-    trimmed = "regexp_replace(m.v, r'^[^\\p{L}\\p{N}+]+|[^\\p{L}\\p{N}]+$', '')"
-    lead = "char_length(m.v) - char_length(regexp_replace(m.v, r'^[^\\p{L}\\p{N}+]+', ''))"
+    trimmed, lead = _trimmed("m.v")
     occ = f"transform(at_coded, (m, i) -> named_struct('pattern', {_context('where[i]')}, 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
     df = df.withColumn("occ", F.expr(f"filter({occ}, o -> o.pattern is not null and (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
     return df.select("doc_id", "text", *back, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
 
 
+def _trimmed(v: str) -> tuple[str, str]:
+    """v without punctuation at its ends, and how much of it went in front."""
+    front = f"regexp_replace({v}, r'^[^\\p{{L}}\\p{{N}}+]+', '')"
+    return f"regexp_replace({v}, r'^[^\\p{{L}}\\p{{N}}+]+|[^\\p{{L}}\\p{{N}}]+$', '')", f"char_length({v}) - char_length({front})"
+
+
 def _context(i: str) -> str:
     """The lexical pattern in front of word i of w: a label such as `account:`, or the two words before; digits hidden."""
     word = "regexp_replace(lower(get(w, {})), '[0-9]+', '#')"
@@ -85,8 +95,9 @@ def _context(i: str) -> str:
     return f"case when {one} rlike r'^\\p{{L}}.*[:=#]$' then {one} when {i} >= 2 then concat({two}, ' ', {one}) end"
 
 
-def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
-    """(pattern, trust) of the patterns that discover identifiers.
+def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rounds: int = ROUNDS, trust: float = TRUST) -> tuple[DataFrame, DataFrame | None]:
+    """(pattern, trust) of the patterns that discover identifiers, and (key, i, pattern) of every word that follows one of
+    the patterns counted over all documents; None if none was.
 
     Graph: patterns and instances, an edge where they occur together.  Seeds (instances of a fixed format) score 1.  A
     pattern's score is the scored share of all its occurrences in the corpus, with or without a coded word after it; an
@@ -94,22 +105,24 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
     edges = spotted.select(F.explode("occ").alias("o")).select("o.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = C.cut(edges)
     many = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("coded")).filter(F.col("k") >= instances)
-    many = C.cut(many.select("pattern", "coded", F.lit(0).cast("long").alias("total")))
+    many, places = C.cut(many.select("pattern", "coded", F.lit(0).cast("long").alias("total"))), None
     # A count over some documents is a lower bound: patterns that it rules out needn't be counted over all.
     for share in (SHARE, 1):
         n = many.count()
         if not n:
-            return many.select("pattern", F.lit(1.0).alias("trust"))
+            return many.select("pattern", F.lit(1.0).alias("trust")), places
         some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) if share > 1 else docs
         contexts = F.expr(f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> {_context('i')}))")
-        every = some.select(C.words(F.col("text")).alias("w")).select(F.explode(contexts).alias("pattern"))
-        known = C.small(many.select("pattern"), n, BROADCAST_ROWS)
-        totals = every.join(known, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+        every = some.select(F.xxhash64("doc_id", "text").alias("key"), C.words(F.col("text")).alias("w")).select("key", F.posexplode(contexts).alias("i", "pattern"))
+        places = every.join(C.small(many.select("pattern"), n, BROADCAST_ROWS), "pattern")
+        if share == 1:
+            places = C.cut(places.select("key", (F.col("i") + 1).alias("i"), "pattern"))
+        totals = places.groupBy("pattern").agg(F.count("*").alias("total"))
         many = many.drop("total").join(totals, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0)))
         many = C.cut(many.filter(F.col("coded") >= trust * F.col("total")))
     n = many.count()
     if not n:
-        return many.select("pattern", F.lit(1.0).alias("trust"))
+        return many.select("pattern", F.lit(1.0).alias("trust")), places
     edges = C.cut(edges.join(C.small(many.select("pattern", "total"), n, BROADCAST_ROWS), "pattern"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
@@ -119,28 +132,40 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
         sure = F.least(F.col("trust"), F.lit(0.999))
         seen = back.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-sure)))).alias("score"))
         scored = C.cut(edges.join(seen, "instance").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("score"))))
-    return C.cut(per.filter((F.col("trust") >= trust) & (F.col("mass") >= instances)).select("pattern", "trust"))
+    return C.cut(per.filter((F.col("trust") >= trust) & (F.col("mass") >= instances)).select("pattern", "trust")), places
 
 
 def extract(spark: SparkSession, docs: DataFrame, instances: int = INSTANCES, rounds: int = ROUNDS, trust: float = TRUST) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base and all: arrays of spans (start, kind_no, stop, kind), code points,
-    end exclusive, by start and kind.  `all` adds spans of kind `context`, which no base span overlaps.
+    end exclusive, by start and kind.  `all` adds spans of kind `context`, which no base span overlaps: every word after a
+    trusted pattern, with or without digits, and the coded groups that adjoin it.
 
     Null text counts as empty; equal rows get equal spans; an empty table gives an empty result.  Columns of docs named as
     results, key, occ or more give way."""
     spotted = C.cut(found(docs))
-    patterns = trusted(docs, spotted, instances, rounds, trust)
+    patterns, places = trusted(docs, spotted, instances, rounds, trust)
     n = patterns.count()
     if not n:
         return spotted.withColumn("all", F.col("base")).drop("occ", "key")
-    new = spotted.select("key", F.explode("occ").alias("o")).filter("not o.seed").select("key", "o.*").distinct()
-    new = new.join(C.small(patterns, n, BROADCAST_ROWS), "pattern")
-    one = F.struct("start", F.lit(len(FORMATS)).alias("kind_no"), "stop", F.lit("context").alias("kind"))
-    new = new.groupBy("key").agg(F.collect_list(one).alias("more"))
-    both = spotted.join(new, "key", "left")
+    new = places.join(C.small(patterns.select("pattern"), n, BROADCAST_ROWS), "pattern").groupBy("key").agg(F.sort_array(F.collect_set("i")).alias("_hits_"))
+    hit = C.cut(spotted.select("key", "text", "base").dropDuplicates(["key"]).join(new, "key"))
+    both = spotted.join(_revealed(hit), "key", "left")
     return both.withColumn("all", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")))).drop("occ", "key", "more")
 
 
+def _revealed(hit: DataFrame) -> DataFrame:
+    """(key, more): spans of the words _hits_ with the coded groups that adjoin them; none overlaps a base span or another."""
+    df = _positions(hit.withColumn("t", C.text_of(F.col("text"))), "t", {"word": C.WORD})
+    df = df.withColumn("at", F.expr(f"filter(transform(_hits_, i -> at_word[i]), m -> not exists(base, b -> b.start < m.stop and b.stop > m.start) and not m.v rlike r'{LABEL}')"))
+    ahead = "substring(t, m.start + 1, coalesce(array_min(transform(filter(base, b -> b.start >= m.stop), b -> b.start)), char_length(t)) - m.start)"
+    df = df.select("key", F.expr(f"transform(at, m -> named_struct('start', m.start, 'v', regexp_extract({ahead}, r'{GROUPED}', 0)))").alias("at"))
+    trimmed, lead = _trimmed("m.v")
+    df = df.select("key", F.expr(f"transform(at, m -> named_struct('start', m.start + {lead}, 'n', char_length({trimmed})))").alias("at"))
+    df = df.select("key", F.expr(f"transform(filter(at, m -> m.n > 0), m -> named_struct('start', m.start, 'kind_no', {len(FORMATS)}, 'stop', m.start + m.n, 'kind', 'context'))").alias("more"))
+    apart = "aggregate(more, named_struct('at', 0, 's', filter(more, x -> false)), (a, x) -> if(x.start >= a.at, named_struct('at', x.stop, 's', concat(a.s, array(x))), a), a -> a.s)"
+    return df.select("key", F.expr(apart).alias("more"))
+
+
 def redact(df: DataFrame, spans: str = "all") -> DataFrame:
     """df (with text and spans) with the spans in text replaced by their kinds (where spans overlap, the first stands); rows without spans are as they were."""
     cols = df.columns

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lmscore, quality
+from tallyspark.llm import lmscore, pii, quality
 
 
 def test_every_training_text_shapes_the_weights(spark):
@@ -44,3 +44,17 @@ def test_each_quality_rule_selects_a_cutoff(spark, tmp_path):
     columns = [c[0] for c in want.description]
     got = sorted(map(tuple, quality.op1_quality(spark, str(tmp_path)).select(*columns).collect()))
     assert got == sorted(want.fetchall()) and sum(r[-1] for r in got) == 1200
+
+
+def test_a_trusted_context_reveals_any_identifier(spark):
+    """Spaced, digit-free and short identifiers, whole; what follows them stays."""
+    said = "please note employee badge {} for the visit tomorrow"
+    want = ["jsmith", "DE89 3704 0044 0532", "GB29 NWBK 6016 1331", "K7", "QX-77-AB91", "é🙂x"]
+    texts = [said.format(f"u{j}.x@corp.example.org") for j in range(20)] + [said.format(v) for v in want] + [said.format("(AB 12), 2024")]
+    rows = [*enumerate(texts), (100, "the year was 1999 and then nothing else"), (101, None)]
+    df = pii.extract(spark, spark.createDataFrame([*rows, rows[21]], "doc_id long, text string"))
+    found = {r["doc_id"]: [(x["start"], x["stop"]) for x in r["all"] if x["kind"] == "context"] for r in df.collect()}
+    assert [[texts[20 + i][a:b] for a, b in found[20 + i]] for i in range(7)] == [*([v] for v in want), ["AB 12"]]
+    assert not any(found[i] for i in (*range(20), 100, 101)) and df.count() == len(rows) + 1
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert {clean[i] for i in range(20, 26)} == {said.format("[CONTEXT]")}
