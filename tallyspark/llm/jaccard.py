@@ -1,15 +1,18 @@
 """Exact Jaccard self-join of word-shingle sets, through a token-group matrix.
 
-1. A document's set is hashed to 64-bit tokens.  Equal sets form one class (its fingerprint has 128 bits).
-2. Groups of similar sets.  Two sets that link differ in at most D tokens, D being fixed by the larger's size.  So if the
-   token space is cut into D + 1 segments, they agree on all tokens of one segment: each set goes into one group for
-   each segment, keyed by the segment's contents.  (Sizes are cut into classes, each with its own D; a set also goes into
-   the next class up, where a larger partner may be.)  A group's members share a few shingles and miss the same ones, so
-   one frequent shingle or passage brings no groups together.
-3. Each group's members are tried against one of them, the hub: the one that meets most others.
-4. Token-group matrix, for groups whose members are not yet all linked: a group is cut into blocks of at most BLOCK sets;
-   each block keeps the union of its tokens.  A set outside the group's largest linked part is bounded by its overlap with
-   the union, and only a block whose bound allows a link is opened and its sets compared one by one.
+1. A document's set is hashed to 64-bit tokens.  Equal sets form one class (its fingerprint has 128 bits); the class stands
+   under its smallest doc_id.
+2. Buckets of sets that may link.  Linked sets of n tokens differ in at most d = n * (100 - percent) / percent of them.  The
+   token space is cut into segments, some tokens each, and a set emits the contents of its first d + 1 occupied segments: at
+   most d of them are touched by a difference, so linked sets meet in one (whichever of the two runs out first, its segments
+   are the other's too).  Nothing in common, no common key: empty segments emit none.  A set with fewer occupied segments
+   emits its first d + 1 tokens one by one as well, for a partner of the same kind.  The number of segments doubles with the
+   size, and a set near a step emits for both sides of it.  Buckets of the same members become one.
+3. Groups of similar sets form around hubs.  The hub of a bucket is the member that meets most others; all its members are
+   held against it once, linked ones are contracted, and what is still apart meets the next hub.
+4. Token-group matrix, for sets that are still apart after that: they are cut into groups of about BLOCK sets that share
+   hubs, and each group keeps the union of its tokens.  A set's overlap with a union bounds its similarity to every member;
+   only a group whose bound allows a link is opened and its sets compared one by one.
 5. Links give components.  Pairs within what is known to be linked are never listed.
 """
 
@@ -28,10 +31,14 @@ from .components import components
 
 #: Words in a shingle and percent of similarity, of near-duplicate operators in general.
 SHINGLE, PERCENT = 5, 80
-#: Sets in a block, and queries that one task holds against a block.
+#: Sets in a group of the matrix, and queries that one task holds against an opened group.
 BLOCK, QUERIES = 64, 512
-#: Rows up to which a list of ids is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rounds of hubs at most; they end as soon as one leaves more than half of what was apart.  The matrix takes the rest.
+HUBS = 6
+#: Rows up to which a list of ids or keys is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: How full segments may be: with this share of the tokens that d + 1 segments could have, enough are occupied.
+_FILL = 0.85
 
 
 def tokens(text: str | None, k: int) -> np.ndarray:
@@ -42,25 +49,28 @@ def tokens(text: str | None, k: int) -> np.ndarray:
     return np.unique(C.Rolling(w).windows(k) if len(w) >= k else C.Rolling(w).spans(np.array([0]), np.array([len(w)])))
 
 
-def size_class(n: int, percent: int) -> int:
-    """Classes of sizes; a set of n links only with its own class and the two beside it."""
-    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+def _bits(n: float, percent: int) -> int:
+    """Logarithm of the number of segments for sets of n tokens."""
+    return max(0, int(np.ceil(np.log2(max(n * (100 - percent) / (_FILL * percent), 1)) - 1e-9)))
 
 
 def keys(t: np.ndarray, percent: int) -> np.ndarray:
-    """The groups of a set of rising tokens."""
-    out = [np.zeros(0, np.uint64)]
-    if len(t):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(C.mix(t ^ np.uint64(0x5851F42D4C957F2D)))))
-        own = size_class(len(t), percent)
-        for c in (own, own + 1):
-            top = int(np.ceil((100 / percent) ** (c + 1) + 1e-6))
-            differ = 2 * top * (100 - percent) // (100 + percent)
-            if differ:
-                m = differ + 1
-                at = np.searchsorted(t >> np.uint64(32), (np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
-                salt = C.mix(np.arange(m, dtype=np.uint64) + np.uint64((c + 1) << 40))
-                out.append(C.mix((sums[at[1:]] - sums[at[:-1]]) ^ salt))
+    """The buckets of a set of rising tokens.  A pair uses the number of segments that its larger set has."""
+    n = len(t)
+    if not n:
+        return np.zeros(0, np.uint64)
+    emit = n * (100 - percent) // percent + 1
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(C.mix(t ^ np.uint64(0x5851F42D4C957F2D)))))
+    out, thin = [], False
+    for bits in range(_bits(n, percent), _bits(n * 100 / percent, percent) + 1):
+        segment = t >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        thin |= len(first) < emit
+        stop = np.append(first[1:], n)[:emit]
+        first = first[:emit]
+        out.append(C.mix((sums[stop] - sums[first]) ^ C.mix(segment[first] + np.uint64((bits + 1) << 48))))
+    if thin:
+        out.append(C.mix(t[:emit] ^ np.uint64(0x2545F4914F6CDD1D)))
     return np.concatenate(out)
 
 
@@ -85,41 +95,75 @@ def _grouped(k: int, percent: int):
 
 
 def _sets(k: int):
-    """Texts to (fp, s): s holds the set's tokens, 8 bytes each."""
+    """(rep, text) to (rep, fp, s): s holds the set's tokens, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [tokens(x, k) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_print(t) for t in made], pa.binary()), pa.array([t.tobytes() for t in made], pa.binary())], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([_print(t) for t in made], pa.binary()), pa.array([t.tobytes() for t in made], pa.binary())], ["rep", "fp", "s"])
+
+    return run
+
+
+def _in(sorted_: np.ndarray, s: np.ndarray) -> int:
+    """How many of s, rising, are among sorted_, rising and not empty."""
+    at = np.searchsorted(sorted_, s)
+    return int((sorted_[np.minimum(at, len(sorted_) - 1)] == s).sum())
+
+
+def _linked(percent: int):
+    """(u, v, us, vs) to the linked (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("us"), b.column("vs"), strict=True):
+                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                s, t = (s, t) if len(s) <= len(t) else (t, s)
+                both = _in(t, s)
+                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _union(key: tuple, rows: pa.Table) -> pa.Table:
+    """A row of the matrix: the union of a group's tokens."""
+    flat = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s")]))
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "union": pa.array([flat.tobytes()], pa.binary())})
+
+
+def _bounded(percent: int):
+    """(rep, g, s, union) to (rep, g) whose bound allows a link: an overlap with the union below percent of |s| does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("s"), b.column("union"), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                ok.append(100 * _in(np.frombuffer(y.as_buffer(), np.uint64), s) >= percent * len(s))
+            yield b.select(["rep", "g"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def _open(percent: int):
-    """Queries (rep, s) and one block (brep, bs) to linked pairs."""
+    """Queries (rep, s) and one group (brep, bs) to linked pairs."""
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in block["bs"]]
-        reps = block["brep"].to_numpy()
         u, v = [], []
-        if sets and len(queries):
+        if len(queries) and len(block):
+            sets, reps = [np.frombuffer(s, np.uint64) for s in block["bs"]], block["brep"].to_numpy()
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             n = np.array([len(s) for s in sets])
-            union = flat[np.concatenate(([True], flat[1:] != flat[:-1]))]
             for q, raw in zip(queries["rep"], queries["s"], strict=True):
                 s = np.frombuffer(raw, np.uint64)
-                fits = (100 * np.minimum(n, len(s)) >= percent * np.maximum(n, len(s))) & (reps != q)
-                if not fits.any():
-                    continue
-                at = np.searchsorted(union, s)
-                if 100 * int((union[np.minimum(at, len(union) - 1)] == s).sum()) < percent * len(s):
-                    continue  # the bound: an overlap with the union below t|Q| allows no link
                 first, last = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
                 hit = np.repeat(first, last - first) + np.arange((last - first).sum()) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
                 common = np.bincount(owner[hit], minlength=len(sets))
-                ok = fits & (100 * common >= percent * (n + len(s) - common))
+                ok = (reps != q) & (100 * common >= percent * (n + len(s) - common))
                 u += [q] * int(ok.sum())
                 v += reps[ok].tolist()
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
@@ -127,15 +171,61 @@ def _open(percent: int):
     return run
 
 
-def _links(sets: DataFrame, queries: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """queries (rep, g) against blocks (rep, g); a block's queries are dealt to tasks in parts of about QUERIES."""
-    q = queries.distinct()
-    parts = q.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    q = q.join(parts, "g").select("g", "rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    b = blocks.join(parts, "g").select("g", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    q = q.join(sets, "rep").select("g", "part", "rep", "s").groupBy("g", "part")
-    b = b.join(sets, "rep").select(F.col("g").alias("bg"), F.col("part").alias("bpart"), F.col("rep").alias("brep"), F.col("s").alias("bs"))
-    return C.cut(q.cogroup(b.groupBy("bg", "bpart")).applyInPandas(_open(percent), "u long, v long").distinct())
+def _fit(a: str, b: str, percent: int):
+    """Sizes of sets that can link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(rep, n, key) to (key, rep, n, weight) of the keys that several sets have; keys with the same members become one, with
+    their number as its weight."""
+    shared = C.cut(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+    met = C.cut(rows.join(C.small(shared, shared.count(), BROADCAST_ROWS), "key"))
+    members = (F.count("*").alias("k"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30))).alias("y"))
+    kept = met.groupBy("key").agg(*members).filter("a <> b").groupBy("k", "a", "b", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    kept = C.cut(kept.select("key", "weight"))
+    return C.cut(met.join(C.small(kept, kept.count(), BROADCAST_ROWS), "key").select("key", "rep", "n", "weight").distinct())
+
+
+def _compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of some pairs (u, v)."""
+    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("s").alias("us")), "u").join(sets.select(F.col("rep").alias("v"), F.col("s").alias("vs")), "v")
+    return C.cut(both.select("u", "v", "us", "vs").mapInArrow(_linked(percent), "u long, v long"))
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """met with c, the component of each set by the links known, without the buckets that are in one component."""
+    part = components(links).select(F.col("id").alias("rep"), "component")
+    met = C.cut(met.drop("c").join(part, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
+    open_ = met.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("key")
+    return C.cut(met.join(open_, "key"))
+
+
+def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Links among sets of one bucket and different components, through groups and the unions of their tokens."""
+    top = met.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"), F.max("c").alias("most"))
+    met = C.cut(met.join(top.select("key", F.col("h.rep").alias("hub")), "key"))
+    # Each set stands in one group, with others that share its least hub, and its own component first of all.
+    member = met.groupBy("rep", "c").agg(F.min("hub").alias("hub"))
+    near = member.groupBy("hub", "c").agg(F.count("*").alias("k"))
+    near = near.join(near.groupBy("hub").agg(F.ceil(F.sum("k") / BLOCK).alias("groups")), "hub").select("hub", "c", "groups", F.ceil(F.col("k") / BLOCK).alias("own"))
+    g = F.xxhash64("hub", F.pmod(F.xxhash64("c"), F.col("groups")), F.when(F.col("own") > 1, F.struct("c", F.pmod(F.xxhash64("rep"), F.col("own")))))
+    member = C.cut(member.join(near, ["hub", "c"]).select("rep", "c", g.alias("g")))
+    only = member.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).select("g", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
+    # Of a bucket, the component with most sets needn't ask: the others ask its groups.
+    major = met.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("major"))
+    holds = met.select("key", "rep").join(member.select("rep", "g"), "rep").select("key", "g").distinct().join(only, "g")
+    ask = met.join(major, "key").filter("c <> major").select("key", "rep", "c").join(holds, "key")
+    ask = C.cut(ask.filter("only is null or only <> c").select("rep", "g").distinct())
+
+    grouped = member.join(sets, "rep")
+    unions = C.cut(grouped.join(ask.select("g").distinct(), "g", "left_semi").select("g", "s").groupBy("g").applyInArrow(_union, "g long, union binary"))
+    fits = ask.join(sets.select("rep", "s"), "rep").join(unions, "g").select("rep", "g", "s", "union").mapInArrow(_bounded(percent), "rep long, g long")
+    fits = C.cut(fits)
+    parts = fits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    q = fits.join(parts, "g").join(sets.select("rep", "s"), "rep").select("g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "s")
+    b = grouped.join(parts, "g").select(F.col("g").alias("bg"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bpart"), F.col("rep").alias("brep"), F.col("s").alias("bs"))
+    return C.cut(q.groupBy("g", "part").cogroup(b.groupBy("bg", "bpart")).applyInPandas(_open(percent), "u long, v long"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -143,62 +233,54 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
 
     Documents link when 100 * |A & B| >= percent * |A | B|.  A text with fewer words than a shingle is one shingle; without
     words (or null) its set is empty, and it is its own component.  A row with a null id links with nothing and has a null
-    component.  Repeated ids are one node.  An empty table gives an empty result."""
+    component.  Repeated ids are one node, with the links of all their texts.  Columns beside doc_id and text count for
+    nothing.  An empty table gives an empty result."""
     made = C.cut(docs.select("doc_id", "text").mapInArrow(_grouped(shingle, percent), "doc_id long, n long, fp binary, keys array<long>"))
-    one = F.min(F.struct(F.col("doc_id").alias("least"), "n"))
-    classes = made.filter("n > 0 and doc_id is not null").groupBy("fp").agg(one.alias("r"))
-    classes = C.cut(classes.select(F.xxhash64("fp").alias("rep"), "fp", "r.*"))
-
-    # Copies carry the same keys; counting distinct classes of a key needs only the least and the greatest.
-    row = made.filter("n > 0 and doc_id is not null").select(F.xxhash64("fp").alias("rep"), "n", "doc_id", "fp", F.explode("keys").alias("key"))
-    shared = row.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("key")
-    met = row.join(shared, "key").select("key", "rep", "n").distinct()
-    met = C.cut(met)
-    score = met.groupBy("rep", "n").agg(F.count("*").alias("met")).select("rep", (F.col("met") / F.col("n")).alias("score"))
-    met = met.join(score, "rep")
-    hub = met.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.hub", "h.hub_n")
-    met = C.cut(met.join(hub, "key").drop("score"))
-    sets = C.cut(_load(docs, classes.join(met.select("rep").distinct(), "rep"), shingle))
-
-    star = met.filter("rep <> hub").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    star = star.select("rep", F.col("hub").alias("g")).distinct()
-    links = _links(sets, star, star.select(F.col("g").alias("rep"), "g").distinct(), percent)
-
-    # Groups that are not linked throughout, without their hubs (those have been tried), and the largest linked part of each.
-    part = components(links).withColumnRenamed("id", "rep")
-    rest = met.filter("rep <> hub").select("key", "rep", "hub").join(part, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = C.cut(rest)
-    per = rest.groupBy("key", "component").agg(F.count("*").alias("k"))
-    per = per.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    rest = C.cut(rest.join(per.select("key", F.col("m.component").alias("major")), "key"))
-    # Each set stands in one block, with others that share its least hub: texts much alike share many keys.
-    member = rest.groupBy("rep", "component").agg(F.min("hub").alias("hub"))
-    blocks = member.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = C.cut(member.join(blocks, "hub").select("rep", "component", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("g")))
-    one = member.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).select("g", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
-    holds = rest.select("key", "rep").join(member.select("rep", "g"), "rep").select("key", "g").distinct().join(one, "g")
-    ask = rest.filter("component <> major").select("key", "rep", "component").join(holds, "key")
-    ask = ask.filter("only is null or only <> component").select("rep", "g").distinct()
-    links = C.cut(links.unionByName(_links(sets, ask, member.select("rep", "g"), percent)))
-    links = C.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-
-    # Back from classes to rows.
-    name = components(links).withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep")
-    smallest = name.groupBy("component").agg(F.min("least").alias("component_id"))
-    name = name.join(smallest, "component").select("rep", "component_id")
-    named = classes.select("rep", "fp", "least").join(name, "rep", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    usable = made.filter("n > 0 and doc_id is not null")
+    classes = C.cut(usable.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    n = classes.count()
+    own = C.small(classes.select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep")), n, BROADCAST_ROWS)
+    rows = usable.join(own, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("_rep")), "left_semi")
+    met = _buckets(rows.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key")))
+    score = met.groupBy("rep", "n").agg((F.sum("weight") / F.col("n")).alias("score"))
+    met = C.cut(met.join(score, ["rep", "n"]).select("key", "rep", "n", "score", F.col("rep").alias("c")))
+    sets = _load(docs, classes.join(met.select("rep").distinct(), "rep"), shingle)
+
+    links, left = spark.createDataFrame([], "u long, v long"), met.count()
+    for _ in range(HUBS):
+        if not left:
+            break
+        hub = met.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_c")
+        met = C.cut(met.join(hub, "key").filter("rep <> hub"))
+        star = met.filter("c <> hub_c").filter(_fit("n", "hub_n", percent)).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+        links = C.cut(links.unionByName(_compare(sets, star, percent)))
+        met = _apart(met.drop("hub", "hub_n", "hub_c"), links)
+        before, left = left, met.count()
+        if 2 * left > before:
+            break
+    if left:
+        links = C.cut(links.unionByName(_matrix(sets, met, percent)))
+
+    # Back from classes to rows.  A repeated id joins the classes of its texts.
+    texts = usable.join(own, F.col("fp") == F.col("_fp")).filter("doc_id <> _rep").select(F.col("doc_id").alias("u"), F.col("_rep").alias("v"))
+    several = usable.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1")
+    links = links.unionByName(texts.join(several.select(F.col("doc_id").alias("u")), "u", "left_semi"))
+    name = components(links).select(F.col("id").alias("rep"), "component")
+    named = classes.join(name, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("fp")).alias("fp")).join(named, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _load(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(rep, s): the whole sets of classes, from their texts, read again."""
-    wanted = C.cut(wanted.select("rep", "fp", "least"))
+    """(rep, s): the whole sets of classes (rep, fp), from their texts, read again."""
+    wanted = C.cut(wanted.select("rep", "fp"))
     n = wanted.count()
-    ids = C.small(wanted.select("least").distinct(), n, BROADCAST_ROWS)
-    made = docs.select(F.col("doc_id").alias("least"), "text").join(ids, "least").select("text").mapInArrow(_sets(shingle), "fp binary, s binary")
-    made = made.join(C.small(wanted.select("fp", "rep"), n, BROADCAST_ROWS), "fp")
-    return made.groupBy("rep").agg(F.first("s").alias("s"))  # a repeated id brings its text more than once
+    ids = C.small(wanted.select("rep").distinct(), n, BROADCAST_ROWS)
+    made = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").mapInArrow(_sets(shingle), "rep long, fp binary, s binary")
+    made = C.cut(made.join(C.small(wanted, n, BROADCAST_ROWS), ["rep", "fp"]))
+    if made.count() > n:  # rows that are repeated bring their text more than once
+        made = C.cut(made.groupBy("rep", "fp").agg(F.first("s").alias("s")))
+    return made.select("rep", "s")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
