@@ -7,7 +7,9 @@
    most d of them are touched by a difference, so linked sets meet in one (whichever of the two runs out first, its segments
    are the other's too).  Nothing in common, no common key: empty segments emit none.  A set with fewer occupied segments
    emits its first d + 1 tokens one by one as well, for a partner of the same kind.  The number of segments doubles with the
-   size, and a set near a step emits for both sides of it.  Buckets of the same members become one.
+   size, and a set near a step emits for both sides of it.  Heavy tokens, which one in SHARE documents has, stand in segments
+   behind all others, so a common passage fills no bucket unless it is most of a text.  Buckets of the same members become
+   one.
 3. Groups of similar sets form around hubs.  The hub of a bucket is the member that meets most others; all its members are
    held against it once, linked ones are contracted, and what is still apart meets the next hub.
 4. Token-group matrix, for sets that are still apart after that: they are cut into groups of about BLOCK sets that share
@@ -33,10 +35,13 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Sets in a group of the matrix, and queries that one task holds against an opened group.
 BLOCK, QUERIES = 64, 512
-#: Rounds of hubs at most; they end as soon as one leaves more than half of what was apart.  The matrix takes the rest.
+#: Rounds of hubs at most; they end as soon as one leaves more than three quarters of what was apart.  The matrix takes the rest.
 HUBS = 6
 #: Rows up to which a list of ids or keys is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A token is heavy if more than one in so many documents has it; tokens that a task counts at a time; heavy tokens that are
+#: broadcast at most (8 bytes each, the most frequent; results don't depend on them, only the buckets' sizes do).
+SHARE, BUFFER, HEAVY = 500, 4_000_000, 200_000
 #: How full segments may be: with this share of the tokens that d + 1 segments could have, enough are occupied.
 _FILL = 0.85
 
@@ -54,16 +59,20 @@ def _bits(n: float, percent: int) -> int:
     return max(0, int(np.ceil(np.log2(max(n * (100 - percent) / (_FILL * percent), 1)) - 1e-9)))
 
 
-def keys(t: np.ndarray, percent: int) -> np.ndarray:
+def keys(t: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> np.ndarray:
     """The buckets of a set of rising tokens.  A pair uses the number of segments that its larger set has."""
     n = len(t)
     if not n:
         return np.zeros(0, np.uint64)
+    behind = np.zeros(n, bool) if heavy is None or not len(heavy) else heavy[np.minimum(np.searchsorted(heavy, t), len(heavy) - 1)] == t
+    if behind.any():
+        order = np.argsort(behind, kind="stable")
+        t, behind = t[order], behind[order]
     emit = n * (100 - percent) // percent + 1
     sums = np.concatenate(([np.uint64(0)], np.cumsum(C.mix(t ^ np.uint64(0x5851F42D4C957F2D)))))
     out, thin = [], False
     for bits in range(_bits(n, percent), _bits(n * 100 / percent, percent) + 1):
-        segment = t >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+        segment = (t >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)) + (behind.astype(np.uint64) << np.uint64(bits))
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         thin |= len(first) < emit
         stop = np.append(first[1:], n)[:emit]
@@ -74,19 +83,50 @@ def keys(t: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _frequent(k: int):
+    """Texts to (token, n): tokens that several of the texts counted together have."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= max(2, len(sets) // (2 * SHARE))
+        return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for x in b.column("text").to_pylist():
+                held.append(tokens(x, k))
+                size += len(held[-1])
+                if size >= BUFFER:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def heavy_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Tokens of more than one in SHARE documents (32 at least), rising, counted over all of them."""
+    n = docs.count()
+    sums = docs.select("text").mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = sums.filter(F.col("n") > max(32, n // SHARE)).orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()
+    return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
+
+
 def _print(t: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     end = np.array([len(t)])
     return b"".join(int(x[0]).to_bytes(8, "big") for x in (C.Rolling(t, 1).spans(end * 0, end), C.Rolling(C.mix(t)).spans(end * 0, end)))
 
 
-def _grouped(k: int, percent: int):
+def _grouped(k: int, percent: int, heavy):
     """(doc_id, text) to (doc_id, n, fp, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [tokens(x, k) for x in b.column("text").to_pylist()]
-            made = [keys(t, percent).view(np.int64) for t in sets]
+            made = [keys(t, percent, heavy.value).view(np.int64) for t in sets]
             flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
             made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), pa.array([_print(t) for t in sets], pa.binary()), made], ["doc_id", "n", "fp", "keys"])
@@ -187,9 +227,17 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return C.cut(met.join(C.small(kept, kept.count(), BROADCAST_ROWS), "key").select("key", "rep", "n", "weight").distinct())
 
 
+def _wanted(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of sets whose rep is in ids (rep)."""
+    ids = C.cut(ids.distinct())
+    return sets.join(C.small(ids, ids.count(), BROADCAST_ROWS), "rep", "left_semi")
+
+
 def _compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The linked ones of some pairs (u, v)."""
-    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("s").alias("us")), "u").join(sets.select(F.col("rep").alias("v"), F.col("s").alias("vs")), "v")
+    pairs = C.cut(pairs)
+    near = sets.select(F.col("rep").alias("u"), F.col("s").alias("us")).join(C.small(pairs, pairs.count(), BROADCAST_ROWS), "u")
+    both = near.join(_wanted(sets, pairs.select(F.col("v").alias("rep"))).select(F.col("rep").alias("v"), F.col("s").alias("vs")), "v")
     return C.cut(both.select("u", "v", "us", "vs").mapInArrow(_linked(percent), "u long, v long"))
 
 
@@ -203,10 +251,11 @@ def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
 
 def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """Links among sets of one bucket and different components, through groups and the unions of their tokens."""
-    top = met.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"), F.max("c").alias("most"))
+    top = met.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"))
     met = C.cut(met.join(top.select("key", F.col("h.rep").alias("hub")), "key"))
-    # Each set stands in one group, with others that share its least hub, and its own component first of all.
-    member = met.groupBy("rep", "c").agg(F.min("hub").alias("hub"))
+    # Each set stands in one group, with others that share its most popular hub, and its own component first of all.
+    popular = met.groupBy("hub").agg(F.count("*").alias("k"))
+    member = met.join(popular, "hub").groupBy("rep", "c").agg(F.max(F.struct("k", "hub")).alias("h")).select("rep", "c", F.col("h.hub").alias("hub"))
     near = member.groupBy("hub", "c").agg(F.count("*").alias("k"))
     near = near.join(near.groupBy("hub").agg(F.ceil(F.sum("k") / BLOCK).alias("groups")), "hub").select("hub", "c", "groups", F.ceil(F.col("k") / BLOCK).alias("own"))
     g = F.xxhash64("hub", F.pmod(F.xxhash64("c"), F.col("groups")), F.when(F.col("own") > 1, F.struct("c", F.pmod(F.xxhash64("rep"), F.col("own")))))
@@ -218,12 +267,13 @@ def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     ask = met.join(major, "key").filter("c <> major").select("key", "rep", "c").join(holds, "key")
     ask = C.cut(ask.filter("only is null or only <> c").select("rep", "g").distinct())
 
-    grouped = member.join(sets, "rep")
-    unions = C.cut(grouped.join(ask.select("g").distinct(), "g", "left_semi").select("g", "s").groupBy("g").applyInArrow(_union, "g long, union binary"))
-    fits = ask.join(sets.select("rep", "s"), "rep").join(unions, "g").select("rep", "g", "s", "union").mapInArrow(_bounded(percent), "rep long, g long")
-    fits = C.cut(fits)
-    parts = fits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    q = fits.join(parts, "g").join(sets.select("rep", "s"), "rep").select("g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "s")
+    grouped = member.join(ask.select("g").distinct(), "g", "left_semi").select("rep", "g")
+    grouped = C.cut(_wanted(sets, grouped.select("rep")).join(grouped, "rep"))
+    unions = C.cut(grouped.select("g", "s").groupBy("g").applyInArrow(_union, "g long, union binary"))
+    asking = _wanted(sets, ask.select("rep"))
+    fits = C.cut(asking.join(ask, "rep").join(unions, "g").select("rep", "g", "s", "union").mapInArrow(_bounded(percent), "rep long, g long"))
+    parts = C.cut(fits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    q = _wanted(sets, fits.select("rep")).join(fits.join(parts, "g"), "rep").select("g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "s")
     b = grouped.join(parts, "g").select(F.col("g").alias("bg"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bpart"), F.col("rep").alias("brep"), F.col("s").alias("bs"))
     return C.cut(q.groupBy("g", "part").cogroup(b.groupBy("bg", "bpart")).applyInPandas(_open(percent), "u long, v long"))
 
@@ -235,7 +285,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
     words (or null) its set is empty, and it is its own component.  A row with a null id links with nothing and has a null
     component.  Repeated ids are one node, with the links of all their texts.  Columns beside doc_id and text count for
     nothing.  An empty table gives an empty result."""
-    made = C.cut(docs.select("doc_id", "text").mapInArrow(_grouped(shingle, percent), "doc_id long, n long, fp binary, keys array<long>"))
+    heavy = spark.sparkContext.broadcast(heavy_tokens(docs, shingle))
+    made = C.cut(docs.select("doc_id", "text").mapInArrow(_grouped(shingle, percent, heavy), "doc_id long, n long, fp binary, keys array<long>"))
     usable = made.filter("n > 0 and doc_id is not null")
     classes = C.cut(usable.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = classes.count()
@@ -256,7 +307,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
         links = C.cut(links.unionByName(_compare(sets, star, percent)))
         met = _apart(met.drop("hub", "hub_n", "hub_c"), links)
         before, left = left, met.count()
-        if 2 * left > before:
+        if 4 * left > 3 * before:
             break
     if left:
         links = C.cut(links.unionByName(_matrix(sets, met, percent)))
