@@ -188,6 +188,15 @@ def test_language_model(spark):
         assert r["base_score"] == pytest.approx(want, rel=1e-9) and r["score"] < 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_language_model_learns(spark):
+    """Texts of known words score better than by the base, which gives unknown words away for 0.1 of a count."""
+    got = lmscore.op8_lmscore(spark, "/root/testdata/sf0.01").collect()
+    learnt, new = ([r for r in got if r["held_out"] == h] for h in (False, True))
+    assert sum(r["score"] > r["base_score"] for r in learnt) > 0.9 * len(learnt)
+    assert sum(r["score"] for r in new) > 1.03 * sum(r["base_score"] for r in new)
+
+
 def test_mix_near_targets(spark):
     rows = mixing.op10_mixing(spark, DATA).collect()
     source = {r[0]: r[1] for r in C.table(spark, DATA, "documents").select("doc_id", "source").collect()}

@@ -6,18 +6,66 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyspark.llm import common as C
 from tallyspark.llm import lmscore, pii, quality
 
 
+def _trained(spark, rows, texts):
+    """The weights that lmscore learns from rows, with the counts of texts."""
+    ranks = spark.sparkContext.broadcast(lmscore.ranks_of(lmscore.RANKS))
+    counts = C.cut(texts.select("text").mapInArrow(lmscore._count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    known = lmscore.vocabulary(counts, [(bytes(r["word"]), r["n"]) for r in counts.collect()], ranks)
+    return lmscore.train(spark, rows, known, known.ids, ranks)
+
+
 def test_every_training_text_shapes_the_weights(spark):
-    """Texts that a hash filter of one in 32 passes over train the attention model too, in a corpus of any size."""
+    """Each of 40 texts trains the attention model, and how they are dealt to tasks makes no difference."""
     rows = spark.createDataFrame([(i, f"alpha beta gamma delta {i % 7} omega " * 20) for i in range(40)], "doc_id long, text string")
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(32)) != 0).orderBy("doc_id").coalesce(1)
-    ranks = spark.sparkContext.broadcast(lmscore.ranks_of(lmscore.RANKS))
-    counts = np.ones(len(ranks.value) + 1)
-    start, all_of_them, but_one = lmscore.A.start(lmscore.A.Vocabulary(counts)), *(lmscore.train(spark, d, counts, ranks) for d in (rows, rows.limit(rows.count() - 1)))
-    assert all(np.abs(all_of_them[n] - start[n]).max() > 0 for n in start)
-    assert any(np.abs(all_of_them[n] - but_one[n]).max() > 0 for n in start)
+    all_of_them = _trained(spark, rows.coalesce(1), rows)
+    dealt = _trained(spark, rows.repartition(7), rows)
+    assert all(np.abs(all_of_them[n] - x).max() > 0 for n, x in lmscore.A.start().items())
+    assert all(np.array_equal(all_of_them[n], dealt[n]) for n in dealt)
+    for gone in (0, 17, 39):
+        but_one = _trained(spark, rows.filter(F.col("doc_id") != gone), rows)
+        assert any(np.abs(all_of_them[n] - but_one[n]).max() > 0 for n in but_one)
+
+
+def test_the_model_is_a_distribution():
+    """Over every next id the model's chances sum to 1, after any beginning; its gradient is that of its loss."""
+    A, rng, v = lmscore.A, np.random.default_rng(3), 60
+    starts = np.arange(v) < 25
+    words = [([int(rng.integers(25)), *map(int, 25 + rng.integers(0, 35, rng.integers(0, 4)))], int(rng.integers(1, 9))) for _ in range(80)]
+    begins, follows, ends, pairs = np.zeros(v), np.zeros(v), np.zeros(v), {}
+    for ids, n in words:
+        begins[ids[0]] += n
+        ends[ids[-1]] += n
+        for k in itertools.pairwise(ids):
+            follows[k[1]] += n
+            pairs[k] = pairs.get(k, 0) + n
+    known = A.Vocabulary(starts, begins, follows, ends, tuple(np.array(x) for x in (*zip(*pairs, strict=True), list(pairs.values()))), words)
+    w = {n: x + rng.standard_normal(x.shape).astype(np.float32) / 4 for n, x in A.start().items()}
+
+    def log(ids):
+        """Of a sequence of ids, cut into words."""
+        cut = [i for i, x in enumerate(ids) if starts[x]]
+        made = [known.code(ids[a:b]) for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)]
+        codes = np.array([c for code, _ in made for c in code])
+        return float(A.logs(w, known.bias, A.targets([codes], known.first), [len(codes)])[0]) + sum(s for _, s in made)
+
+    for before in ([3], [4, 30, 41], [7, 26, 8, 50, 33] * 9, words[0][0] * 12 + words[1][0]):
+        assert abs(sum(np.exp(log([*before, i])) for i in range(v)) / np.exp(log(before)) - 1) < 1e-3
+    codes = np.concatenate([known.code(ids)[0] for ids, _ in words])
+    made = A.targets([codes[:50], codes[50:]], known.first)
+    assert made[-1].sum() == len(codes)
+    g, _ = A.gradient(w, known.bias, *made)
+    for n, x in w.items():
+        i = np.unravel_index(np.argmax(np.abs(g[n])), x.shape)
+        moved = []
+        for step in (1e-2, -1e-2):
+            y = w | {n: x.copy()}
+            y[n][i] += step
+            moved.append(A.gradient(y, known.bias, *made)[1])
+        assert abs((moved[0] - moved[1]) / 2e-2 - g[n][i]) < 0.05 * abs(g[n][i]) + 1e-4
 
 
 def test_each_quality_rule_selects_a_cutoff(spark, tmp_path):
