@@ -12,9 +12,10 @@
    one.
 3. Groups of similar sets form around hubs.  The hub of a bucket is the member that meets most others; all its members are
    held against it once, linked ones are contracted, and what is still apart meets the next hub.
-4. Token-group matrix, for sets that are still apart after that: they are cut into groups of about BLOCK sets that share
-   hubs, and each group keeps the union of its tokens.  A set's overlap with a union bounds its similarity to every member;
-   only a group whose bound allows a link is opened and its sets compared one by one.
+4. Token-group matrix, for sets that are still apart after that.  A set too few of whose tokens any other of them has is
+   done.  The rest are cut into groups of about BLOCK sets that share hubs, and each group keeps the union of its tokens.  A
+   set's overlap with a union bounds its similarity to every member; only a group whose bound allows a link is opened and
+   its sets compared one by one.
 5. Links give components.  Pairs within what is known to be linked are never listed.
 """
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +33,10 @@ from .components import components
 
 #: Words in a shingle and percent of similarity, of near-duplicate operators in general.
 SHINGLE, PERCENT = 5, 80
-#: Sets in a group of the matrix, and queries that one task holds against an opened group.
-BLOCK, QUERIES = 64, 512
+#: Sets in a group of the matrix.
+BLOCK = 64
 #: Rounds of hubs at most; they end as soon as one leaves more than three quarters of what was apart.  The matrix takes the rest.
-HUBS = 6
+HUBS = 4
 #: Rows up to which a list of ids or keys is broadcast (16 bytes each); beyond, Spark joins it by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A token is heavy if more than one in so many documents has it; tokens that a task counts at a time; heavy tokens that are
@@ -135,83 +135,23 @@ def _grouped(k: int, percent: int, heavy):
 
 
 def _sets(k: int):
-    """(rep, text) to (rep, fp, s): s holds the set's tokens, 8 bytes each."""
+    """(rep, text) to (rep, fp, s): s holds the set's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [tokens(x, k) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([_print(t) for t in made], pa.binary()), pa.array([t.tobytes() for t in made], pa.binary())], ["rep", "fp", "s"])
+            s = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([_print(t) for t in made], pa.binary()), s], ["rep", "fp", "s"])
 
     return run
 
 
-def _in(sorted_: np.ndarray, s: np.ndarray) -> int:
-    """How many of s, rising, are among sorted_, rising and not empty."""
-    at = np.searchsorted(sorted_, s)
-    return int((sorted_[np.minimum(at, len(sorted_) - 1)] == s).sum())
+def _links(a: str, b: str, percent: int):
+    """Sets that link: percent of the union, which is |a| + |b| less the intersection."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
 
 
-def _linked(percent: int):
-    """(u, v, us, vs) to the linked (u, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("us"), b.column("vs"), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                both = _in(t, s)
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _union(key: tuple, rows: pa.Table) -> pa.Table:
-    """A row of the matrix: the union of a group's tokens."""
-    flat = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s")]))
-    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "union": pa.array([flat.tobytes()], pa.binary())})
-
-
-def _bounded(percent: int):
-    """(rep, g, s, union) to (rep, g) whose bound allows a link: an overlap with the union below percent of |s| does not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("s"), b.column("union"), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                ok.append(100 * _in(np.frombuffer(y.as_buffer(), np.uint64), s) >= percent * len(s))
-            yield b.select(["rep", "g"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _open(percent: int):
-    """Queries (rep, s) and one group (brep, bs) to linked pairs."""
-
-    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        u, v = [], []
-        if len(queries) and len(block):
-            sets, reps = [np.frombuffer(s, np.uint64) for s in block["bs"]], block["brep"].to_numpy()
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            n = np.array([len(s) for s in sets])
-            for q, raw in zip(queries["rep"], queries["s"], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                first, last = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                hit = np.repeat(first, last - first) + np.arange((last - first).sum()) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
-                common = np.bincount(owner[hit], minlength=len(sets))
-                ok = (reps != q) & (100 * common >= percent * (n + len(s) - common))
-                u += [q] * int(ok.sum())
-                v += reps[ok].tolist()
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-
-    return run
-
-
-def _fit(a: str, b: str, percent: int):
+def _fit(a, b, percent: int):
     """Sizes of sets that can link."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -238,7 +178,7 @@ def _compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pairs = C.cut(pairs)
     near = sets.select(F.col("rep").alias("u"), F.col("s").alias("us")).join(C.small(pairs, pairs.count(), BROADCAST_ROWS), "u")
     both = near.join(_wanted(sets, pairs.select(F.col("v").alias("rep"))).select(F.col("rep").alias("v"), F.col("s").alias("vs")), "v")
-    return C.cut(both.select("u", "v", "us", "vs").mapInArrow(_linked(percent), "u long, v long"))
+    return C.cut(both.filter(_links("us", "vs", percent)).select("u", "v"))
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
@@ -249,8 +189,22 @@ def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
     return C.cut(met.join(open_, "key"))
 
 
+def _supported(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """met without the sets that have too many tokens to themselves to link with any other, and without buckets of one part."""
+    rows = sets.select("rep", F.size("s").alias("n"), F.xxhash64("s").alias("id"), F.explode("s").alias("token"))
+    own = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "id")).alias("m"), F.count("*").alias("k")).filter("k = 1")
+    alone = own.groupBy("m.rep", "m.n", "m.id").agg(F.count("*").alias("k")).filter(100 * (F.col("n") - F.col("k")) < percent * F.col("n")).select("rep")
+    several = sets.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1")  # an id with two texts goes by both
+    alone = C.cut(alone.join(several, "rep", "left_anti"))
+    met = met.join(C.small(alone, alone.count(), BROADCAST_ROWS), "rep", "left_anti")
+    open_ = met.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("key")
+    return met.join(open_, "key")
+
+
 def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """Links among sets of one bucket and different components, through groups and the unions of their tokens."""
+    sets = C.cut(_wanted(sets, met.select("rep")))
+    met = C.cut(_supported(sets, met, percent))
     top = met.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"))
     met = C.cut(met.join(top.select("key", F.col("h.rep").alias("hub")), "key"))
     # Each set stands in one group, with others that share its most popular hub, and its own component first of all.
@@ -268,14 +222,12 @@ def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     ask = C.cut(ask.filter("only is null or only <> c").select("rep", "g").distinct())
 
     grouped = member.join(ask.select("g").distinct(), "g", "left_semi").select("rep", "g")
-    grouped = C.cut(_wanted(sets, grouped.select("rep")).join(grouped, "rep"))
-    unions = C.cut(grouped.select("g", "s").groupBy("g").applyInArrow(_union, "g long, union binary"))
-    asking = _wanted(sets, ask.select("rep"))
-    fits = C.cut(asking.join(ask, "rep").join(unions, "g").select("rep", "g", "s", "union").mapInArrow(_bounded(percent), "rep long, g long"))
-    parts = C.cut(fits.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
-    q = _wanted(sets, fits.select("rep")).join(fits.join(parts, "g"), "rep").select("g", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "s")
-    b = grouped.join(parts, "g").select(F.col("g").alias("bg"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bpart"), F.col("rep").alias("brep"), F.col("s").alias("bs"))
-    return C.cut(q.groupBy("g", "part").cogroup(b.groupBy("bg", "bpart")).applyInPandas(_open(percent), "u long, v long"))
+    grouped = C.cut(sets.join(grouped, "rep").select("g", F.col("rep").alias("brep"), F.col("s").alias("bs")))
+    unions = C.cut(grouped.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("union")))
+    asking = sets.join(ask, "rep")
+    fits = C.cut(asking.join(unions, "g").filter(100 * F.size(F.array_intersect("s", "union")) >= percent * F.size("s")).select("rep", "g"))
+    opened = sets.join(fits, "rep").join(grouped, "g").filter("rep <> brep").filter(_fit(F.size("s"), F.size("bs"), percent)).filter(_links("s", "bs", percent))
+    return C.cut(opened.select(F.col("rep").alias("u"), F.col("brep").alias("v")).distinct())
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -327,10 +279,10 @@ def _load(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     wanted = C.cut(wanted.select("rep", "fp"))
     n = wanted.count()
     ids = C.small(wanted.select("rep").distinct(), n, BROADCAST_ROWS)
-    made = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").mapInArrow(_sets(shingle), "rep long, fp binary, s binary")
+    made = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").mapInArrow(_sets(shingle), "rep long, fp binary, s array<long>")
     made = C.cut(made.join(C.small(wanted, n, BROADCAST_ROWS), ["rep", "fp"]))
     if made.count() > n:  # rows that are repeated bring their text more than once
-        made = C.cut(made.groupBy("rep", "fp").agg(F.first("s").alias("s")))
+        made = C.cut(made.dropDuplicates(["rep", "fp"]))
     return made.select("rep", "s")
 
 

@@ -60,11 +60,13 @@ def test_empty_tables(spark, name):
     assert run(spark, nothing(spark), nothing(spark, "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_jaccard_against_all_pairs(spark):
+@pytest.mark.parametrize("hubs", [jaccard.HUBS, 0])  # without hubs the matrix does it all
+def test_jaccard_against_all_pairs(spark, monkeypatch, hubs):
     import random
 
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
     r = random.Random(5)
-    base = [[f"w{r.randrange(300)}" for _ in range(r.randrange(3, 90))] for _ in range(30)]
+    base = [[f"w{r.randrange(300)}" for _ in range(r.randrange(3, 90 if i % 2 else 15))] for i in range(40)]
     rows = []
     for i in range(240):
         w = list(r.choice(base))
@@ -91,6 +93,30 @@ def test_jaccard_against_all_pairs(spark):
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_buckets():
+    """Linked sets meet in a bucket, whichever tokens are heavy; sets without a common token never do."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    linked = 0
+    for trial in range(4000):
+        percent, n = (80, 90, 60, 95)[trial % 4], int(rng.integers(1, 12) if trial % 3 else rng.integers(12, 300))
+        a = np.unique(draw(n))
+        change = int(rng.integers(0, n * (100 - percent) // percent + 1))
+        gone = int(change * rng.random())
+        b = np.unique(np.concatenate((rng.permutation(a)[min(gone, n - 1) :], draw(change - gone))))
+        heavy = np.sort(rng.choice(np.union1d(a, b), int(rng.integers(0, n + 1)), replace=False))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(jaccard.keys(a, percent, heavy), jaccard.keys(b, percent, heavy)))
+    assert linked > 3000
+    for percent in (80, 90):
+        apart = np.concatenate([jaccard.keys(np.unique(draw(int(rng.integers(2, 200)))), percent) for _ in range(400)])
+        assert len(np.unique(apart)) == len(apart)
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
