@@ -20,6 +20,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 #: Share of good documents that all rules together may reject in a stratum, and the chance that any stratum exceeds it.
 RISK, DELTA = 0.02, 0.05
+#: Steps of the joint sequence: at step k each rule stands at its k-th cutoff, or at its last.
+STEPS = max(len(cuts) for _, cuts in RULES.values())
 #: Good documents that a bad one caught is worth, among cutoffs that are safe.
 PRICE = 5
 _POS = 24  # bits of a word's place beside its window's hash
@@ -63,21 +65,24 @@ def binomial_cdf(k: str, n: str, p: float) -> Column:
 def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA, price: float = PRICE) -> DataFrame:
     """(stratum, cut_<rule>...): for each stratum and rule the cutoff to use, null for none.
 
-    labelled: features with stratum and quality (1 good, 0 bad).  A cutoff is safe if the exact binomial test rejects "it
-    loses more than risk / rules of the stratum's good documents".  Within a stratum and rule, cutoffs are tested from
-    lenient to strict until one fails, which needs no correction; over strata and rules the level is divided (Bonferroni).
-    So with chance 1 - delta no stratum loses more than `risk`.  Of the safe ones, the cutoff with the best balance of bad
-    ones caught and good ones lost is taken; one that catches no bad one is not."""
-    usable = labelled.filter("not base_failed")
-    hits = [F.expr(f"array({', '.join(f'sum(if(quality = {q} and {v} > {c}D, 1L, 0L))' for c in cuts)})").alias(f"{r}_{q}") for r, (v, cuts) in RULES.items() for q in (0, 1)]
-    per = usable.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n"), *hits).filter("n > 0")
-    per = per.withColumn("tests", F.count("*").over(W.partitionBy()) * len(RULES))
+    labelled: features with stratum, print (of the text) and quality (1 good, 0 bad).  Copies of a text are one trial, bad if
+    any is.  The rules go from lenient to strict together, in STEPS steps fixed beforehand.  A step is safe if the exact
+    binomial test rejects "its rules together lose more than `risk` of the stratum's good texts"; steps are tested in order
+    until one fails, which needs no correction, and over strata the level is divided (Bonferroni).  Cutoffs no stricter than
+    a safe step's lose no more than it does, so with chance 1 - delta no stratum loses more than `risk`, whichever of them
+    each rule then takes: the one with the best balance of bad ones caught and good ones lost, none if it catches no bad one."""
+    usable = labelled.filter("not base_failed").groupBy("stratum", "print").agg(F.min("quality").alias("quality"), *(F.first(F.expr(v)).alias(f"v_{r}") for r, (v, _) in RULES.items()))
+    hits = [F.expr(f"array({', '.join(f'sum(if(quality = {q} and v_{r} > {c}D, 1L, 0L))' for c in cuts)})").alias(f"{r}_{q}") for r, (_, cuts) in RULES.items() for q in (0, 1)]
+    step = [" or ".join(f"v_{r} > {cuts[min(k, len(cuts) - 1)]}D" for r, (_, cuts) in RULES.items()) for k in range(STEPS)]
+    joint = F.expr(f"array({', '.join(f'sum(if(quality = 1 and ({x}), 1L, 0L))' for x in step)})").alias("joint")
+    per = usable.groupBy("stratum").agg(F.sum((F.col("quality") == 1).cast("long")).alias("n"), joint, *hits).filter("n > 0")
+    per = per.withColumn("tests", F.count("*").over(W.partitionBy()))  # one row a stratum
+    tested = per.select("stratum", "n", "tests", F.posexplode("joint").alias("k", "g")).withColumn("p", binomial_cdf("g", "n", risk))
+    sofar = W.partitionBy("stratum").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    safe = tested.withColumn("safe", F.min(F.col("p") <= delta / F.col("tests")).over(sofar)).filter("safe").groupBy("stratum").agg(F.max("k").alias("step"))
     each = [F.expr(f"transform({r}_1, (g, i) -> named_struct('rule', '{r}', 'i', i, 'cut', array({', '.join(f'{c}D' for c in cuts)})[i], 'g', g, 'b', {r}_0[i]))") for r, (_, cuts) in RULES.items()]
-    rows = per.select("stratum", "n", "tests", F.explode(F.concat(*each)).alias("x")).select("stratum", "n", "tests", "x.*")
-    rows = rows.withColumn("p", binomial_cdf("g", "n", risk / len(RULES)))
-    sofar = W.partitionBy("stratum", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("safe", F.min(F.col("p") <= delta / F.col("tests")).over(sofar))
-    best = rows.filter(f"safe and b > {price} * g").groupBy("stratum", "rule").agg(F.max(F.struct((F.col("b") - price * F.col("g")).alias("gain"), (-F.col("i")).alias("i"), "cut")).alias("m"))
+    rows = per.join(safe, "stratum").select("stratum", "step", F.explode(F.concat(*each)).alias("x")).select("stratum", "step", "x.*").filter("i <= step")
+    best = rows.filter(f"b > {price} * g").groupBy("stratum", "rule").agg(F.max(F.struct((F.col("b") - price * F.col("g")).alias("gain"), (-F.col("i")).alias("i"), "cut")).alias("m"))
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("m.cut"))).alias(f"cut_{r}") for r in RULES))
 
 
@@ -87,9 +92,9 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: Colu
     A stratum (by default the language, null as one of its own) with too few labels gets no cutoff and loses nothing
     beyond base.  Several labels of one id count as bad if any is; null labels count for nothing; an empty table gives an
     empty result.  Columns of docs with the names of results give way."""
-    docs = docs.drop("stratum", "kept", *(f"cut_{r}" for r in RULES))
+    docs = docs.drop("stratum", "kept", "print", *(f"cut_{r}" for r in RULES))
     stratum = F.coalesce(F.col("lang"), F.lit("")) if stratum is None else stratum
-    made = C.cut(features(docs).withColumn("stratum", stratum))
+    made = C.cut(features(docs.withColumn("print", F.md5(C.text_of(F.col("text")).cast("binary")))).withColumn("stratum", stratum))
     truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     cuts = C.cut(cutoffs(made.drop("quality").join(truth, "doc_id"), risk, delta))
     out = made.join(C.small(cuts, cuts.count(), BROADCAST_STRATA), "stratum", "left")
@@ -97,7 +102,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: Colu
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("print")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +114,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     rules = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts))
     value = "CASE r.rule " + " ".join(f"WHEN '{r}' THEN {v.replace('0D', '0').replace('100.0', '100.0::DOUBLE').replace('1.0 ', '1.0::DOUBLE ')}" for r, (v, _) in RULES.items()) + " END"
-    p = RISK / len(RULES)
+    p = RISK
     return rf"""
 WITH words AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 wins AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM words),
@@ -118,22 +123,29 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k
 cov AS (SELECT doc_id, sum(least(3, coalesce(i - prev, 3)))::BIGINT AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM twice) GROUP BY 1),
 lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words),
 feat AS (
-  SELECT w.doc_id, coalesce(lang, '') AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  SELECT w.doc_id, t, coalesce(lang, '') AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM words w JOIN lines USING (doc_id) LEFT JOIN cov c USING (doc_id)),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feat),
 rules AS (SELECT * FROM (VALUES {rules}) v(rule, i, cut)),
-lab AS (SELECT b.*, q.quality FROM based b JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1) q USING (doc_id) WHERE NOT base_failed),
-hits AS (
-  SELECT stratum, rule, i, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND {value} > cut) AS g, count(*) FILTER (quality = 0 AND {value} > cut) AS b
-  FROM lab CROSS JOIN rules r GROUP BY ALL),
-tests AS (SELECT *, (SELECT count(DISTINCT stratum) FROM hits WHERE n > 0) * {len(RULES)} AS tests FROM hits WHERE n > 0),
+lab AS (
+  SELECT stratum, t, min(q.quality) AS quality, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
+    any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words, row_number() OVER () AS id
+  FROM based b JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1) q USING (doc_id)
+  WHERE NOT base_failed GROUP BY stratum, t),
+over AS (SELECT id, stratum, quality, rule, i, cut, {value} > cut AS over FROM lab CROSS JOIN rules r),
+hits AS (SELECT stratum, rule, i, cut, count(*) FILTER (quality = 1 AND over) AS g, count(*) FILTER (quality = 0 AND over) AS b FROM over GROUP BY ALL),
+steps AS (SELECT k, rule, least(k, (SELECT max(i) FROM rules x WHERE x.rule = y.rule)) AS i FROM (SELECT DISTINCT rule FROM rules) y, (SELECT unnest(range({STEPS})) AS k)),
+joint AS (
+  SELECT stratum, k, count(*) AS n, count(*) FILTER (lost) AS g
+  FROM (SELECT id, stratum, k, bool_or(over) AS lost FROM over JOIN steps USING (rule, i) WHERE quality = 1 GROUP BY ALL) GROUP BY ALL),
 pv AS (
-  SELECT *, CASE WHEN g >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, g + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({p}) + (n - x) * ln({1 - p})))) END AS p
-  FROM tests),
-safe AS (SELECT *, bool_and(p <= {DELTA} / tests) OVER (PARTITION BY stratum, rule ORDER BY i) AS safe FROM pv),
-best AS (SELECT stratum, rule, arg_max(cut, (b - {PRICE} * g) * 100 - i) AS cut FROM safe WHERE safe AND b > {PRICE} * g GROUP BY 1, 2),
+  SELECT *, CASE WHEN g >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, g + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({p}) + (n - x) * ln({1 - p})))) END AS p,
+    (SELECT count(DISTINCT stratum) FROM joint) AS tests
+  FROM joint),
+safe AS (SELECT stratum, max(k) AS step FROM (SELECT *, bool_and(p <= {DELTA} / tests) OVER (PARTITION BY stratum ORDER BY k) AS safe FROM pv) WHERE safe GROUP BY 1),
+best AS (SELECT stratum, rule, arg_max(cut, (b - {PRICE} * g) * 100 - i) AS cut FROM hits JOIN safe USING (stratum) WHERE i <= step AND b > {PRICE} * g GROUP BY 1, 2),
 bad AS (SELECT DISTINCT f.doc_id FROM based f JOIN best r USING (stratum) WHERE n_words > 0 AND {value} > r.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
