@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: Labelled rows that the model is fitted on at most (those with the lowest hash of their id): this bounds what the driver
-#: holds.  Features that it keeps, rows that a feature needs, texts made from one by swapping.
-ROWS, FEATURES, SUPPORT, SWAPS = 12_000, 3072, 3, 3
+#: holds.  Features that it keeps, rows that a feature needs, labels up to which their table is broadcast.
+ROWS, FEATURES, SUPPORT, BROADCAST_LABELS = 12_000, 3072, 3, 1_000_000
 #: Weight of a changed score, weight of large coefficients, steps, score from which a text is rejected.
-LAMBDA, RIDGE, STEPS, LIMIT = 4.0, 2e-4, 500, 0.7
+LAMBDA, RIDGE, STEPS, LIMIT = 40.0, 2e-4, 500, 0.7
 #: A word's first bytes are features too: insults are inflected.
 PREFIXES = (4, 6, 7, 8)
-#: Terms of one row may stand for each other.  Fixed values, a parameter.
+#: Terms of one row may stand for each other, in the languages of the corpus (English, German, French, Spanish).  Fixed values,
+#: a parameter.
 IDENTITY = (
     ("women", "men"),
     ("woman", "man"),
@@ -33,6 +34,28 @@ IDENTITY = (
     ("old", "young"),
     ("disabled", "deaf", "blind"),
     ("immigrants", "refugees", "natives"),
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("christliche", "muslimische", "jüdische", "hinduistische", "buddhistische", "atheistische"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "amerikanische"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("einwanderer", "flüchtlinge", "einheimische"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "américains"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("handicapés", "sourds", "aveugles"),
+    ("immigrés", "réfugiés", "autochtones"),
+    ("mujeres", "hombres"),
+    ("niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "americanos"),
+    ("gais", "lesbianas", "bisexuales", "heterosexuales"),
+    ("discapacitados", "sordos", "ciegos"),
+    ("inmigrantes", "refugiados", "nativos"),
 )
 
 _INSIDE = np.zeros(256, bool)
@@ -58,27 +81,26 @@ def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return feature, count, n
 
 
-def swapped(text: str | None, identity=IDENTITY, most: int = SWAPS) -> list[str]:
-    """Up to `most` texts in which every identity term has become another of its row."""
-    place = {w: (row, i) for row in identity for i, w in enumerate(row)}
+def swapped(text: str | None, identity=IDENTITY) -> list[str]:
+    """The texts in which every identity term has become another of its row: one for each alternative of the longest row met."""
+    place = {w.casefold(): (row, i) for row in identity for i, w in enumerate(row)}
     found = re.compile(r"\b(" + "|".join(sorted(map(re.escape, place), key=len, reverse=True)) + r")\b", re.IGNORECASE)
-    if not text or not found.search(text):
-        return []
+    met = [place[w] for w in {m[0].casefold() for m in found.finditer(text or "")} if w in place]
 
     def other(k: int):
         def sub(m: re.Match) -> str:
-            row, i = place[m[0].lower()]
-            return row[(i + 1 + k % (len(row) - 1)) % len(row)]
+            row, i = place.get(m[0].casefold(), ((m[0],), 0))
+            return row[(i + 1 + k % max(1, len(row) - 1)) % len(row)]
 
         return sub
 
-    made = dict.fromkeys(found.sub(other(k), text) for k in range(most))
-    return list(made)
+    return list(dict.fromkeys(found.sub(other(k), text) for k in range(max((len(row) - 1 for row, _ in met), default=0))))
 
 
 class Model(NamedTuple):
     features: np.ndarray  # rising
     weights: np.ndarray  # of the features, of the logarithm of the length, of 1
+    swaps: int = 0  # labelled texts with an identity term, whose swaps it was trained on
 
     def values(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
         f, c, n = hashes(text)
@@ -150,10 +172,15 @@ def _picked(shared):
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES, identity=IDENTITY, strength: float = LAMBDA) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` of them.  Features are the words and
-    prefixes whose presence tells most about the label (likelihood ratio), counted over those rows by Spark."""
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), at most `rows` of them that have a text.  Features are the
+    words and prefixes whose presence tells most about the label (likelihood ratio), counted over those rows by Spark.
+
+    Null ids and labels count for nothing, several labels of an id as toxic if any is, several texts of an id as the greatest;
+    without labels the model is neutral.  Other columns count for nothing."""
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labels = C.cut(labels)
+    here = docs.select("doc_id").join(C.small(labels, labels.count(), BROADCAST_LABELS), "doc_id").distinct()  # labels without a text don't use up the bound
+    labels = here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.join(F.broadcast(labels), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # broadcast: `rows` at most
     made = C.cut(text.mapInArrow(_features(identity), "pair long, copy int, label int, f array<long>, c array<long>, n long"))
     base = made.filter("copy = 0")
@@ -171,11 +198,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROW
     chosen = np.unique(np.concatenate([best["f"].to_numpy(np.int64), hashes(" ".join(words))[0]]))
     picked = made.select("pair", "copy", "label", "f", "c", "n").mapInArrow(_picked(spark.sparkContext.broadcast(chosen)), "pair long, copy int, label int, at array<long>, v array<double>, n double")
     rows_ = [tuple(r) for r in picked.orderBy("pair", "copy").collect()]  # `rows` texts and their swaps, chosen features alone
-    return Model(chosen, train(rows_, len(chosen), strength))
+    return Model(chosen, train(rows_, len(chosen), strength), len({r[0] for r in rows_ if r[1]}))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1; null counts as empty text): a map over the table, no shuffle.  A column score gives way."""
+    """docs with score (0 to 1; null counts as empty text): a map over the table, no shuffle.  A column score gives way, other
+    columns stay; equal texts score alike; an empty table gives an empty result."""
     docs = docs.drop("score")
     shared = spark.sparkContext.broadcast(tuple(model))
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
-from tallyspark.llm import lmscore, pii, quality
+from tallyspark.llm import lmscore, pii, quality, toxicity
 
 
 def _trained(spark, rows, texts):
@@ -79,7 +79,8 @@ def test_each_quality_rule_selects_a_cutoff(spark, tmp_path):
         " ".join(x * 5 for x in w),
         " ".join(a + b for a, b in itertools.product("abcdefgh", "ijklmnop")),
     ]
-    texts = [good] * 1200 + [b for b in bad for _ in range(20)]
+    # Trials are distinct texts: each good one has a word of its own, each bad one stands alone by its last.
+    texts = [f"{good} {'xyz'[i % 3]}ort{i}e" for i in range(1200)] + [f"{b} {w[i]}" for b in bad for i in range(20)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 1200)) for i in range(len(texts))], "doc_id long, quality int")
     docs.write.parquet(f"{tmp_path}/documents.parquet"), labels.write.parquet(f"{tmp_path}/labels.parquet")
@@ -94,6 +95,29 @@ def test_each_quality_rule_selects_a_cutoff(spark, tmp_path):
     assert got == sorted(want.fetchall()) and sum(r[-1] for r in got) == 1200
 
 
+def test_few_labels_select_cutoffs_and_many_strata_keep_the_bound(spark):
+    """Some 220 good texts are enough in four strata; where a step truly loses more than the risk, hardly any stratum takes it;
+    copies of one text are one trial."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    junk = lambda n: " ".join([*(word() for _ in range(60)), "#" * n])
+    rows = [(f"few{s}", 1, junk(0)) for s in range(4) for _ in range(230)] + [(f"few{s}", 0, junk(30)) for s in range(4) for _ in range(10)]
+    docs = spark.createDataFrame([(i, s, t) for i, (s, q, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, q) for i, (s, q, t) in enumerate(rows)], "doc_id long, quality int")
+    out = quality.judge(spark, docs, labels)
+    assert out.filter("cut_symbols is not null").select("stratum").distinct().count() == 4
+    assert [x["doc_id"] for x in out.filter("not kept").collect()] == [i for i, (s, q, t) in enumerate(rows) if not q]
+    # 40 strata of 400 good texts, of which each is lost by the strictest useful cutoff with a chance of 3 percent.
+    rows = [(f"s{s}", q, junk(30 if not q or r.random() < 0.03 else 0)) for s in range(40) for q in [1] * 400 + [0] * 30]
+    rows += [("copies", 1, "one text of sixty words " * 15)] * 600 + [("copies", 0, junk(30))] * 10
+    docs = spark.createDataFrame([(i, s, t) for i, (s, q, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, q) for i, (s, q, t) in enumerate(rows)], "doc_id long, quality int")
+    out = quality.judge(spark, docs, labels)
+    assert out.filter("cut_symbols is not null").select("stratum").distinct().count() == 0
+
+
 def test_a_trusted_context_reveals_any_identifier(spark):
     """Spaced, digit-free and short identifiers, whole; what follows them stays."""
     said = "please note employee badge {} for the visit tomorrow"
@@ -106,3 +130,27 @@ def test_a_trusted_context_reveals_any_identifier(spark):
     assert not any(found[i] for i in (*range(20), 100, 101)) and df.count() == len(rows) + 1
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert {clean[i] for i in range(20, 26)} == {said.format("[CONTEXT]")}
+
+
+def test_swaps_take_bias_out_of_neutral_mentions(spark):
+    """Insults that name one group more often than others don't make its neutral mentions toxic, in any of the languages."""
+    verb = {"muslims": "are", "juden": "sind", "femmes": "sont", "negros": "son"}
+    rows = []
+    for term, is_ in verb.items():
+        row = next(r for r in toxicity.IDENTITY if term in r)
+        for k in range(60):  # most insults name one group, few the others; kind words hardly ever name it
+            rows.append((f"{term if k % 6 else row[k // 6 % len(row)]} {is_} vermin{'abcdefghijkl'[k % 12]}", 1))
+            rows.append((f"{'neighbours' if k % 6 else row[k // 6 % len(row)]} {is_} kind{'abcdefghijkl'[k % 12]}", 0))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    neutral = [(f"{t} {is_} here", t) for t, is_ in verb.items()]
+    gap, wrong = {}, {}
+    for strength in (0.0, toxicity.LAMBDA):
+        model = toxicity.fit(spark, docs, labels, strength=strength)
+        assert model.swaps > 100
+        scores = {t: model.score(x) for x, t in neutral}
+        gap[strength] = sum(abs(model.score(y) - scores[t]) for x, t in neutral for y in toxicity.swapped(x)) / sum(len(toxicity.swapped(x)) for x, _ in neutral)
+        wrong[strength] = sum(v >= toxicity.LIMIT for v in scores.values())
+        assert min(model.score(f"{g} {verb[t]} vermina") for t in verb for g in next(r for r in toxicity.IDENTITY if t in r)) > 0.5
+    assert wrong[0.0] == 4 and wrong[toxicity.LAMBDA] == 0 and gap[toxicity.LAMBDA] < 0.25 * gap[0.0], (gap, wrong)
+    assert [len(toxicity.swapped(t)) for t in ("a Black man", "nobody", None, "Jüdische and JEWS", "\u017fourds")] == [6, 0, 0, 5, 2]
