@@ -67,18 +67,18 @@ def _joined(spans: str) -> Column:
 
 def found(docs: DataFrame) -> DataFrame:
     """docs with key (of the row), n_<kind>, base: array of (start, kind_no, stop, kind), and occ: the coded words that
-    could be identifiers, as (pattern, instance, start, stop, seed)."""
+    could be identifiers, as (patterns, instance, start, stop, seed)."""
     docs, back = C.aside(docs, ["doc_id", "text"], {"key", "base", "occ", "all", "more", *(f"n_{k}" for k in FORMATS)})
-    df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", C.words(F.col("text")))
+    df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", _hidden(F.col("text")))
     df = _positions(df, "t", FORMATS | {"coded": CODED})
     for i, k in enumerate(FORMATS):
         ok = f"filter(at_{k}, m -> exists(array(m.v), v -> {_valid(k)}))"
         df = df.withColumn(f"ok_{k}", F.expr(f"transform({ok}, m -> named_struct('start', m.start, 'kind_no', {i}, 'stop', m.stop, 'kind', '{k}'))"))
     df = df.withColumn("base", F.array_sort(F.concat(*(f"ok_{k}" for k in FORMATS))))
-    df = df.withColumn("where", F.expr("if(size(at_coded) = 0, array(), filter(sequence(0, size(w) - 1), i -> w[i] rlike '[0-9]'))"))
+    df = df.withColumn("where", F.expr("if(size(at_coded) = 0, array(), filter(sequence(0, size(w) - 1), i -> contains(w[i], '0')))"))
     trimmed, lead = _trimmed("m.v")
-    occ = f"transform(at_coded, (m, i) -> named_struct('pattern', {_context('where[i]')}, 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
-    df = df.withColumn("occ", F.expr(f"filter({occ}, o -> o.pattern is not null and (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
+    occ = f"transform(at_coded, (m, i) -> named_struct('patterns', array({_before('where[i]')}, {_around('where[i]')}), 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
+    df = df.withColumn("occ", F.expr(f"filter({occ}, o -> (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
     return df.select("doc_id", "text", *back, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
 
 
@@ -88,21 +88,30 @@ def _trimmed(v: str) -> tuple[str, str]:
     return f"regexp_replace({v}, r'^[^\\p{{L}}\\p{{N}}+]+|[^\\p{{L}}\\p{{N}}]+$', '')", f"char_length({v}) - char_length({front})"
 
 
-def _context(i: str) -> str:
-    """The lexical pattern in front of word i of w: a label such as `account:`, or the two words before; digits hidden."""
-    word = "regexp_replace(lower(get(w, {})), '[0-9]+', '#')"
-    one, two = word.format(f"{i} - 1"), word.format(f"{i} - 2")
-    return f"case when {one} rlike r'^\\p{{L}}.*[:=#]$' then {one} when {i} >= 2 then concat({two}, ' ', {one}) end"
+def _hidden(text: Column) -> Column:
+    """The words in lower case with their digits hidden: a 0 for each run."""
+    return C.words(F.regexp_replace(F.lower(text), "[0-9]+", "0"))
+
+
+def _before(i: str) -> str:
+    """The lexical pattern in front of word i of w, hidden words: a label such as `account:`, or the two words before."""
+    one = f"get(w, {i} - 1)"
+    return f"case when right({one}, 1) in (':', '=', '#') and {one} rlike r'^\\p{{L}}' then {one} when {i} >= 2 then concat(get(w, {i} - 2), ' ', {one}) end"
+
+
+def _around(i: str) -> str:
+    """The pattern on both sides of word i; null at an end of the text."""
+    return f"concat(get(w, {i} - 1), ' _ ', get(w, {i} + 1))"
 
 
 def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rounds: int = ROUNDS, trust: float = TRUST) -> tuple[DataFrame, DataFrame | None]:
     """(pattern, trust) of the patterns that discover identifiers, and (key, i, pattern) of every word that follows one of
-    the patterns counted over all documents; None if none was.
+    the patterns counted over all documents; None if none was.  A pattern is what stands before a word, or on both its sides.
 
     Graph: patterns and instances, an edge where they occur together.  Seeds (instances of a fixed format) score 1.  A
     pattern's score is the scored share of all its occurrences in the corpus, with or without a coded word after it; an
     unseen instance's score is the noisy-or of its patterns'.  Scores go back and forth for `rounds`."""
-    edges = spotted.select(F.explode("occ").alias("o")).select("o.*").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = spotted.select(F.explode("occ").alias("o")).select("o.instance", "o.seed", F.explode("o.patterns").alias("pattern")).filter("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = C.cut(edges)
     many = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("coded")).filter(F.col("k") >= instances)
     many, places = C.cut(many.select("pattern", "coded", F.lit(0).cast("long").alias("total"))), None
@@ -112,8 +121,8 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
         if not n:
             return many.select("pattern", F.lit(1.0).alias("trust")), places
         some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) if share > 1 else docs
-        contexts = F.expr(f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> {_context('i')}))")
-        every = some.select(F.xxhash64("doc_id", "text").alias("key"), C.words(F.col("text")).alias("w")).select("key", F.posexplode(contexts).alias("i", "pattern"))
+        each = f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> array({_before('i')}, {_around('i')})))"
+        every = some.select(F.xxhash64("doc_id", "text").alias("key"), _hidden(F.col("text")).alias("w")).select("key", F.posexplode(F.expr(each)).alias("i", "both")).select("key", "i", F.explode("both").alias("pattern"))
         places = every.join(C.small(many.select("pattern"), n, BROADCAST_ROWS), "pattern")
         if share == 1:
             places = C.cut(places.select("key", (F.col("i") + 1).alias("i"), "pattern"))
