@@ -5,7 +5,6 @@ from __future__ import annotations
 import os.path
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,34 +69,32 @@ def longest_name(rows: DataFrame, name: str) -> DataFrame:
 PREFIX = 20
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keys of one family, longest first: each joins the first group that it equals, extends or begins, or shares a long
-    start with."""
-    groups: list[str] = []
-    out = []
-    for k in sorted(pdf["chave"], key=lambda k: (-len(k), k)):
-        for g in groups:
-            start = os.path.commonprefix([k, g])
-            if g.startswith(k + " ") or k.startswith(g + " ") or len(start[: start.rfind(" ")] if " " in start else start) >= PREFIX:
-                out.append((k, g))
-                break
-        else:
-            groups.append(k)
-            out.append((k, k))
-    return pd.DataFrame(out, columns=["chave", "grupo"])
-
-
 def grouped_names(names: DataFrame) -> DataFrame:
-    """(chave, grupo, canonico): names (chave, qtd) grouped by spelling, then groups with one leading core word united
-    under the one with most rows.
-
-    Groups can only form among keys that begin with the same word, so each such family is worked through on its own."""
-    family = F.substring_index("chave", " ", 1)
-    grouped = names.groupBy(family.alias("f")).applyInPandas(lambda pdf: _group(pdf), "chave string, grupo string")
+    """(chave, grupo, canonico): names (chave, qtd, one row a key) grouped by spelling, then groups with one leading core word
+    united under the one with most rows.
+
+    The rule: keys are taken longest first, and each joins the first group whose first key it begins, word by word, or with
+    which it shares a start of PREFIX characters or more up to a space.  So keys of PREFIX characters or more are together
+    exactly if they agree up to their first space from there on (or in their first PREFIX characters, if those hold no
+    space); a shorter key joins the first key of all that goes on after it.  Both are grouping keys: nothing is compared pair
+    by pair.  Empty and null keys are left out."""
+    names = names.filter("chave <> ''")
+    order = F.struct(-F.char_length("chave"), "chave")
+    head, tail = F.substring("chave", 1, PREFIX), F.expr(f"substring(chave, {PREFIX + 1})")
+    start = F.when(F.instr(head, " ") == 0, head).when(F.instr(tail, " ") == 0, F.col("chave")).otherwise(F.concat(head, F.substring_index(tail, " ", 1)))
+    long = names.filter(F.char_length("chave") >= PREFIX).withColumn("inicio", start)
+    firsts = long.groupBy("inicio").agg(F.min_by("chave", order).alias("grupo"))
+    grouped = long.join(firsts, "inicio").select("chave", "grupo")
+    words = F.split("chave", " ")
+    begins = F.filter(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, 1, i), " ")), lambda x: F.char_length(x) < PREFIX)
+    after = names.filter(F.instr("chave", " ") > 0).select("chave", F.explode(begins).alias("comeco")).groupBy("comeco").agg(F.min_by("chave", order).alias("grupo"))
+    short = names.filter(F.char_length("chave") < PREFIX).join(after, F.col("chave") == F.col("comeco"), "left").select("chave", F.coalesce("grupo", "chave").alias("grupo"))
+    grouped = grouped.unionByName(short)
     sized = grouped.join(names.select("chave", "qtd"), "chave").groupBy("grupo").agg(F.sum("qtd").alias("qtd"))
     core = sized.withColumn("nucleo", F.element_at(X.name_core(F.col("grupo")), 1))
     head = core.groupBy("nucleo").agg(F.max_by("grupo", F.struct("qtd", F.col("grupo"))).alias("canonico"))
-    return grouped.join(core.join(head, "nucleo").select("grupo", "canonico"), "grupo").select("chave", "grupo", "canonico")
+    united = core.join(head, "nucleo", "left").select("grupo", F.coalesce("canonico", "grupo").alias("canonico"))  # without a core word, its own
+    return grouped.join(united, "grupo").select("chave", "grupo", "canonico")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

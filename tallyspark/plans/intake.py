@@ -134,18 +134,18 @@ def merge_lots(spark, d):
     return out.select("nota_id", "produto_id", *V.number("quantidade"), "consistente", "itens")
 
 
-PARTY = "p AS (SELECT c_custkey AS parceiro_id, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS cnpj, c_name AS nome, upper(c_name) || ' | ' || c_name || ' SA' AS variantes FROM customer)"
+PARTY = "p AS (SELECT c_custkey AS parceiro_id, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS cnpj, upper(c_name) AS nome, c_name || ' SA | Casa ' || c_name || ' Filial' AS variantes FROM customer)"
 
 
-@Q.add(f"""WITH {PARTY}, r AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cnpj, CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_name || ' SA' WHEN 2 THEN upper(c_name) ELSE c_name || ' X' END AS nome FROM orders JOIN customer ON c_custkey = o_custkey),
-a AS (SELECT min(parceiro_id) AS p, k FROM (SELECT parceiro_id, unnest(string_split(variantes, ' | ')) AS k FROM p) GROUP BY k)
+@Q.add(f"""WITH {PARTY}, r AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cnpj, CASE o_orderkey % 5 WHEN 0 THEN c_name WHEN 1 THEN c_name || '  SA' WHEN 2 THEN 'casa ' || c_name WHEN 3 THEN '' ELSE c_name || ' X' END AS nome FROM orders JOIN customer ON c_custkey = o_custkey),
+n AS (SELECT *, upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) AS k FROM r), a AS (SELECT k, min(parceiro_id) AS p FROM (SELECT DISTINCT k FROM n WHERE k <> '') JOIN p ON contains(upper(variantes), k) GROUP BY 1)
 SELECT o_orderkey, coalesce(p1.parceiro_id, p2.parceiro_id, a.p) AS parceiro_id, CASE WHEN p1.parceiro_id IS NOT NULL THEN 'cnpj' WHEN p2.parceiro_id IS NOT NULL THEN 'nome' WHEN a.p IS NOT NULL THEN 'variante' ELSE 'novo' END AS como
-FROM r LEFT JOIN p p1 ON p1.cnpj = r.cnpj AND p1.cnpj <> '' LEFT JOIN p p2 ON p2.nome = r.nome LEFT JOIN a ON a.k = r.nome""")
+FROM n LEFT JOIN p p1 ON p1.cnpj = n.cnpj AND p1.cnpj <> '' LEFT JOIN p p2 ON p2.nome = n.k LEFT JOIN a ON a.k = n.k""")
 def party_match(spark, d):
     c = V.table(spark, d, "customer")
-    parties = c.select(F.col("c_custkey").alias("parceiro_id"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string")).otherwise("").alias("cnpj"), F.col("c_name").alias("nome"), F.concat(F.upper("c_name"), F.lit(" | "), F.col("c_name"), F.lit(" SA")).alias("variantes"))
-    k, n = F.col("o_orderkey") % 4, F.col("c_name")
-    name = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(" SA"))).when(k == 2, F.upper(n)).otherwise(F.concat(n, F.lit(" X")))
+    parties = c.select(F.col("c_custkey").alias("parceiro_id"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string")).otherwise("").alias("cnpj"), F.upper("c_name").alias("nome"), F.concat("c_name", F.lit(" SA | Casa "), "c_name", F.lit(" Filial")).alias("variantes"))
+    k, n = F.col("o_orderkey") % 5, F.col("c_name")
+    name = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("  SA"))).when(k == 2, F.concat(F.lit("casa "), n)).when(k == 3, "").otherwise(F.concat(n, F.lit(" X")))
     rows = V.table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_custkey").cast("string").alias("cnpj"), name.alias("nome"))
     return ingest.match_party(rows, parties).select("o_orderkey", "parceiro_id", "como")
 
