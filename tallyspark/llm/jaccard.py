@@ -191,9 +191,9 @@ def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
 
 def _supported(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """met without the sets that have too many tokens to themselves to link with any other, and without buckets of one part."""
-    rows = sets.select("rep", F.size("s").alias("n"), F.xxhash64("s").alias("id"), F.explode("s").alias("token"))
-    own = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "id")).alias("m"), F.count("*").alias("k")).filter("k = 1")
-    alone = own.groupBy("m.rep", "m.n", "m.id").agg(F.count("*").alias("k")).filter(100 * (F.col("n") - F.col("k")) < percent * F.col("n")).select("rep")
+    rows = sets.select("rep", "n", "id", F.explode("s").alias("token"))
+    own = rows.groupBy("token").agg(*(F.min(c).alias(c) for c in ("rep", "n", "id")), F.count("*").alias("k")).filter("k = 1")
+    alone = own.groupBy("rep", "n", "id").agg(F.count("*").alias("k")).filter(100 * (F.col("n") - F.col("k")) < percent * F.col("n")).select("rep")
     several = sets.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1")  # an id with two texts goes by both
     alone = C.cut(alone.join(several, "rep", "left_anti"))
     met = met.join(C.small(alone, alone.count(), BROADCAST_ROWS), "rep", "left_anti")
@@ -203,7 +203,7 @@ def _supported(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
 
 def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """Links among sets of one bucket and different components, through groups and the unions of their tokens."""
-    sets = C.cut(_wanted(sets, met.select("rep")))
+    sets = C.cut(_wanted(sets, met.select("rep")).select("rep", "s", F.size("s").alias("n"), F.xxhash64("s").alias("id")))
     met = C.cut(_supported(sets, met, percent))
     top = met.groupBy("key").agg(F.max(F.struct("score", "rep")).alias("h"))
     met = C.cut(met.join(top.select("key", F.col("h.rep").alias("hub")), "key"))
@@ -224,6 +224,7 @@ def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     grouped = member.join(ask.select("g").distinct(), "g", "left_semi").select("rep", "g")
     grouped = C.cut(sets.join(grouped, "rep").select("g", F.col("rep").alias("brep"), F.col("s").alias("bs")))
     unions = C.cut(grouped.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("union")))
+    sets = sets.select("rep", "s")
     asking = sets.join(ask, "rep")
     fits = C.cut(asking.join(unions, "g").filter(100 * F.size(F.array_intersect("s", "union")) >= percent * F.size("s")).select("rep", "g"))
     opened = sets.join(fits, "rep").join(grouped, "g").filter("rep <> brep").filter(_fit(F.size("s"), F.size("bs"), percent)).filter(_links("s", "bs", percent))
