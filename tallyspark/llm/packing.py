@@ -16,6 +16,8 @@ LENGTHS = (256, 512, 1024, 2048)
 OVERHEAD = 16
 #: Pieces that one task packs together.  Shards are independent; beyond some thousand pieces a larger shard packs no better.
 SHARD = 8192
+#: Copies of one row that one task makes.
+COPIES = 100_000
 SCHEMA = "doc_id long, copy int, piece int, start_word long, n_words long, bin_id long, bin_length int, bin_used int, bin_start int"
 
 
@@ -38,12 +40,13 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: i
         return next(x for x in lengths if x >= n)
 
     def cost(size: int, length: int) -> float:
-        room, fill = length - size, size
-        while room and (fits := waiting & ((1 << (room + 1)) - 1)):
+        room, fill, most = length - size, size, length - size  # most: larger sizes have been looked at
+        while most and (fits := waiting & ((1 << (most + 1)) - 1)):
             s = fits.bit_length() - 1
             k = min(left[s], room // s)
             fill += k * s
-            room = min(room - k * s, s - 1)
+            room -= k * s
+            most = min(room, s - 1)
         return (shortest(fill) + overhead) / fill
 
     for size in sizes:
@@ -77,9 +80,12 @@ def pack(spark: SparkSession, docs: DataFrame, lengths: Sequence[int] = LENGTHS,
     count = C.n_words(F.col("text")) if size is None else size
     # Equal rows are counted first and numbered after, so that a hot one is dealt out over all shards.
     sized = C.cut(docs.select("doc_id", count.alias("size")).groupBy("doc_id", "size").agg(F.count("*").alias("k")))
-    n = sized.select(F.sum(F.col("k") * F.ceil(F.col("size") / top)).alias("n")).first()["n"] or 0
+    whole = sized.select(F.sum(F.col("k") * F.ceil(F.col("size") / top)).alias("n"), F.max("k").alias("most")).first()
+    n, most = whole["n"] or 0, whole["most"] or 0
     shards = max(1, -(-int(n) // shard))
-    each = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("copy"))
+    runs = sized.select("doc_id", "size", "k", F.explode(F.sequence(F.lit(1), F.col("k"), F.lit(COPIES).cast("long"))).alias("from"))
+    runs = runs.repartition("doc_id", "size", "from") if most > COPIES else runs  # a hot row's copies are made by many tasks
+    each = runs.select("doc_id", "size", F.explode(F.sequence("from", F.least(F.col("k"), F.col("from") + COPIES - 1))).alias("copy")).withColumn("copy", F.col("copy").cast("int"))
     empty = each.filter("size = 0").select(
         "doc_id", "copy", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("long").alias("bin_id"), *(F.lit(None).cast("int").alias(c) for c in ("bin_length", "bin_used", "bin_start")),
