@@ -291,9 +291,13 @@ class Image:
                 self.coef = {c: np.zeros((self.rows * v * self.cols * h, BLOCK), np.int32) for c, (h, v, _) in self.parts.items()}
                 self.quant = {c: quant[q] for c, (_, _, q) in self.parts.items()}
             elif marker == 0xDA:
-                end = _MARKER.search(data, at).start()
-                self._read(body, data[at:end], tables)
-                at = end
+                end = _MARKER.search(data, at)
+                if not end:
+                    raise ValueError("a scan without an end")
+                self._read(body, data[at : end.start()], tables)
+                at = end.start()
+            elif marker == 0xDD and any(body):
+                raise ValueError("restart markers are not read")
             elif 0xC0 <= marker <= 0xCF:
                 raise ValueError("not a progressive Huffman-coded JPEG")
 

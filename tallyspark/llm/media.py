@@ -24,7 +24,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each text's bytes as the coefficients of a progressive JPEG; null as an empty text."""
+    """(doc_id, media): each text's bytes as the coefficients of a progressive JPEG; null as an empty text.  Equal texts give
+    equal media, row by row; other columns count for nothing; an empty table gives an empty result."""
     return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, media binary")
 
 
@@ -37,15 +38,22 @@ def feature(rgb: np.ndarray) -> str:
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, m in enumerate(b.column("media").to_pylist()):
-            rgb = jpeg.Image(m).rgb() if m else None
-            h, w = rgb.shape[:2] if m else (None, None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([rgb.tobytes() if m else None], pa.binary())], ["doc_id", "height", "width", "rgb"])
+            shape, rgb, error = (None, None), None, None
+            if m is not None:
+                try:
+                    image = jpeg.Image(m).rgb()
+                    shape, rgb = image.shape[:2], image.tobytes()
+                except Exception as e:  # a broken stream can fail anywhere
+                    error = f"{type(e).__name__}: {e}"
+            cols = [pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([rgb], pa.binary()), pa.array([error], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), *cols], ["doc_id", "height", "width", "rgb", "error"])
 
 
 def tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, height, width, rgb): full-resolution tensors of height * width * 3 bytes, of any progressive JPEG in media
-    (doc_id, media).  Null media gives nulls; a broken stream fails the job."""
-    return media.mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary")
+    """(doc_id, height, width, rgb, error): full-resolution tensors of height * width * 3 bytes, of any progressive JPEG in
+    media (doc_id, media), to be written as they are.  Null media gives nulls; a broken stream, or one with restart markers,
+    gives nulls and what is wrong with it.  Repeated rows stay; an empty table gives an empty result."""
+    return media.select("doc_id", "media").mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary, error string")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
