@@ -40,9 +40,11 @@ def _words(data: str | None) -> list[bytes]:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, sha): sha256 of the words joined by spaces."""
     for b in batches:
-        words = [_words(t) for t in b.column("text").to_pylist()]
-        sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(sha)], ["doc_id", "n", "sha"])
+        n, sha = [], []
+        for t in b.column("text").to_pylist():  # one text's words at a time
+            w = _words(t)
+            n.append(len(w)), sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n", "sha"])
 
 
 def _anchors(window: int):
@@ -135,7 +137,8 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> tuple[D
     ids = C.small(places.select("doc_id"), places.count(), BROADCAST_ROWS)
     seen = reps.join(ids, "doc_id", "left_semi").join(places, "doc_id").select("doc_id", "text", "at")
     windows = C.cut(seen.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, key long, start int"))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    # Written, so that the join has two plain sides and Spark can split a window that very many documents share.
+    first = C.cut(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
     gone = windows.join(first, ["h1", "h2"]).filter("doc_id > least")
     gone = C.cut(gone.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
     ids = C.small(gone.select("doc_id").distinct(), gone.count(), BROADCAST_ROWS)
