@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Buckets of hashed byte 3-grams (a language's model has so many numbers, whatever the corpus), languages at most, rounds
-#: of EM, smoothing of counts, grams that the likelihood counts as one observation (neighbouring grams overlap).
-BUCKETS, LANGUAGES, ROUNDS, SMOOTH, OVERLAP = 1 << 15, 512, 12, 0.5, 8.0
+#: Buckets of hashed byte 3-grams (a language's model has so many numbers, 128 KB, whatever the corpus), languages in a block
+#: of the model, rounds of EM, smoothing of counts, grams that the likelihood counts as one observation (neighbouring grams
+#: overlap).
+BUCKETS, LANGUAGES, ROUNDS, SMOOTH, OVERLAP = 1 << 15, 256, 12, 0.5, 8.0
 UND = "und"
 
 
@@ -48,26 +49,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(s[at].astype(np.int64))], ["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the logarithm of each bucket's chance, (languages, BUCKETS), from every row with a text and a lang."""
+def fit(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """Languages, all there are, and the logarithm of each bucket's chance as blocks (LANGUAGES at most, BUCKETS), from every
+    row with a text and a lang."""
     rows = docs.filter("text is not null and lang is not null").select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long")
     rows = C.cut(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = np.full((len(langs), BUCKETS), SMOOTH)
-    at = {x: i for i, x in enumerate(langs)}
-    for lang in langs:  # one language at a time: BUCKETS rows
-        part = rows.filter(F.col("lang") == lang).select("bucket", "n").toPandas()
-        table[at[lang], part["bucket"].to_numpy(int)] += part["n"].to_numpy()
-    return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
-
-
-def mixture(g: np.ndarray, model: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    blocks = []
+    for i in range(0, len(langs), LANGUAGES):
+        table = np.full((len(langs[i : i + LANGUAGES]), BUCKETS), SMOOTH)
+        for j, lang in enumerate(langs[i : i + LANGUAGES]):  # one language at a time: BUCKETS rows
+            part = rows.filter(F.col("lang") == lang).select("bucket", "n").toPandas()
+            table[j, part["bucket"].to_numpy(int)] += part["n"].to_numpy()
+        blocks.append(np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
+    return langs, blocks
+
+
+def mixture(g: np.ndarray, model: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the languages in a text of these grams, and the set that the penalised likelihood selects.
 
     EM over all languages gives an order; sets are the first 1, 2, ... of it, as long as another language raises the
     log-likelihood (per OVERLAP grams) by more than half the logarithm of their number."""
     bucket, n = np.unique(g, return_counts=True)
-    like = model[:, bucket]
+    like = np.concatenate([block[:, bucket] for block in model])
     like = np.exp(like - like.max(0))
     n = (n / OVERLAP).astype(np.float32)
 
@@ -79,24 +83,22 @@ def mixture(g: np.ndarray, model: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
             p = p * (some @ (n / np.maximum(p @ some, 1e-30))) / words
         return p, float(n @ np.log(np.maximum(p @ some, 1e-30)))
 
-    p, _ = em(np.arange(len(model)))
+    p, _ = em(np.arange(len(like)))
     order = np.argsort(-p, kind="stable")
     best, (share, total) = order[:1], em(order[:1])
     for k in range(2, len(order) + 1):
-        if p[order[k - 1]] < 0.01:
-            break
         share_k, total_k = em(order[:k])
         if total_k - total <= 0.5 * np.log(max(2.0, words)):
             break
         best, share, total = order[:k], share_k, total_k
-    out = np.zeros(len(model))
+    out = np.zeros(len(like))
     out[best] = share
     return out, best
 
 
 def _score(langs: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = [block.value for block in shared]
         for b in batches:
             pred, score, parts = [], [], []
             for text, letter in zip(b.column("text").to_pylist(), b.column("letter").to_pylist(), strict=True):
@@ -118,11 +120,12 @@ def identify(spark: SparkSession, docs: DataFrame, training: DataFrame) -> DataF
     """doc_id, lang_pred, score (its share of the text, 0 to 1), languages (the selected set with shares), a row per row.
 
     lang_pred is a language of `training` (lang, text), or `und` (score 0) for null and for texts without a letter, or if
-    there is nothing to learn from.  Ties go to the language with more training text, then by name."""
+    there is nothing to learn from.  Ties go to the language with more training text, then by name.  Equal texts get equal
+    results; an empty table gives an empty result; other columns count for nothing."""
     langs, model = fit(training)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
     rows = docs.select("doc_id", "text", letter)
-    return rows.mapInArrow(_score(langs, spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return rows.mapInArrow(_score(langs, [spark.sparkContext.broadcast(block) for block in model]), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

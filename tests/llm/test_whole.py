@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
-from tallyspark.llm import lmscore, pii, quality, toxicity
+from tallyspark.llm import jpeg, langid, lmscore, media, packing, pii, quality, toxicity
 
 
 def _trained(spark, rows, texts):
@@ -177,3 +177,132 @@ def test_swaps_take_bias_out_of_neutral_mentions(spark):
         assert min(model.score(f"{g} {verb[t]} vermina") for t in verb for g in next(r for r in toxicity.IDENTITY if t in r)) > 0.5
     assert wrong[0.0] == 4 and wrong[toxicity.LAMBDA] == 0 and gap[toxicity.LAMBDA] < 0.25 * gap[0.0], (gap, wrong)
     assert [len(toxicity.swapped(t)) for t in ("a Black man", "nobody", None, "Jüdische and JEWS", "\u017fourds")] == [6, 0, 0, 5, 2]
+
+
+def _plain_best_fit(sizes, lengths, overhead):
+    """Best fit as it is stated, trying every open bin and every length for every piece."""
+    bins, out = [], []  # a bin: room, when it was last touched, length, used
+
+    def worth(i, length):
+        room, fill, j = length - sizes[i], sizes[i], i + 1
+        for s in sizes[i + 1 :]:
+            if s <= room:
+                room, fill = room - s, fill + s
+        return (min(x for x in lengths if x >= fill) + overhead) / fill
+
+    for i, s in enumerate(sizes):
+        fits = [b for b in range(len(bins)) if bins[b][0] >= s]
+        if fits:
+            b = min(fits, key=lambda b: (bins[b][0], -bins[b][1]))
+        else:
+            length = min((x for x in lengths if x >= s), key=lambda x: (worth(i, x), x))
+            b = len(bins)
+            bins.append([length, i, length, 0])
+        out.append((b, bins[b][3]))
+        bins[b][0] -= s
+        bins[b][1] = i
+        bins[b][3] += s
+    return [b for b, _ in out], [o for _, o in out], [min(x for x in lengths if x >= b[3]) for b in bins]
+
+
+def test_packing_against_every_bin_tried():
+    rng = np.random.default_rng(2)
+    for trial in range(150):
+        lengths = (8, 16, 32, 64) if trial % 2 else (10, 25, 60)
+        n = int(rng.integers(1, 90))
+        sizes = sorted((min(max(lengths), int(x) + 1) for x in (rng.integers(0, 60, n) if trial % 3 else rng.exponential(9, n))), reverse=True)
+        assert packing.best_fit(sizes, lengths, 3) == _plain_best_fit(sizes, sorted(lengths), 3)
+
+
+def test_packing_makes_all_copies_of_a_hot_row(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(1, "a b c")] * 50 + [(2, "d " * 600)] * 9 + [(None, "x")] * 8 + [(3, None), (3, "")]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy", F.lit("c")), lengths=(256, 512), shard=16).collect()
+    assert sorted(r["copy"] for r in got if r["doc_id"] == 1) == list(range(1, 51)) and sum(r["n_words"] for r in got) == 50 * 3 + 9 * 600 + 8
+    assert len(got) == 50 + 9 * 2 + 8 + 2
+
+
+def test_language_by_plain_counting(spark):
+    """Predictions and shares against grams, counts and expectation-maximisation written out one by one."""
+    import math
+    from collections import Counter, defaultdict
+
+    def grams(text):
+        b = [32, *text.encode(), 32]
+        b = [x if x >= 128 else x | 32 if chr(x).isalpha() else 32 for x in b]
+        b = [x for i, x in enumerate(b) if i == 0 or x != 32 or b[i - 1] != 32]
+        out = []
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            h = ((x * 0x9E3779B1 ^ y * 0x85EBCA77) & 0xFFFFFFFF) + z * 0xC2B2AE3D & 0xFFFFFFFF
+            out.append(((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17)
+        return out
+
+    texts = [("en", "the cat sat on the mat and the dog"), ("en", "this is the thing that they want"), ("de", "der hund und die katze auf dem dach"), ("fr", "le chat est sur la table avec le chien"), ("xx", "zzz qqq zzz qqq")]
+    asked = ["the dog and the cat", "der hund auf dem dach", "le chien et la table", "the cat and the dog sat on this mat. " * 20 + "der hund und die katze auf dem dach. " * 20, "zzz", "é", "123 ...", None, ""]
+    per, size = defaultdict(Counter), Counter()
+    for lang, t in texts:
+        per[lang].update(grams(t))
+    for lang in per:
+        size[lang] = sum(per[lang].values())
+    langs = sorted(per, key=lambda x: (-size[x], x))
+
+    def chance(lang, g):
+        return (per[lang][g] + langid.SMOOTH) / (size[lang] + langid.SMOOTH * langid.BUCKETS)
+
+    def em(some, n):
+        p = [1 / len(some)] * len(some)
+        for _ in range(langid.ROUNDS if len(some) > 1 else 0):
+            new = [0.0] * len(some)
+            for g, k in n.items():
+                at = [p[i] * chance(x, g) for i, x in enumerate(some)]
+                for i, a in enumerate(at):
+                    new[i] += k * a / sum(at)
+            p = [x / sum(n.values()) for x in new]
+        return p, sum(k * math.log(sum(p[i] * chance(x, g) for i, x in enumerate(some))) for g, k in n.items())
+
+    want = []
+    for t in asked:
+        if not t or not any(c.isalpha() for c in t):
+            want.append(("und", 0.0))
+            continue
+        n = {g: k / langid.OVERLAP for g, k in Counter(grams(t)).items()}
+        p, _ = em(langs, n)
+        order = [x for _, x in sorted(zip(p, langs, strict=True), key=lambda y: (-y[0], langs.index(y[1])))]
+        some, (best, total) = order[:1], em(order[:1], n)
+        for k in range(2, len(order) + 1):
+            share, more = em(order[:k], n)
+            if more - total <= 0.5 * math.log(max(2.0, sum(n.values()))):
+                break
+            some, best, total = order[:k], share, more
+        want.append(max(zip(some, best, strict=True), key=lambda x: x[1]))
+    training = spark.createDataFrame([*texts, (None, "no lang"), ("en", None)], "lang string, text string")
+    got = {r["doc_id"]: r for r in langid.identify(spark, spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), training).collect()}
+    for i, (lang, share) in enumerate(want):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - share) < 1e-3, (asked[i], got[i], lang, share)
+    assert len(got[3]["languages"]) == 2
+
+
+def test_more_languages_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    words = {f"l{i}": " ".join(f"{a}{'aeiou'[i]}{b}" for a in "bcdfg" for b in "klmn") for i in range(5)}
+    training = spark.createDataFrame([(k, t) for k, t in words.items()], "lang string, text string")
+    got = langid.identify(spark, spark.createDataFrame(list(enumerate(words.values())), "doc_id long, text string"), training).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: f"l{i}" for i in range(5)}
+
+
+def test_tensors_stored_and_read_back(spark, tmp_path):
+    """What the media hold becomes tensors that are written, reread and hold the payload; broken streams say what is wrong."""
+    texts = ["", "a", "é🙂" * 50, "y" * 3000]
+    good = media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    streams = {r["doc_id"]: r["media"] for r in good.collect()}
+    cut_off, restart = bytes(streams[3])[:200], bytes(streams[3]).replace(b"\xff\xc2", b"\xff\xdd\x00\x04\x00\x08\xff\xc2", 1)
+    odd = spark.createDataFrame([(10, None), (11, b""), (12, b"no jpeg"), (13, cut_off), (14, restart)], "doc_id long, media binary")
+    media.tensors(good.unionByName(odd)).write.parquet(f"{tmp_path}/t")
+    got = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    for i, t in enumerate(texts):
+        image = jpeg.Image(bytes(streams[i]))
+        payload, n = image.stored()
+        rgb = np.frombuffer(got[i]["rgb"], np.uint8).reshape(got[i]["height"], got[i]["width"], 3)
+        assert payload[:n] == t.encode() and np.array_equal(rgb, image.rgb()) and got[i]["error"] is None
+    assert got[10]["rgb"] is None and got[10]["error"] is None
+    assert all(got[i]["rgb"] is None and got[i]["error"] for i in (11, 12, 13, 14)) and "restart" in got[14]["error"]
