@@ -10,8 +10,9 @@
    size, and a set near a step emits for both sides of it.  Heavy tokens, which one in SHARE documents has, stand in segments
    behind all others, so a common passage fills no bucket unless it is most of a text.  Buckets of the same members become
    one.
-3. Groups of similar sets form around hubs.  The hub of a bucket is the member that meets most others; all its members are
-   held against it once, linked ones are contracted, and what is still apart meets the next hub.
+3. Groups of similar sets form around hubs.  The hub of a bucket is the member that meets most others.  Each set is held
+   against the best hub of its buckets, then, where sets of a bucket are still apart, all its members against its hub, and
+   so on with the next hub; linked sets are contracted each time.
 4. Token-group matrix, for sets that are still apart after that.  A set too few of whose tokens any other of them has is
    done.  The rest are cut into groups of about BLOCK sets that share hubs, and each group keeps the union of its tokens.  A
    set's overlap with a union bounds its similarity to every member; only a group whose bound allows a link is opened and
@@ -160,11 +161,13 @@ def _buckets(rows: DataFrame) -> DataFrame:
     """(rep, n, key) to (key, rep, n, weight) of the keys that several sets have; keys with the same members become one, with
     their number as its weight."""
     shared = C.cut(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
-    met = C.cut(rows.join(C.small(shared, shared.count(), BROADCAST_ROWS), "key"))
+    met = all_ = C.cut(rows.join(C.small(shared, shared.count(), BROADCAST_ROWS), "key"))
     members = (F.count("*").alias("k"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30))).alias("y"))
     kept = met.groupBy("key").agg(*members).filter("a <> b").groupBy("k", "a", "b", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     kept = C.cut(kept.select("key", "weight"))
-    return C.cut(met.join(C.small(kept, kept.count(), BROADCAST_ROWS), "key").select("key", "rep", "n", "weight").distinct())
+    met = C.cut(met.join(C.small(kept, kept.count(), BROADCAST_ROWS), "key").select("key", "rep", "n", "weight").distinct())
+    C.drop(all_), C.drop(shared)
+    return met
 
 
 def _wanted(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -224,11 +227,14 @@ def _matrix(sets: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     grouped = member.join(ask.select("g").distinct(), "g", "left_semi").select("rep", "g")
     grouped = C.cut(sets.join(grouped, "rep").select("g", F.col("rep").alias("brep"), F.col("s").alias("bs")))
     unions = C.cut(grouped.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("union")))
-    sets = sets.select("rep", "s")
+    own, sets = sets, sets.select("rep", "s")
     asking = sets.join(ask, "rep")
     fits = C.cut(asking.join(unions, "g").filter(100 * F.size(F.array_intersect("s", "union")) >= percent * F.size("s")).select("rep", "g"))
     opened = sets.join(fits, "rep").join(grouped, "g").filter("rep <> brep").filter(_fit(F.size("s"), F.size("bs"), percent)).filter(_links("s", "bs", percent))
-    return C.cut(opened.select(F.col("rep").alias("u"), F.col("brep").alias("v")).distinct())
+    out = C.cut(opened.select(F.col("rep").alias("u"), F.col("brep").alias("v")).distinct())
+    for x in (own, grouped, unions):
+        C.drop(x)
+    return out
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -246,24 +252,33 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, p
     own = C.small(classes.select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep")), n, BROADCAST_ROWS)
     rows = usable.join(own, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") == F.col("_rep")), "left_semi")
     met = _buckets(rows.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key")))
+    keyed, made = made, C.cut(made.drop("keys"))
+    C.drop(keyed)
+    usable = made.filter("n > 0 and doc_id is not null")
     score = met.groupBy("rep", "n").agg((F.sum("weight") / F.col("n")).alias("score"))
     met = C.cut(met.join(score, ["rep", "n"]).select("key", "rep", "n", "score", F.col("rep").alias("c")))
     sets = _load(docs, classes.join(met.select("rep").distinct(), "rep"), shingle)
 
     links, left = spark.createDataFrame([], "u long, v long"), met.count()
-    for _ in range(HUBS):
+    for turn in range(1 + HUBS if HUBS else 0):
         if not left:
             break
-        hub = met.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_c")
-        met = C.cut(met.join(hub, "key").filter("rep <> hub"))
-        star = met.filter("c <> hub_c").filter(_fit("n", "hub_n", percent)).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-        links = C.cut(links.unionByName(_compare(sets, star, percent)))
-        met = _apart(met.drop("hub", "hub_n", "hub_c"), links)
+        hub = met.groupBy("key").agg(F.max(F.struct("score", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))).alias("h"))
+        at = met.join(hub, "key").select("key", "rep", "n", "score", "c", F.col("h.hub").alias("hub"), F.col("h.hub_n").alias("hub_n"), F.col("h.hub_c").alias("hub_c"), F.col("h.score").alias("best"))
+        if turn:  # the hub meets all of its bucket, and is done there
+            met = at = C.cut(at.filter("rep <> hub"))
+            star = at.filter("c <> hub_c").filter(_fit("n", "hub_n", percent)).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+        else:
+            top = at.filter("rep <> hub").filter(_fit("n", "hub_n", percent)).groupBy("rep").agg(F.max(F.struct("best", "hub")).alias("h"))
+            star = top.select(F.col("rep").alias("u"), F.col("h.hub").alias("v"))
+        links = C.cut(links.unionByName(_compare(sets, star.distinct(), percent)))
+        met = _apart(met.select("key", "rep", "n", "score", "c"), links)
         before, left = left, met.count()
-        if 4 * left > 3 * before:
+        if turn and 4 * left > 3 * before:
             break
     if left:
         links = C.cut(links.unionByName(_matrix(sets, met, percent)))
+    C.drop(sets)
 
     # Back from classes to rows.  A repeated id joins the classes of its texts.
     texts = usable.join(own, F.col("fp") == F.col("_fp")).filter("doc_id <> _rep").select(F.col("doc_id").alias("u"), F.col("_rep").alias("v"))
@@ -283,8 +298,9 @@ def _load(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     made = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep").mapInArrow(_sets(shingle), "rep long, fp binary, s array<long>")
     made = C.cut(made.join(C.small(wanted, n, BROADCAST_ROWS), ["rep", "fp"]))
     if made.count() > n:  # rows that are repeated bring their text more than once
-        made = C.cut(made.dropDuplicates(["rep", "fp"]))
-    return made.select("rep", "s")
+        several, made = made, C.cut(made.dropDuplicates(["rep", "fp"]))
+        C.drop(several)
+    return made
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
