@@ -5,6 +5,7 @@ Book lines: numero, seq (order in the book), cfop, cents.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,15 +25,30 @@ def by_number(book: DataFrame, name: str) -> DataFrame:
     return book.groupBy("numero").agg(F.array_sort(F.collect_list(F.struct("seq", "cfop", "cents"))).alias(name))
 
 
+def first_subset(v: list[int], target: int) -> list[int] | None:
+    """Positions of the smallest subset of at most SUBSET values that makes the target, the first by position.
+
+    Halves meet: sums of the last ones are looked up for each choice of the first ones, so it takes the square root of the
+    tries that whole subsets would."""
+    sums: dict[int, dict[int, list[tuple[int, ...]]]] = {}
+    for n in range(1, min(len(v), SUBSET) + 1):
+        if (last := n - n // 2) not in sums:
+            found = sums[last] = {}
+            for c in combinations(range(len(v)), last):  # in order
+                found.setdefault(sum(v[i] for i in c), []).append(c)
+        for c in combinations(range(len(v)), n // 2):
+            rest = sums[last].get(target - sum(v[i] for i in c), ())
+            at = bisect_left(rest, (c[-1] + 1,)) if c else 0
+            if at < len(rest):
+                return [*c, *rest[at]]
+    return None
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _search(cents: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The first smallest subset that makes the target, by position, for notes with many lines."""
     for values, target in cents:
-        out = []
-        for v, t in zip(values, target, strict=True):
-            v = list(v)
-            out.append(next((list(c) for n in range(1, min(len(v), SUBSET) + 1) for c in combinations(range(len(v)), n) if sum(v[i] for i in c) == t), None))
-        yield pd.Series(out)
+        yield pd.Series([first_subset(v.tolist(), t) for v, t in zip(values, target, strict=True)])
 
 
 def pair_notes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,20 +20,18 @@ def stream(spark: SparkSession, folder: str, done: str | None = None) -> DataFra
 def watch(spark: SparkSession, folder: str, notes: str, failed: str, checkpoint: str, done: str | None = None, seconds: int = 0) -> StreamingQuery:
     """Usable new notes are appended to the table at `notes`, one a key; unusable files to `failed`.  Events are skipped.
 
+    Keys that have come are kept as the stream's state, so a batch costs what it brings and reads nothing that is written.
     Each batch writes a folder named after its number, so a repeated batch overwrites what it left.
     seconds=0: what is there now, then stop."""
+    files = stream(spark, folder, done)
+    plain = files.filter(~nfe.is_event(F.col("xml")))
+    read = nfe.read(plain).withColumn("_key_", F.when(F.col("erro").isNull(), F.col("chave_acesso")).otherwise(F.col("arquivo"))).dropDuplicates(["_key_"]).drop("_key_")
 
     def one(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        files = batch.join(nfe.events(batch).filter("cancelada is null and outro is null").select("arquivo"), "arquivo", "left_semi")
-        read = nfe.read(files)
-        first = F.row_number().over(W.partitionBy("chave_acesso").orderBy("arquivo"))
-        fresh = read.filter("erro is null").withColumn("_first_", first).filter("_first_ = 1").drop("_first_")
-        if number:  # all batches before this one; each has written its folder, empty or not
-            earlier = session.read.schema(fresh.schema).parquet(*(f"{notes}/batch={i}" for i in range(number)))
-            fresh = fresh.join(earlier.select("chave_acesso"), "chave_acesso", "left_anti").select(*fresh.columns)
-        fresh.write.mode("overwrite").parquet(f"{notes}/batch={number}")
-        read.filter("erro is not null").select("arquivo", "erro").write.mode("overwrite").parquet(f"{failed}/batch={number}")
-
-    out = stream(spark, folder, done).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+        batch = batch.persist()
+        batch.filter("erro is null").write.mode("overwrite").parquet(f"{notes}/batch={number}")
+        batch.filter("erro is not null").select("arquivo", "erro").write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        batch.unpersist()
+
+    out = read.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()

@@ -1,13 +1,14 @@
 """Rules that no catalogue query reaches, and the way of a file into the ledger."""
 
 import datetime as dt
+import itertools
 import os
 import random
 
 import pytest
 
 from tallyspark import refdata
-from tallyspark.operators import assess, costing, flow, sanitize
+from tallyspark.operators import assess, costing, flow, recon, sanitize
 from tallyspark.sources import books, nfe
 
 
@@ -62,6 +63,16 @@ def test_reopen_and_rates(spark):
     assert len(rates) == len(refdata.RATES) and all(r["vigencia_fim"] is None and r["vigencia_inicio"] == dt.date(2020, 1, 1) for r in rates)
 
 
+def test_first_subset_against_all():
+    r = random.Random(9)
+    for _ in range(300):
+        v = [r.randrange(-5, 40) for _ in range(r.randrange(1, 13))]
+        t = r.randrange(0, 120)
+        want = next((list(c) for n in range(1, min(len(v), recon.SUBSET) + 1) for c in itertools.combinations(range(len(v)), n) if sum(v[i] for i in c) == t), None)
+        assert recon.first_subset(v, t) == want
+    assert recon.first_subset([7 * i + 1000 for i in range(80)], 3) is None  # 3 * 10^8 subsets of six
+
+
 US, OTHER = "11222333000144", "99888777000166"
 
 
