@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..refdata import FOREIGN, NAME_STOP_WORDS, NOT_FOREIGN
 
@@ -18,6 +22,17 @@ def fold(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN), r"\p{M}", ""))
 
 
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper() if t is not None else "")
+
+
+def fold_any(c: Column) -> Column:
+    """fold() for every script: compatibility forms are taken apart too (ligatures, full-width letters, letters such as ř).
+    Spark has no such normalisation, so texts pass through Arrow; fold() is the fast way for Latin-1."""
+    return _folded(c)
+
+
 def normal_spaces(c: Column) -> Column:
     """No-break and zero-width spaces as spaces, runs collapsed, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"[\s ​]+", " "))

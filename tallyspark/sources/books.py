@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import amount, bare_number
 
 # The line formats.
-NUM = r"-?\(?-?[0-9.]{1,20},[0-9]{2}\)?"
+NUM = r"-?\(?-?[\d.]{1,20},\d{2}\)?"
 CODES = ((r"^0?1\s+VALORES FISCAIS ENTRADAS", "entradas"), (r"^0?2\s+VALORES FISCAIS SAÍDAS", "saidas"), (r"^0?3\s+RESUMO DOS VALORES", ""))
 TABLES = r"^(0?4|0?5|09|14)\s+(Resumo da Apuração|CÁLCULO DO IMPOSTO|Demonstrativo)"
 LEDGER = ((r"^ENTRADAS$", "entradas"), (r"^SAÍDAS$", "saidas"), (r"SUBTOTAIS", ""), (r"RESUMO DA APURAÇÃO", "resumo"))

@@ -6,8 +6,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark import refdata
+from tallyspark.functions import text
 from tallyspark.operators import assess, costing, flow, recon, sanitize
 from tallyspark.sources import books, nfe
 
@@ -73,6 +75,15 @@ def test_first_subset_against_all():
     assert recon.first_subset([7 * i + 1000 for i in range(80)], 3) is None  # 3 * 10^8 subsets of six
 
 
+def test_fold_any(spark):
+    import unicodedata
+
+    texts = ["Ação", "ﬁnança", "Ｆｕｌｌ", "Dvořák ß", "é", "漢字", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.fold_any(F.col("t")).alias("f"), text.fold(F.col("t")).alias("g")).orderBy("i").collect()
+    assert [r["f"] for r in got] == ["".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).upper() for t in texts]
+    assert got[0]["f"] == got[0]["g"] and got[4]["f"] == got[4]["g"]
+
+
 US, OTHER = "11222333000144", "99888777000166"
 
 
