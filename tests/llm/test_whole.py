@@ -48,13 +48,13 @@ def test_the_model_is_a_distribution():
     def log(ids):
         """Of a sequence of ids, cut into words."""
         cut = [i for i, x in enumerate(ids) if starts[x]]
-        made = [known.code(ids[a:b]) for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)]
+        made = known.codes([ids[a:b] for a, b in zip(cut, [*cut[1:], len(ids)], strict=True)])
         codes = np.array([c for code in made for c in code])
         return float(A.logs(w, known.bias, A.targets([codes], known.first), [len(codes)])[0] + A.shares([codes])[0])
 
     for before in ([3], [4, 30, 41], [7, 26, 8, 50, 33] * 9, words[0][0] * 12 + words[1][0]):
         assert abs(sum(np.exp(log([*before, i])) for i in range(v)) / np.exp(log(before)) - 1) < 1e-3
-    codes = np.concatenate([known.code(ids) for ids, _ in words])
+    codes = np.concatenate([np.array(c) for c in known.codes([ids for ids, _ in words])])
     made = A.targets([codes[:50], codes[50:]], known.first)
     assert made[-1].sum() == len(codes)
     g, _ = A.gradient(w, known.bias, *made)
