@@ -94,14 +94,15 @@ def _hidden(text: Column) -> Column:
 
 
 def _before(i: str) -> str:
-    """The lexical pattern in front of word i of w, hidden words: a label such as `account:`, or the two words before."""
+    """The lexical pattern in front of word i of w, hidden words: a label such as `account:`, or the two words before; null
+    behind a word with digits, which may be a part of the identifier itself."""
     one = f"get(w, {i} - 1)"
-    return f"case when right({one}, 1) in (':', '=', '#') and {one} rlike r'^\\p{{L}}' then {one} when {i} >= 2 then concat(get(w, {i} - 2), ' ', {one}) end"
+    return f"case when right({one}, 1) in (':', '=', '#') and {one} rlike r'^\\p{{L}}' then {one} when {i} >= 2 and not contains({one}, '0') then concat(get(w, {i} - 2), ' ', {one}) end"
 
 
 def _around(i: str) -> str:
-    """The pattern on both sides of word i; null at an end of the text."""
-    return f"concat(get(w, {i} - 1), ' _ ', get(w, {i} + 1))"
+    """The pattern on both sides of word i; null at an end of the text and beside a word with digits."""
+    return f"case when not contains(get(w, {i} - 1), '0') and not contains(get(w, {i} + 1), '0') then concat(get(w, {i} - 1), ' _ ', get(w, {i} + 1)) end"
 
 
 def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rounds: int = ROUNDS, trust: float = TRUST) -> tuple[DataFrame, DataFrame | None]:
@@ -122,7 +123,7 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
             return many.select("pattern", F.lit(1.0).alias("trust")), places
         some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) if share > 1 else docs
         each = f"if(size(w) < 2, array(), transform(sequence(1, size(w) - 1), i -> array({_before('i')}, {_around('i')})))"
-        every = some.select(F.xxhash64("doc_id", "text").alias("key"), _hidden(F.col("text")).alias("w")).select("key", F.posexplode(F.expr(each)).alias("i", "both")).select("key", "i", F.explode("both").alias("pattern"))
+        every = some.select(F.xxhash64("doc_id", "text").alias("key"), _hidden(F.col("text")).alias("w")).select("key", F.posexplode(F.expr(each)).alias("i", "both")).select("key", "i", F.explode("both").alias("pattern")).filter("pattern is not null")
         places = every.join(C.small(many.select("pattern"), n, BROADCAST_ROWS), "pattern")
         if share == 1:
             places = C.cut(places.select("key", (F.col("i") + 1).alias("i"), "pattern"))
