@@ -15,6 +15,8 @@ FORMATS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold for a format to match anywhere: most texts need no search.
+NEEDS = {"email": "contains(t, '@')", "ip": r"t rlike r'[0-9]\.[0-9]'", "card": r"t rlike r'[0-9](?:[\x20-]?[0-9]){11}'", "phone": "contains(t, '+')", "coded": "t rlike '[0-9]'"}
 #: A word with a digit: what a context can reveal.
 CODED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 #: From a word that a trusted context reveals: the word and the coded groups that adjoin it, a single space or tab before
@@ -42,14 +44,15 @@ def _valid(kind: str) -> str:
     }[kind]
 
 
-def _positions(df: DataFrame, text: str, formats: dict[str, str]) -> DataFrame:
-    """df with at_<name>: array of (start, stop, v) of each format's leftmost non-overlapping matches, in code points.
+def _positions(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """df (with the text as t) with at_<name>: array of (start, stop, v) of each format's leftmost non-overlapping matches, in code points.
 
     The texts between matches give the lengths; a two-level prefix sum keeps a text with very many matches affordable."""
     keep = df.columns
+    need = {k: F.expr(NEEDS.get(k, "true")) for k in formats}
     df = df.select(
-        "*", *(F.regexp_extract_all(text, F.lit(r), F.lit(0)).alias(f"v_{k}") for k, r in formats.items()),
-        *(F.transform(F.split(text, r, -1), F.char_length).alias(f"g_{k}") for k, r in formats.items()),
+        "*", *(F.when(need[k], F.regexp_extract_all("t", F.lit(r), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"v_{k}") for k, r in formats.items()),
+        *(F.when(need[k], F.transform(F.split("t", r, -1), F.char_length)).otherwise(F.array().cast("array<int>")).alias(f"g_{k}") for k, r in formats.items()),
     )
     df = df.select("*", *(F.expr(f"transform(v_{k}, (v, i) -> g_{k}[i] + char_length(v))").alias(f"l_{k}") for k in formats))
     df = df.select("*", *(F.expr(f"if(size(l_{k}) = 0, array(), transform(sequence(0, (size(l_{k}) - 1) div {_BLOCK}), b -> slice(l_{k}, int(b * {_BLOCK} + 1), {_BLOCK})))").alias(f"b_{k}") for k in formats))
@@ -69,8 +72,8 @@ def found(docs: DataFrame) -> DataFrame:
     """docs with key (of the row), n_<kind>, base: array of (start, kind_no, stop, kind), and occ: the coded words that
     could be identifiers, as (patterns, instance, start, stop, seed)."""
     docs, back = C.aside(docs, ["doc_id", "text"], {"key", "base", "occ", "all", "more", *(f"n_{k}" for k in FORMATS)})
-    df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", _hidden(F.col("text")))
-    df = _positions(df, "t", FORMATS | {"coded": CODED})
+    df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", F.when(F.expr(NEEDS["coded"]), _hidden(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    df = _positions(df, FORMATS | {"coded": CODED})
     for i, k in enumerate(FORMATS):
         ok = f"filter(at_{k}, m -> exists(array(m.v), v -> {_valid(k)}))"
         df = df.withColumn(f"ok_{k}", F.expr(f"transform({ok}, m -> named_struct('start', m.start, 'kind_no', {i}, 'stop', m.stop, 'kind', '{k}'))"))
@@ -165,7 +168,7 @@ def extract(spark: SparkSession, docs: DataFrame, instances: int = INSTANCES, ro
 
 def _revealed(hit: DataFrame) -> DataFrame:
     """(key, more): spans of the words _hits_ with the coded groups that adjoin them; none overlaps a base span or another."""
-    df = _positions(hit.withColumn("t", C.text_of(F.col("text"))), "t", {"word": C.WORD})
+    df = _positions(hit.withColumn("t", C.text_of(F.col("text"))), {"word": C.WORD})
     df = df.withColumn("at", F.expr(f"filter(transform(_hits_, i -> at_word[i]), m -> not exists(base, b -> b.start < m.stop and b.stop > m.start) and not m.v rlike r'{LABEL}')"))
     ahead = "substring(t, m.start + 1, coalesce(array_min(transform(filter(base, b -> b.start >= m.stop), b -> b.start)), char_length(t)) - m.start)"
     df = df.select("key", F.expr(f"transform(at, m -> named_struct('start', m.start, 'v', regexp_extract({ahead}, r'{GROUPED}', 0)))").alias("at"))
