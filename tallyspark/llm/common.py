@@ -83,6 +83,13 @@ def aside(df: DataFrame, needed: list[str], results: set[str]) -> tuple[DataFram
     return made, [F.col(f"_x{i}_").alias(c) for i, c in enumerate(rest) if c not in results]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of so many rows: what a task makes of a batch is held a slice at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 # --- numpy, inside tasks -------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

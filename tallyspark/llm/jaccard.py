@@ -94,7 +94,7 @@ def _frequent(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in C.slices(batches):
             for x in b.column("text").to_pylist():
                 held.append(tokens(x, k))
                 size += len(held[-1])
@@ -125,7 +125,7 @@ def _grouped(k: int, percent: int, heavy):
     """(doc_id, text) to (doc_id, n, fp, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             sets = [tokens(x, k) for x in b.column("text").to_pylist()]
             made = [keys(t, percent, heavy.value).view(np.int64) for t in sets]
             flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64))
@@ -139,7 +139,7 @@ def _sets(k: int):
     """(rep, text) to (rep, fp, s): s holds the set's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             made = [tokens(x, k) for x in b.column("text").to_pylist()]
             s = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([_print(t) for t in made], pa.binary()), s], ["rep", "fp", "s"])

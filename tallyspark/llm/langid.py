@@ -39,7 +39,7 @@ for _c in range(97, 123):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, bucket, n), at most BUCKETS rows a language and task."""
     sums: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in C.slices(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             g = grams(text.encode("utf-8", "surrogatepass"))
             if len(g):
@@ -99,7 +99,7 @@ def mixture(g: np.ndarray, model: list[np.ndarray], rounds: int = ROUNDS) -> tup
 def _score(langs: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = [block.value for block in shared]
-        for b in batches:
+        for b in C.slices(batches):
             pred, score, parts = [], [], []
             for text, letter in zip(b.column("text").to_pylist(), b.column("letter").to_pylist(), strict=True):
                 g = grams(text.encode("utf-8", "surrogatepass")) if letter and langs else ()

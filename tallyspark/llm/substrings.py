@@ -39,7 +39,7 @@ def _words(data: str | None) -> list[bytes]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, sha): sha256 of the words joined by spaces."""
-    for b in batches:
+    for b in C.slices(batches):
         n, sha = [], []
         for t in b.column("text").to_pylist():  # one text's words at a time
             w = _words(t)
@@ -51,7 +51,7 @@ def _anchors(window: int):
     v, inside = cover(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             out, ids, at = [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = C.word_hashes((text or "").encode("utf-8", "surrogatepass"))
@@ -71,7 +71,7 @@ def _windows(window: int):
     v, _ = cover(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             for i, text, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "at")), strict=True):
                 w = C.word_hashes((text or "").encode("utf-8", "surrogatepass"))
                 if len(w) < window:
@@ -95,7 +95,7 @@ def _rest(window: int):
     """(doc_id, key, text, starts) to (doc_id, sha, n_removed, kept_sha256); rows whose text isn't key's are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             rows = []
             for i, key, text, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "starts")), strict=True):
                 w = _words(text)

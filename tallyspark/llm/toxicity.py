@@ -146,7 +146,7 @@ def train(rows: list[tuple], n_features: int, strength: float = LAMBDA, steps: i
 
 def _features(identity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             rows = []
             for i, label, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 rows += [(i, k, label, *hashes(t)) for k, t in enumerate([text, *swapped(text, identity)])]
@@ -158,7 +158,7 @@ def _features(identity):
 
 def _picked(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.slices(batches):
             at, v = [], []
             for f, c in zip(b.column("f").to_pylist(), b.column("c").to_pylist(), strict=True):
                 i = np.searchsorted(shared.value, f)
@@ -209,7 +209,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for b in batches:
+        for b in C.slices(batches):
             s = pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "score"])
 
