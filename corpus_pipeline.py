@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over `documents`.
 
 Each stage takes what its predecessor kept, as Parquet, and returns the columns of documents; the last returns the packing.
+In every stage null texts count as empty, rows with null ids pass like others, extra columns go, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; equal texts share their fate."""
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(spark, docs.select("doc_id", "text"), C.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(spark, docs, model).filter(F.col("score") < toxicity.LIMIT).select(*COLUMNS)
@@ -40,12 +42,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it."""
+    """Each document as often as its source's target weight takes it: not at all, once or twice.  Equal rows share their fate."""
     return mixing.sample(spark, docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, with their sequences."""
+    """Every document's pieces, with their sequences; a text without words keeps a row without one.  Equal rows are told apart by
+    `copy`."""
     return packing.pack(spark, docs.select(*COLUMNS))
 
 
@@ -56,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing of what all stages leave of `documents`; each stage's result is a table in the shared folder."""
     docs = C.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = C.cut(stage(spark, docs, sf_dir))
