@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, lmscore, media, mixing, packing, pii, quality, substrings, toxicity
+from . import bpe, jaccard, langid, lmscore, media, mixing, packing, pii, quality, substrings, toxicity
 
-MODULES = (quality, packing, jaccard, pii, media, toxicity, substrings, lmscore, langid, mixing)
+MODULES = (quality, packing, jaccard, pii, media, toxicity, substrings, lmscore, langid, mixing, bpe)
 
 
 def queries() -> dict:
