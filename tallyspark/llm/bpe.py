@@ -12,6 +12,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Pieces that a worker remembers, and the longest of them in bytes: bounds of memory, no result depends on them.
-CACHE, CACHED = 400_000, 64
+CACHE, CACHED = 300_000, 64
 #: Characters of a text that are split into pieces at a time.
 CHUNK = 1 << 20
 #: Characters behind its start, and behind its end, by which the pattern may tell a piece (contractions; white space and the
@@ -48,15 +49,15 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+def chunks(text: str, size: int = CHUNK, seam=_SEAM) -> Iterator[str]:
     """text in parts that end between a character and white space: the pattern always ends a piece there."""
     at = 0
     while len(text) - at > size:
-        seam = _SEAM.search(text, at + size)
-        if not seam:
+        found = seam.search(text, at + size)
+        if not found:
             break
-        yield text[at : seam.start()]
-        at = seam.start()
+        yield text[at : found.start()]
+        at = found.start()
     yield text[at:] if at else text
 
 
@@ -78,7 +79,6 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.tails = {b[i:] for b in ranks for i in range(len(b))}
         self.longest = max(map(len, ranks))
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
@@ -86,6 +86,10 @@ class Codec:
         self.ended: dict[bytes, int] = {}
         self.coded: dict[str, bytes] = {}
 
+    @cached_property
+    def tails(self) -> set[bytes]:
+        return {b[i:] for b in self.ranks for i in range(len(b))}
+
     def parts(self, token: int) -> list[bytes]:
         """What the merges below a token's own make of its bytes: two parts, or the byte itself.  Others are never merged to."""
         b = self.bytes[token]
