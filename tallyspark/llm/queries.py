@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, jaccard, langid, lmscore, media, mixing, packing, pii, quality, substrings, toxicity
+from . import alignment, bpe, jaccard, langid, lmscore, media, mixing, packing, pii, quality, spelling, substrings, toxicity
 
-MODULES = (quality, packing, jaccard, pii, media, toxicity, substrings, lmscore, langid, mixing, bpe, alignment)
+MODULES = (quality, packing, jaccard, pii, media, toxicity, substrings, lmscore, langid, mixing, spelling, bpe, alignment)
 
 
 def queries() -> dict:
