@@ -157,13 +157,27 @@ def pieces(data: bytes):
         at = end
 
 
+#: By number of bytes, what is left of eight.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
+    """A 64-bit hash of each word, in order: each eight bytes are mixed with their place, so that no regular sequence of letters
+    cancels out, as it would in a polynomial."""
     out = []
     for piece in pieces(data):
-        buf = np.frombuffer(piece, np.uint8)
-        start, stop = runs(~_SPACE[buf])
-        out.append(Rolling(buf.astype(np.uint64) + np.uint64(1)).spans(start, stop))
+        start, stop = runs(~_SPACE[np.frombuffer(piece, np.uint8)])
+        if not len(start):
+            continue
+        eight = np.ndarray(len(piece), "<u8", piece + bytes(8), strides=(1,))  # from each byte on
+        size = stop - start
+        blocks = (size + 7) // 8
+        first = np.cumsum(blocks) - blocks
+        word = np.repeat(np.arange(len(size)), blocks)
+        place = np.arange(len(word)) - first[word]
+        value = eight[start[word] + 8 * place] & _LEFT[np.minimum(size[word] - 8 * place, 8)]
+        mixed = mix(value ^ mix(place.astype(np.uint64) + np.uint64(_BASES[0])))
+        out.append(mix(np.add.reduceat(mixed, first) + size.astype(np.uint64) * np.uint64(_BASES[1])))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

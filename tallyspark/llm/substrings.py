@@ -66,14 +66,15 @@ def _anchors(window: int):
 
 
 def _windows(window: int):
-    """(doc_id, text, at: places of shared anchors) to the windows that hold one, with 128-bit hashes: each anchor extended
-    both ways as far as a window reaches."""
+    """(doc_id, text, at: places of shared anchors) to the windows that hold one: each anchor extended both ways as far as a
+    window reaches.  A window stands for its words by 128 bits of a cryptographic hash of them, so that no text can be made to
+    look like another's."""
     v, _ = cover(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
             for i, text, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "at")), strict=True):
-                w = C.word_hashes((text or "").encode("utf-8", "surrogatepass"))
+                w = _words(text)
                 if len(w) < window:
                     continue
                 k = len(w) - (window - v + 1) + 1
@@ -81,10 +82,15 @@ def _windows(window: int):
                 hit = np.bincount(at[at < k], minlength=k)
                 sums = np.concatenate(([0], np.cumsum(hit)))
                 start = np.flatnonzero(sums[v : k + 1] > sums[: k + 1 - v])  # the anchors of window s are at s to s + v - 1
-                one, two = C.Rolling(w), C.Rolling(C.mix(w), 1)
-                key = int.from_bytes(hashlib.sha256(b" ".join(_words(text))).digest()[:8], "big", signed=True)
+                joined = b" ".join(w)
+                key = int.from_bytes(hashlib.sha256(joined).digest()[:8], "big", signed=True)
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+                begins, ends = np.append(0, ends)[start].tolist(), (ends[start + window - 1] - 1).tolist()
+                whole = memoryview(joined)
+                digest = b"".join([hashlib.blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(begins, ends, strict=True)])
+                both = np.frombuffer(digest, "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (one.spans(start, start + window).view(np.int64), two.spans(start, start + window).view(np.int64), np.full(len(start), i), np.full(len(start), key), start.astype(np.int32))],
+                    [pa.array(x) for x in (both[:, 0], both[:, 1], np.full(len(start), i), np.full(len(start), key), start.astype(np.int32))],
                     ["h1", "h2", "doc_id", "key", "start"],
                 )
 
