@@ -5,6 +5,9 @@ matched exit is an interval.  An exit takes the lots that its interval overlaps.
 shortage; it isn't carried, so the next entry opens a full lot.  Overlaps are found by a sweep along the axis (who covered
 this point last?), not by a join, so a product's cost grows with its rows and not with their square.  All windows share one
 shuffle by product.
+
+A product with very many rows would be one task.  Where there are such, `hot` names them (scan.hot_products): they are worked
+through in blocks of about `size` rows, the others by windows; the rows that come out are the same.
 """
 
 from __future__ import annotations
@@ -14,11 +17,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ledger as L
+from . import scan
 
 _FIRST = W.unboundedPreceding
 
 
-def estimates(ledger: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, hot: DataFrame | None, plain, blocked) -> DataFrame:
+    """plain() of the rows of most products and blocked() of those of hot ones."""
+    if hot is None:
+        return plain(rows)
+    return plain(rows.join(hot, "produto_id", "left_anti")).unionByName(blocked(rows.join(hot, "produto_id", "left_semi")))
+
+
+def estimates(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """ledger with est_custo: the unit cost to assume at a row's date where no lot is left.
 
     The average of the entries up to the date, else the first dated entry's unit cost, else the average exit price (both
@@ -27,22 +38,32 @@ def estimates(ledger: DataFrame) -> DataFrame:
     exit_ = (F.col("tipo") == "S") & F.col("valor").isNotNull() & (F.col("quantidade") > 0)
     upto = W.partitionBy("produto_id").orderBy("data_mov").rangeBetween(_FIRST, 0)
     whole = W.partitionBy("produto_id")
-
-    def ratio(when, over):
-        q = F.sum(F.when(when, F.col("quantidade"))).over(over)
-        return F.sum(F.when(when, F.col("valor"))).over(over).cast("double") / F.when(q != 0, q.cast("double"))
-
+    parts = {"v": F.sum(F.when(entry, F.col("valor"))), "q": F.sum(F.when(entry, F.col("quantidade"))), "xv": F.sum(F.when(exit_, F.col("valor"))), "xq": F.sum(F.when(exit_, F.col("quantidade")))}
     unit = F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double"))
-    first = F.min(F.when((F.col("tipo") == "E") & unit.isNotNull(), F.struct(*L.ORDER, unit.alias("u")))).over(whole)["u"]
-    dated = ledger.filter("data_mov is not null")
+    first = F.min(F.when((F.col("tipo") == "E") & unit.isNotNull(), F.struct(*L.ORDER, unit.alias("u"))))
+    ratio = lambda v, q: v.cast("double") / F.when(q != 0, q.cast("double"))
     nz = lambda c: F.when(c != 0, c)
-    return dated.withColumn("est_custo", F.coalesce(nz(ratio(entry, upto)), nz(first), nz(ratio(exit_, whole)), F.lit(0.0)))
+    chosen = lambda upto_, first_, all_: F.coalesce(nz(upto_), nz(first_["u"]), nz(all_), F.lit(0.0))
+
+    def plain(dated: DataFrame) -> DataFrame:
+        return dated.withColumn("est_custo", chosen(ratio(parts["v"].over(upto), parts["q"].over(upto)), first.over(whole), ratio(parts["xv"].over(whole), parts["xq"].over(whole))))
 
+    def blocked(dated: DataFrame) -> DataFrame:
+        days = dated.groupBy("produto_id", "data_mov").agg(*(c.alias(f"_{n}_") for n, c in parts.items()), first.alias("_f_"))  # a row a day
+        total = lambda n, w: F.sum(f"_{n}_").over(w)
+        cost = chosen(ratio(total("v", upto), total("q", upto)), F.min("_f_").over(whole), ratio(total("xv", whole), total("xq", whole)))
+        return dated.join(days.select("produto_id", "data_mov", cost.alias("est_custo")), ["produto_id", "data_mov"])
 
-def axis(ledger: DataFrame) -> DataFrame:
+    return _apart(ledger.filter("data_mov is not null"), hot, plain, blocked)
+
+
+def axis(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """Valid rows of positive quantity with falta (shortage), casado (matched), lo and hi on the product's axis."""
     q = F.col("quantidade").cast("decimal(15,3)")
-    rows = L.valid(ledger).filter(F.col("quantidade") > 0).withColumn("quantidade", q)
+    return _apart(L.valid(ledger).filter(F.col("quantidade") > 0).withColumn("quantidade", q), hot, _axis, lambda rows: scan.axis(rows, L.ORDER, size))
+
+
+def _axis(rows: DataFrame) -> DataFrame:
     w = L.by_product()
     upto = w.rowsBetween(_FIRST, 0)
     rows = rows.withColumn("corrente", F.sum(L.signed()).over(upto))
@@ -54,17 +75,21 @@ def axis(ledger: DataFrame) -> DataFrame:
     return rows.drop("corrente", "falta_total")
 
 
-def consumption(ledger: DataFrame) -> DataFrame:
+def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit, saida_data, entrada_data): which
     exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs valor / quantidade, 0 if either is missing."""
-    rows = axis(ledger).filter("casado > 0")
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
-    at = W.partitionBy("produto_id").orderBy("lo", "tipo").rowsBetween(_FIRST, 0)
-    lot = F.last(F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "data_mov", "hi", unit.alias("unit"))), True).over(at)
-    out = F.last(F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "data_mov", "hi")), True).over(at)
-    # Rows that start at one point see each other only at the last of them.
-    final = F.lead("lo").over(W.partitionBy("produto_id").orderBy("lo", "tipo"))
-    seen = rows.select("produto_id", "lo", lot.alias("e"), out.alias("s"), final.alias("proximo"))
+    entry = F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "data_mov", "hi", unit.alias("unit")))
+    exit_ = F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "data_mov", "hi"))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        by = W.partitionBy("produto_id").orderBy("lo", "tipo")
+        at = by.rowsBetween(_FIRST, 0)
+        # Rows that start at one point see each other only at the last of them.
+        return rows.select("produto_id", "lo", F.last(entry, True).over(at).alias("e"), F.last(exit_, True).over(at).alias("s"), F.lead("lo").over(by).alias("proximo"))
+
+    rows = axis(ledger, hot, size).filter("casado > 0")
+    seen = _apart(rows, hot, plain, lambda r: scan.sweep(r, entry, exit_, size))
     used = F.least("e.hi", "s.hi") - F.col("lo")
     seen = seen.filter(F.col("e").isNotNull() & F.col("s").isNotNull() & (F.col("proximo").isNull() | (F.col("proximo") > F.col("lo"))) & (used > 0))
     return seen.select(
@@ -74,34 +99,36 @@ def consumption(ledger: DataFrame) -> DataFrame:
     )
 
 
-def exit_costs(ledger: DataFrame) -> DataFrame:
+def exit_costs(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """Per exit: quantidade, falta, custo_total = lots taken at their cost + shortage at the estimated cost."""
-    taken = consumption(ledger).groupBy(F.col("produto_id"), F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
+    taken = consumption(ledger, hot, size).groupBy(F.col("produto_id"), F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
     taken = taken.agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
-    exits = axis(estimates(ledger)).filter("tipo = 'S'")
+    exits = axis(estimates(ledger, hot), hot, size).filter("tipo = 'S'")
     out = exits.join(taken, ["produto_id", "nota_id", "line_no", "data_mov"], "left")
     total = F.coalesce("custo_lotes", F.lit(0.0)) + F.col("falta").cast("double") * F.col("est_custo")
     return out.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", total.alias("custo_total"))
 
 
-def open_lots(ledger: DataFrame, until: str | None = None) -> DataFrame:
+def open_lots(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """Entries of which something is left: quantidade, resta, custo_unit, valor_resta.
 
     What exits took in all is one number a product, so what is left of a lot needs no pairing."""
-    rows = axis(L.valid(ledger, until))
-    out = F.coalesce(F.sum(F.when(F.col("tipo") == "S", F.col("casado"))).over(W.partitionBy("produto_id")), F.lit(0))
+    took = F.sum(F.when(F.col("tipo") == "S", F.col("casado")))
+    plain = lambda rows: rows.withColumn("saiu", F.coalesce(took.over(W.partitionBy("produto_id")), F.lit(0)))
+    blocked = lambda rows: rows.join(rows.groupBy("produto_id").agg(F.coalesce(took, F.lit(0)).alias("saiu")), "produto_id")
+    rows = _apart(axis(L.valid(ledger, until), hot, size), hot, plain, blocked)
     left = F.least(F.col("quantidade"), F.greatest(F.col("hi") - F.col("saiu"), F.lit(0)))
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
-    rows = rows.withColumn("saiu", out).filter("tipo = 'E'").withColumn("resta", left).filter("resta > 0")
+    rows = rows.filter("tipo = 'E'").withColumn("resta", left).filter("resta > 0")
     rows = rows.withColumn("custo_unit", unit)
     return rows.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "resta", "custo_unit", (F.col("resta").cast("double") * F.col("custo_unit")).alias("valor_resta"))
 
 
-def position(ledger: DataFrame, until: str | None = None) -> DataFrame:
+def position(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """(produto_id, saldo, valor, custo_medio) at a date: lots left, less shortages at their estimated cost; the average
     only where the balance is above 0.  Estimates look at the whole history beyond their first step."""
-    lots = open_lots(ledger, until).groupBy("produto_id").agg(F.sum("valor_resta").alias("lotes"))
-    short = axis(L.valid(estimates(ledger), until)).filter("falta > 0").groupBy("produto_id").agg(F.sum(F.col("falta").cast("double") * F.col("est_custo")).alias("faltas"))
+    lots = open_lots(ledger, until, hot, size).groupBy("produto_id").agg(F.sum("valor_resta").alias("lotes"))
+    short = axis(L.valid(estimates(ledger, hot), until), hot, size).filter("falta > 0").groupBy("produto_id").agg(F.sum(F.col("falta").cast("double") * F.col("est_custo")).alias("faltas"))
     out = L.balances(ledger, until=until).join(lots, "produto_id", "left").join(short, "produto_id", "left")
     value = F.coalesce("lotes", F.lit(0.0)) - F.coalesce("faltas", F.lit(0.0))
     out = out.withColumn("valor", value)

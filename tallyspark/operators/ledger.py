@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 ORDER = ("data_mov", "tipo", "nota_id", "line_no")  # E sorts before S
 
 
@@ -34,15 +36,22 @@ def by_product() -> W:
     return W.partitionBy("produto_id").orderBy(*ORDER)
 
 
-def running(ledger: DataFrame, since: str | None = None) -> DataFrame:
-    """Valid movements with `saldo` after each.  Rows before `since` count but aren't shown: the filter stays above the window."""
-    out = valid(ledger).withColumn("saldo", F.sum(signed()).over(by_product().rowsBetween(W.unboundedPreceding, 0)))
+def running(ledger: DataFrame, since: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
+    """Valid movements with `saldo` after each.  Rows before `since` count but aren't shown: the filter stays above the window.
+    Products that `hot` names are worked through in blocks of about `size` rows."""
+    rows = valid(ledger)
+    plain = lambda df: df.withColumn("saldo", F.sum(signed()).over(by_product().rowsBetween(W.unboundedPreceding, 0)))
+    if hot is None:
+        out = plain(rows)
+    else:
+        blocked = scan.running_sum(rows.join(hot, "produto_id", "left_semi"), signed(), ORDER, "saldo", size)
+        out = plain(rows.join(hot, "produto_id", "left_anti")).unionByName(blocked)
     return out.filter(F.col("data_mov") >= F.lit(since).cast("date")) if since else out
 
 
-def first_negative(ledger: DataFrame) -> DataFrame:
+def first_negative(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """Per product the first movement that leaves the balance negative, and the least balance ever."""
-    run = running(ledger)
+    run = running(ledger, None, hot, size)
     first = F.min(F.when(F.col("saldo") < -1e-6, F.struct(*ORDER, "saldo"))).alias("f")
     out = run.groupBy("produto_id").agg(first, F.min("saldo").alias("saldo_minimo")).filter("f is not null")
     return out.select("produto_id", "f.*", "saldo_minimo")
