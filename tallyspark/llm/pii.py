@@ -24,6 +24,9 @@ CODED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 GROUPED = r"^[^\x20\x09-\x0D]++(?:(?<=[\p{L}\p{N}])[\x20\t](?:\p{Lu}++[\x20\t])?+(?=[\p{L}\p{N}])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+)*+"
 #: A word that is a label itself, and so no instance.
 LABEL = r"^\p{L}[^0-9]*[:=#]$"
+#: A word that looks like a key or token by itself: long, without punctuation inside, letters and digits mixed.  It is a seed, not a span:
+#: only a context that such words share gives it away.
+SECRET = r"^(?=(?:[^0-9]*+[0-9]){6})(?=(?:[^A-Za-z]*+[A-Za-z]){6})[A-Za-z0-9_+/=-]{20,}+$"
 #: Distinct instances that a pattern needs, rounds of scoring, and the share of a pattern's occurrences that must be
 #: identifiers for it to be trusted.
 INSTANCES, ROUNDS, TRUST = 3, 3, 0.6
@@ -80,7 +83,7 @@ def found(docs: DataFrame) -> DataFrame:
     df = df.withColumn("base", F.array_sort(F.concat(*(f"ok_{k}" for k in FORMATS))))
     df = df.withColumn("where", F.expr("if(size(at_coded) = 0, array(), filter(sequence(0, size(w) - 1), i -> contains(w[i], '0')))"))
     trimmed, lead = _trimmed("m.v")
-    occ = f"transform(at_coded, (m, i) -> named_struct('patterns', array({_before('where[i]')}, {_around('where[i]')}), 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start)))"
+    occ = f"transform(at_coded, (m, i) -> named_struct('patterns', array({_before('where[i]')}, {_around('where[i]')}), 'instance', {trimmed}, 'start', m.start + {lead}, 'stop', m.start + {lead} + char_length({trimmed}), 'seed', exists(base, b -> b.start < m.stop and b.stop > m.start) or char_length(m.v) >= 20 and {trimmed} rlike r'{SECRET}'))"
     df = df.withColumn("occ", F.expr(f"filter({occ}, o -> (o.seed or char_length(o.instance) >= 5 and char_length(regexp_replace(o.instance, '[^0-9]', '')) >= 3))"))
     return df.select("doc_id", "text", *back, F.xxhash64("doc_id", "text").alias("key"), *(F.size(f"ok_{k}").cast("long").alias(f"n_{k}") for k in FORMATS), "base", "occ")
 
@@ -112,7 +115,8 @@ def trusted(docs: DataFrame, spotted: DataFrame, instances: int = INSTANCES, rou
     """(pattern, trust) of the patterns that discover identifiers, and (key, i, pattern) of every word that follows one of
     the patterns counted over all documents; None if none was.  A pattern is what stands before a word, or on both its sides.
 
-    Graph: patterns and instances, an edge where they occur together.  Seeds (instances of a fixed format) score 1.  A
+    Graph: patterns and instances, an edge where they occur together.  Seeds (instances of a fixed format, or that look like a
+    secret key) score 1.  A
     pattern's score is the scored share of all its occurrences in the corpus, with or without a coded word after it; an
     unseen instance's score is the noisy-or of its patterns'.  Scores go back and forth for `rounds`."""
     edges = spotted.select(F.explode("occ").alias("o")).select("o.instance", "o.seed", F.explode("o.patterns").alias("pattern")).filter("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
