@@ -24,26 +24,23 @@ RISK, DELTA = 0.02, 0.05
 STEPS = max(len(cuts) for _, cuts in RULES.values())
 #: Good documents that a bad one caught is worth, among cutoffs that are safe.
 PRICE = 5
-_POS = 24  # bits of a word's place beside its window's hash
 BROADCAST_STRATA = 10_000
 
 
 def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; null text counts as empty.
 
-    Repeated windows are found within the row: each window's hash carries its place, one primitive sort brings equal ones
-    together, and full hashes confirm them.  A column of docs that is named as one of these gives way."""
+    Repeated windows are found within the row: windows are sorted by hash and place, and those of equal hashes compare their
+    words.  A column of docs that is named as one of these gives way."""
     docs, back = C.aside(docs, ["text"], {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"})
     cols = [c for c in docs.columns if c != "text"]
     df = docs.withColumn("t", C.text_of(F.col("text"))).withColumn("w", C.words(F.col("text")))
     df = df.select(*cols, "t", "w", F.expr("if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))").alias("h"))
-    mask = (1 << _POS) - 1
-    df = df.select("*", F.expr(f"if(size(h) <= {mask}, sort_array(transform(h, (x, i) -> shiftleft(x, {_POS}) | i)), array())").alias("s"))
-    same = f"(get(s, j) ^ get(s, {{0}})) between 0 and {mask} and get(h, int(get(s, j) & {mask})) = get(h, int(get(s, {{0}}) & {mask}))"
-    near = f"if(size(s) < 2, array(), transform(filter(sequence(0, size(s) - 1), j -> ({same.format('j - 1')}) or ({same.format('j + 1')})), j -> int(get(s, j) & {mask})))"
-    df = df.select("*", F.expr(near).alias("near"), F.expr(f"if(size(h) > {mask}, sort_array(transform(h, (x, i) -> named_struct('a', x, 'b', i))), array())").alias("l"))  # longer texts than places have bits
-    far = "if(size(l) < 2, array(), transform(filter(sequence(0, size(l) - 1), j -> get(l, j).a = get(l, j - 1).a or get(l, j).a = get(l, j + 1).a), j -> get(l, j).b))"
-    df = df.select("*", F.sort_array(F.concat("near", F.expr(far))).alias("p"))
+    df = df.select("*", F.expr("sort_array(transform(h, (x, i) -> named_struct('a', x, 'b', i)))").alias("s"))
+    words = " and ".join(f"get(w, get(s, j).b + {k}) = get(w, get(s, {{0}}).b + {k})" for k in range(3))
+    same = f"get(s, j).a = get(s, {{0}}).a and {words}"
+    near = f"if(size(s) < 2, array(), transform(filter(sequence(0, size(s) - 1), j -> ({same.format('j - 1')}) or ({same.format('j + 1')})), j -> get(s, j).b))"
+    df = df.select("*", F.sort_array(F.expr(near)).alias("p"))
     covered = "aggregate(p, named_struct('p', -3, 'n', 0L), (a, x) -> named_struct('p', x, 'n', a.n + least(3, x - a.p)), a -> a.n)"
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select("*", lines.alias("lines"))
