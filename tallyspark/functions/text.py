@@ -3,34 +3,61 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
+from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..refdata import FOREIGN, NAME_STOP_WORDS, NOT_FOREIGN
 
-#: Latin letters with marks and what they fold to.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 _EDGE = " .,;-"
 
 
-def fold(c: Column) -> Column:
-    """Upper case without marks; null becomes an empty text.  Combining marks that stand alone are dropped."""
-    return F.upper(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN), r"\p{M}", ""))
+@cache
+def _unmarked() -> tuple[str, str, str]:
+    """(one, its replacements, more): characters that compatibility decomposition without combining marks turns into one other or,
+    at the end of `one`, into none; and those that it turns into several.  From the tables of Python's Unicode version."""
+    one, gone, more = {}, [], []
+    for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))):
+        plain = _plain(c)
+        if not plain:
+            gone.append(c)
+        elif len(plain) > 1:
+            more.append(c)
+        elif plain != c:
+            one[c] = plain
+    return "".join(one) + "".join(gone), "".join(one.values()), "".join(more)
+
+
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-@F.pandas_udf(T.StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).upper() if t is not None else "")
+@cache
+def _several() -> tuple[str, list[tuple[str, str]]]:
+    """A pattern for the characters that become several, and a translation for each place of what they become: those with nothing at
+    a place vanish there."""
+    more = sorted(_unmarked()[2], key=lambda c: (-len(_plain(c)), c))
+    places = [(more, [_plain(c)[k] for c in more if len(_plain(c)) > k]) for k in range(len(_plain(more[0])))]
+    codes = sorted(map(ord, more))
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    stops = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, stops, strict=True)) + "]", [("".join(x), "".join(y)) for x, y in places]
 
 
-def fold_any(c: Column) -> Column:
-    """fold() for every script: compatibility forms are taken apart too (ligatures, full-width letters, letters such as ř).
-    Spark has no such normalisation, so texts pass through Arrow; fold() is the fast way for Latin-1."""
-    return _folded(c)
+def unmarked(c: Column) -> Column:
+    """Compatibility decomposition without combining marks: `Dvořák` is `Dvorak`, a ligature its letters.  One translation serves
+    all characters that become one; only texts that hold others are gone through character by character."""
+    one, plain, _ = _unmarked()
+    pattern, places = _several()
+    each = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(pattern), F.concat(*(F.translate(x, a, b) for a, b in places))).otherwise(x))
+    return F.translate(F.when(c.rlike(pattern), F.array_join(each, "")).otherwise(c), one, plain)
+
+
+def fold(c: Column) -> Column:
+    """Upper case without marks, compatibility forms taken apart; null becomes an empty text."""
+    return F.upper(unmarked(F.coalesce(c, F.lit(""))))
 
 
 def normal_spaces(c: Column) -> Column:
@@ -57,7 +84,7 @@ def name_core(c: Column) -> Column:
 
 def header(c: Column) -> Column:
     """Column heads: trimmed, lower case, no marks."""
-    return F.lower(F.translate(F.trim(c), MARKED, PLAIN))
+    return F.lower(unmarked(F.trim(c)))
 
 
 def date_of(c: Column) -> Column:

@@ -149,3 +149,13 @@ def audit_json(spark, d):
     """Events of one kind with a field of their JSON and a JSON payload, latest first."""
     rows = V.table(spark, d, "events").filter("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id"))
     return rows.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("event_type").alias("tipo"), F.col("user_id").alias("usuario"))).alias("depois"))
+
+
+MARKED = ("Dvořák", "Škoda", "Čapek & Ňuñez", "Őrség", "Żółć")
+
+
+@Q.add(f"""SELECT c_custkey, trim(regexp_replace(upper(strip_accents([{", ".join(f"'{x}'" for x in MARKED)}][1 + c_custkey % 5] || ' ' || c_name)), '[^A-Z0-9]+', ' ', 'g')) AS chave FROM customer""")
+def party_key_marks(spark, d):
+    """Names with letters beyond Latin-1; one that no decomposition reaches (ł) is no letter of a key."""
+    name = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, MARKED)), (F.col("c_custkey") % 5 + 1).cast("int")), "c_name")
+    return V.table(spark, d, "customer").select("c_custkey", X.party_key(name).alias("chave"))

@@ -75,13 +75,22 @@ def test_first_subset_against_all():
     assert recon.first_subset([7 * i + 1000 for i in range(80)], 3) is None  # 3 * 10^8 subsets of six
 
 
-def test_fold_any(spark):
+def test_fold(spark):
+    """Every code point as in Python, alone and between letters; names that Latin-1 cannot write."""
     import unicodedata
 
-    texts = ["Ação", "ﬁnança", "Ｆｕｌｌ", "Dvořák ß", "é", "漢字", "", None]
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.fold_any(F.col("t")).alias("f"), text.fold(F.col("t")).alias("g")).orderBy("i").collect()
-    assert [r["f"] for r in got] == ["".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).upper() for t in texts]
-    assert got[0]["f"] == got[0]["g"] and got[4]["f"] == got[4]["g"]
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    texts = ["Ação", "ﬁnança", "Ｆｕｌｌ", "Dvořák ß", "é", "e\u0301", "漢字", "한국어", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(text.fold(F.col("t")).alias("f"), text.party_key(F.col("t")).alias("k")).collect()
+    assert [r["f"] for r in got] == [strip(t or "").upper() for t in texts]
+    names = spark.createDataFrame([("Dvořák & Filhos Ltda.",), ("Škoda S/A",), ("ŁÓDŹ ﬁos ²",)], "t string")
+    assert [r[0] for r in names.select(text.party_key(F.col("t"))).collect()] == ["DVORAK FILHOS LTDA", "SKODA S A", "ODZ FIOS 2"]
+    assert [r[0] for r in names.select(F.array_join(text.name_core(F.col("t")), " ")).collect()][:2] == ["DVORAK FILHOS", "SKODA"]
+    assert names.limit(1).select(text.header(F.lit(" Alíquota № "))).first()[0] == "aliquota no"
+    blocks = [[chr(c) for c in range(a, min(a + 64, 0x110000)) if not 0xD800 <= c < 0xE000] for a in range(0, 0x110000, 64)]
+    rows = [(k, "".join(f"x{c}" for c in b)) for k, b in enumerate(blocks)]
+    got = {r["k"]: r["f"] for r in spark.createDataFrame(rows, "k int, t string").select("k", text.unmarked(F.col("t")).alias("f")).collect()}
+    assert all(got[k] == "".join(f"x{strip(c)}" for c in b) for k, b in enumerate(blocks))
 
 
 US, OTHER = "11222333000144", "99888777000166"
