@@ -77,8 +77,10 @@ def _axis(rows: DataFrame) -> DataFrame:
 
 def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
     """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit, saida_data, entrada_data): which
-    exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs valor / quantidade, 0 if either is missing."""
+    exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs its
+    custo_lote, where the ledger has that column and it is set, else valor / quantidade, 0 if either is missing."""
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
+    unit = F.coalesce("custo_lote", unit) if "custo_lote" in ledger.columns else unit
     entry = F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "data_mov", "hi", unit.alias("unit")))
     exit_ = F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "data_mov", "hi"))
 
