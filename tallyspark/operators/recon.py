@@ -5,10 +5,10 @@ Book lines: numero, seq (order in the book), cfop, cents.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Lines in a subset, and lines of a note up to which all subsets are tried within the row.
 SUBSET, IN_ROW = 6, 12
+#: Sums of a long note's lines that are in memory at a time (12 bytes each, and as much again to sort them).
+HELD = 4_000_000
 PAIR = "array<struct<classe:string,seq_a:int,seq_b:int,difere:boolean>>"
 
 
@@ -25,22 +27,87 @@ def by_number(book: DataFrame, name: str) -> DataFrame:
     return book.groupBy("numero").agg(F.array_sort(F.collect_list(F.struct("seq", "cfop", "cents"))).alias(name))
 
 
-def first_subset(v: list[int], target: int) -> list[int] | None:
+class _Choices:
+    """Sums of all choices of 1, 2 or 3 of some values, in the order of their positions, those that begin at one position at a
+    time: choices of two are one array, in which all that begin behind a position stand together."""
+
+    def __init__(self, values: list[int]):
+        self.v = np.array(values, np.int64)
+        n = len(self.v)
+        self.size = n
+        count = np.arange(n - 1, -1, -1)  # pairs that begin at each position
+        self.at = np.append(0, np.cumsum(count))
+        self.second = np.concatenate([np.zeros(0, np.int32), *(np.arange(i + 1, n, dtype=np.int32) for i in range(n))])
+        self.pairs = np.repeat(self.v, count) + self.v[self.second]
+
+    def number(self, k: int) -> int:
+        return comb(self.size, k)
+
+    def begin(self, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, last positions) of the choices of k whose first position is i."""
+        if k == 1:
+            return self.v[i : i + 1], np.array([i], np.int32)
+        if k == 2:
+            return self.pairs[self.at[i] : self.at[i + 1]], self.second[self.at[i] : self.at[i + 1]]
+        return self.v[i] + self.pairs[self.at[i + 1] :], self.second[self.at[i + 1] :]
+
+    def positions(self, k: int, i: int, place: int) -> list[int]:
+        """Of the choice at a place among those that begin at i."""
+        if k < 3:
+            return [i, int(self.begin(k, i)[1][place])][:k]
+        place += int(self.at[i + 1])
+        return [i, int(np.searchsorted(self.at, place, "right")) - 1, int(self.second[place])]
+
+    def first(self, k: int, target: int, behind: int) -> list[int] | None:
+        """The first choice of k, all behind a position, that makes the target."""
+        for i in range(behind + 1, self.size - k + 1):
+            hit = np.flatnonzero(self.begin(k, i)[0] == target)
+            if len(hit):
+                return self.positions(k, i, int(hit[0]))
+        return None
+
+
+def first_subset(v: list[int], target: int, held: int = HELD) -> list[int] | None:
     """Positions of the smallest subset of at most SUBSET values that makes the target, the first by position.
 
-    Halves meet: sums of the last ones are looked up for each choice of the first ones, so it takes the square root of the
-    tries that whole subsets would."""
-    sums: dict[int, dict[int, list[tuple[int, ...]]]] = {}
+    Halves meet: the sums of the last positions are looked up for each choice of the first ones, so it takes the square root of the
+    tries that whole subsets would.  Of the sums about `held` are in memory at a time: they are dealt to parts by a hash, and a
+    part's sums can only meet that part."""
+    c = _Choices(v)
     for n in range(1, min(len(v), SUBSET) + 1):
-        if (last := n - n // 2) not in sums:
-            found = sums[last] = {}
-            for c in combinations(range(len(v)), last):  # in order
-                found.setdefault(sum(v[i] for i in c), []).append(c)
-        for c in combinations(range(len(v)), n // 2):
-            rest = sums[last].get(target - sum(v[i] for i in c), ())
-            at = bisect_left(rest, (c[-1] + 1,)) if c else 0
-            if at < len(rest):
-                return [*c, *rest[at]]
+        head, tail = n // 2, n - n // 2
+        if not head:
+            found = c.first(tail, target, -1)
+            if found:
+                return found
+            continue
+        parts = -(-c.number(tail) // held)
+        part = lambda s, parts=parts: (s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+        best: tuple[int, int] | None = None
+        for p in range(parts):
+            sums, begins = [], []
+            for i in range(head, c.size - tail + 1):
+                s = c.begin(tail, i)[0]
+                s = s[part(s) == p] if parts > 1 else s
+                sums.append(s), begins.append(np.full(len(s), i, np.int32))
+            sums, begins = np.concatenate([np.zeros(0, np.int64), *sums]), np.concatenate([np.zeros(0, np.int32), *begins])
+            order = np.argsort(sums, kind="stable")
+            sums, begins = sums[order], begins[order]
+            final = np.append(sums[1:] != sums[:-1], True)[: len(sums)]  # of equal sums the one that begins last
+            sums, begins = sums[final], begins[final]
+            for i in range(c.size - n + 1 if best is None else best[0] + 1):
+                if not len(sums):
+                    break
+                s, last = c.begin(head, i)
+                rest = target - s
+                at = np.minimum(np.searchsorted(sums, rest), len(sums) - 1)
+                hit = np.flatnonzero((sums[at] == rest) & (begins[at] > last))
+                if len(hit):
+                    best = min(best or (i, int(hit[0])), (i, int(hit[0])))
+                    break
+        if best:
+            first = c.positions(head, *best)
+            return [*first, *c.first(tail, target - sum(v[i] for i in first), first[-1])]
     return None
 
 

@@ -71,10 +71,23 @@ def test_first_subset_against_all():
         v = [r.randrange(-5, 40) for _ in range(r.randrange(1, 13))]
         t = r.randrange(0, 120)
         want = next((list(c) for n in range(1, min(len(v), recon.SUBSET) + 1) for c in itertools.combinations(range(len(v)), n) if sum(v[i] for i in c) == t), None)
-        assert recon.first_subset(v, t) == want
+        assert recon.first_subset(v, t) == want == recon.first_subset(v, t, 7)
     assert recon.first_subset([7 * i + 1000 for i in range(80)], 3) is None  # 3 * 10^8 subsets of six
 
 
+def test_first_subset_in_bounded_memory():
+    """300 lines have 10^12 subsets of six and 4.5 million sums of three; a few parts of them are held one after the other."""
+    import tracemalloc
+
+    v = [10**9 + (i * i * 7919) % 1_000_003 for i in range(300)]
+    tracemalloc.start()
+    got = recon.first_subset(v, sum(v[i] for i in (3, 50, 120, 200, 250, 299)), 500_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and sum(v[i] for i in got) == sum(v[i] for i in (3, 50, 120, 200, 250, 299)) and got <= [3, 50, 120, 200, 250, 299]
+    assert peak < 60_000_000
+
+
 def test_fold(spark):
     """Every code point as in Python, alone and between letters; names that Latin-1 cannot write."""
     import unicodedata
