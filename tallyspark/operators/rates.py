@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.joins import dimension
+from . import scan
 
 START, END = "vigencia_inicio", "vigencia_fim"
 
@@ -34,6 +37,38 @@ def asof(rows: DataFrame, rates: DataFrame, keys: list[str], date: str = "data_m
     return rows.join(dimension(r), on, how).drop("de", "ate", *(f"_{k}" for k in keys))
 
 
+def merged(rows: DataFrame, rates: DataFrame, keys: list[str], date: str = "data_mov", how: str = "inner", size: int = scan.SIZE) -> DataFrame:
+    """asof() for rate tables too large to broadcast: rows and rates of a key are laid in one order of days, and each row gets the
+    last rate that has started; keys with very many of either are worked through in blocks of about `size`.
+
+    Where that rate has ended, an older one may still hold; it outlives a later one, so only such rates come to a second round,
+    and so on.  There are as many rounds as periods are nested deep.  Rows shuffled are linear in both tables."""
+    values = [c for c in rates.columns if c not in (*keys, START, END)]
+    never = F.lit("9999-12-31").cast("date")
+    rate = F.struct(F.col(START).alias("_start_"), *values, F.coalesce(END, never).alias("_end_"))
+    left = rates.dropna(subset=[*keys, START]).select(F.struct(*keys).alias("_key_"), rate.alias("_rate_"))
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    usable = rows.dropna(subset=[*keys, date])
+    open_ = usable.select(F.struct(*keys).alias("_key_"), F.col(date).alias("_at_"), whole.alias("_row_"))
+    order, out, kind = ("_at_", "_side_", "_rate_", "_tie_"), [], left.schema["_rate_"].dataType
+    while True:
+        starts = left.select("_key_", F.col("_rate_._start_").alias("_at_"), F.lit(0).alias("_side_"), "_rate_", F.lit(0).cast("long").alias("_tie_"), F.lit(None).cast(open_.schema["_row_"].dataType).alias("_row_"))
+        facts = open_.select("_key_", "_at_", F.lit(1).alias("_side_"), F.lit(None).cast(kind).alias("_rate_"), F.xxhash64("_row_").alias("_tie_"), "_row_")
+        found = scan.carry(starts.unionByName(facts), "_rate_", order, "_last_", size, "_key_").filter("_side_ = 1").persist()  # both what holds and what is still open come from it
+        holds = F.coalesce(F.col("_last_._end_") >= F.col("_at_"), F.lit(False))
+        out.append(found.filter(holds).select("_row_", "_last_"))
+        # A rate that outlives a later one: the least end of those behind it is before its own.
+        behind = W.partitionBy("_key_").orderBy(F.desc("_rate_")).rowsBetween(W.unboundedPreceding, -1)
+        left = left.withColumn("_least_", F.min("_rate_._end_").over(behind)).filter(F.col("_least_") < F.col("_rate_._end_")).drop("_least_").persist()
+        open_ = found.filter(~holds).select("_key_", "_at_", "_row_")
+        if left.isEmpty():
+            break
+    if how == "left":
+        out += [df.select("_row_", F.lit(None).cast(kind).alias("_last_")) for df in (open_, rows.filter(" or ".join(f"`{c}` is null" for c in (*keys, date))).select(whole.alias("_row_")))]
+    done = reduce(DataFrame.unionByName, out)
+    return done.select("_row_.*", *(F.col(f"_last_.{c}").alias(c) for c in values))
+
+
 def known(rows: DataFrame, rates: DataFrame, keys: list[str], date: str = "data_mov") -> DataFrame:
     """rows for which some rate holds at their date."""
     r = disjoint(rates, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), "de", "ate")

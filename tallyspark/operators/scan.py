@@ -24,16 +24,16 @@ def hot_products(rows: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.groupBy(KEY).agg(F.count("*").alias("_n_")).filter(F.col("_n_") > size).select(KEY)
 
 
-def split(rows: DataFrame, order: tuple[str, ...], size: int = SIZE) -> DataFrame:
+def split(rows: DataFrame, order: tuple[str, ...], size: int = SIZE, key: str = KEY) -> DataFrame:
     """rows with the number of their block.  Borders are the order of rows that a hash picks, so they depend on the rows alone and
     a task that is run again finds the same.  Rows of equal order stay together."""
     at = F.struct(*order)
-    picked = rows.filter(F.pmod(F.xxhash64(KEY, *order), F.lit(max(1, size // PICKED))) == 0).select(F.col(KEY).alias("_key_"), at.alias("_from_"))
-    by = W.partitionBy("_key_").orderBy("_from_")  # one row in size / PICKED
+    picked = rows.filter(F.pmod(F.xxhash64(key, *order), F.lit(max(1, size // PICKED))) == 0).select(F.col(key).alias("_of_"), at.alias("_from_"))
+    by = W.partitionBy("_of_").orderBy("_from_")  # one row in size / PICKED
     edges = picked.withColumn("_k_", F.row_number().over(by)).filter(F.col("_k_") % PICKED == 0)
-    edges = edges.select("_key_", "_from_", F.lead("_from_").over(by).alias("_to_"), (F.col("_k_") / PICKED).cast("int").alias("_b_"))
-    inside = (F.col(KEY) == F.col("_key_")) & (at >= F.col("_from_")) & (F.col("_to_").isNull() | (at < F.col("_to_")))
-    return rows.join(edges, inside, "left").withColumn(BLOCK, F.coalesce("_b_", F.lit(0))).drop("_key_", "_from_", "_to_", "_b_")
+    edges = edges.select("_of_", "_from_", F.lead("_from_").over(by).alias("_to_"), (F.col("_k_") / PICKED).cast("int").alias("_b_"))
+    inside = (F.col(key) == F.col("_of_")) & (at >= F.col("_from_")) & (F.col("_to_").isNull() | (at < F.col("_to_")))
+    return rows.join(edges, inside, "left").withColumn(BLOCK, F.coalesce("_b_", F.lit(0))).drop("_of_", "_from_", "_to_", "_b_")
 
 
 def inside(order: tuple[str, ...]) -> W:
@@ -94,3 +94,13 @@ def sweep(rows: DataFrame, lot: Column, out: Column, size: int = SIZE) -> DataFr
         KEY, BLOCK, "lo", F.last("_e_", True).over(w).alias("_e_"), F.last("_s_", True).over(w).alias("_s_"), F.lead("lo").over(W.partitionBy(KEY, BLOCK).orderBy(*order)).alias("_in_")
     )
     return inner.join(each, [KEY, BLOCK]).select(KEY, "lo", F.coalesce("_e_", "_e0_").alias("e"), F.coalesce("_s_", "_s0_").alias("s"), F.coalesce("_in_", "_next_").alias("proximo"))
+
+
+def carry(rows: DataFrame, value: str, order: tuple[str, ...], name: str, size: int = SIZE, key: str = KEY) -> DataFrame:
+    """rows with the last value that isn't null, up to each row of its key, in order."""
+    blocks = split(rows, order, size, key)
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(*(c for c in order if c != value), value)))
+    each = blocks.groupBy(key, BLOCK).agg(last.alias("_last_"))
+    before = each.select(key, BLOCK, F.last("_last_", True).over(W.partitionBy(key).orderBy(BLOCK).rowsBetween(*_AHEAD))[value].alias("_before_"))
+    inner = blocks.withColumn("_in_", F.last(value, True).over(W.partitionBy(key, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return inner.join(before, [key, BLOCK]).select(*rows.columns, F.coalesce("_in_", "_before_").alias(name))
