@@ -259,7 +259,8 @@ def _ac_refine(bits: _Bits, h: _Huffman, coef: np.ndarray, first: int, last: int
             run -= 1
 
 
-_MARKER = re.compile(b"\xff[^\x00]", re.DOTALL)
+_MARKER = re.compile(b"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+_RESTART = re.compile(b"\xff[\xd0-\xd7]")
 
 
 class Image:
@@ -268,6 +269,7 @@ class Image:
     def __init__(self, data: bytes):
         self.comment = b""
         quant, tables, at = {}, {}, 2
+        self.interval = 0
         while data[at + 1] != 0xD9:
             marker, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
             body, at = data[at + 4 : at + 2 + n], at + 2 + n
@@ -296,8 +298,8 @@ class Image:
                     raise ValueError("a scan without an end")
                 self._read(body, data[at : end.start()], tables)
                 at = end.start()
-            elif marker == 0xDD and any(body):
-                raise ValueError("restart markers are not read")
+            elif marker == 0xDD:
+                self.interval = int.from_bytes(body, "big")
             elif 0xC0 <= marker <= 0xCF:
                 raise ValueError("not a progressive Huffman-coded JPEG")
 
@@ -311,10 +313,21 @@ class Image:
         return grid.reshape(self.rows, v, self.cols, h).transpose(0, 2, 1, 3).reshape(-1, v * h)
 
     def _read(self, head: bytes, data: bytes, tables: dict) -> None:
+        """A scan; with a restart interval, each so many units of it stand alone behind a marker."""
         parts = [(head[1 + 2 * i], head[2 + 2 * i]) for i in range(head[0])]
-        first, last, approx = head[-3:]
-        high, low, bits = approx >> 4, approx & 15, _Bits(data)
         orders = [self._order(c, len(parts) == 1) for c, _ in parts]
+        count = len(orders[0])
+        step = self.interval or count
+        made = _RESTART.split(data) if self.interval else [data]
+        if len(made) != -(-count // step):
+            raise ValueError(f"{len(made) - 1} restart markers where {-(-count // step) - 1} are due")
+        for k, part in enumerate(made):
+            if count:
+                self._read_part(parts, head[-3:], part, [o[k * step : (k + 1) * step] for o in orders], tables)
+
+    def _read_part(self, parts: list[tuple[int, int]], shape: bytes, data: bytes, orders: list[np.ndarray], tables: dict) -> None:
+        first, last, approx = shape
+        high, low, bits = approx >> 4, approx & 15, _Bits(data)
         if first:
             (c, t), order = parts[0], orders[0].ravel()
             coef = self.coef[c] if len(order) == len(self.coef[c]) else self.coef[c][order]

@@ -51,7 +51,7 @@ def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tensors(media: DataFrame) -> DataFrame:
     """(doc_id, height, width, rgb, error): full-resolution tensors of height * width * 3 bytes, of any progressive JPEG in
-    media (doc_id, media), to be written as they are.  Null media gives nulls; a broken stream, or one with restart markers,
+    media (doc_id, media), to be written as they are, with restart markers or without.  Null media gives nulls; a broken stream
     gives nulls and what is wrong with it.  Repeated rows stay; an empty table gives an empty result."""
     return media.select("doc_id", "media").mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary, error string")
 
