@@ -87,18 +87,22 @@ def header(c: Column) -> Column:
     return F.lower(unmarked(F.trim(c)))
 
 
+#: A spreadsheet's serial number of a day.
+SERIAL = r"^\d{1,6}(\.\d+)?$"
+
+
 def date_of(c: Column) -> Column:
     """dd/mm/yyyy, dd/mm/yy, yyyy-mm-dd or a spreadsheet's serial number; else null."""
     s = F.trim(c)
     by = [F.when(s.rlike(p), F.try_to_date(s, f)) for p, f in ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))]
-    serial = F.when(s.rlike(r"^\d{1,6}(\.\d+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(s.try_cast("double")).cast("int")))
+    serial = F.when(s.rlike(SERIAL), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(s.try_cast("double")).cast("int")))
     return F.coalesce(*by, serial)
 
 
 def date_note(c: Column) -> Column:
     """What is odd about a date's form; null if nothing can be said."""
     s = F.trim(c)
-    return F.when(s.isNull() | (s == ""), "data ausente").when(date_of(c).isNull(), "data invalida").when(s.rlike(r"^\d{1,6}(\.\d+)?$"), "data gravada como numero de serie").otherwise("data gravada como texto")
+    return F.when(s.isNull() | (s == ""), "data ausente").when(date_of(c).isNull(), "data invalida").when(s.rlike(SERIAL), "data gravada como numero de serie").otherwise("data gravada como texto")
 
 
 def number(c: Column) -> Column:

@@ -17,12 +17,12 @@ def anomalies(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> Dat
     return rows.select(*keys, F.explode(broken).alias("regra"))
 
 
-def movement_rules(today: str, first: str = "2020-11-01") -> dict[str, Column]:
-    """Rules for rows with data (text), peso and valor."""
-    d = X.date_of(F.col("data"))
+def movement_rules(today: str, first: str = "2020-11-01", day: str | None = None) -> dict[str, Column]:
+    """Rules for rows with data (text), peso and valor.  `day` names a column with X.date_of(data), so that texts are parsed once."""
+    d = F.col(day) if day else X.date_of(F.col("data"))
     return {
         "data ausente": d.isNull(),
-        "data como texto": d.isNotNull() & X.date_note(F.col("data")).eqNullSafe("data gravada como texto"),
+        "data como texto": d.isNotNull() & ~F.trim("data").rlike(X.SERIAL),
         "data futura": d > F.lit(today).cast("date"),
         "data anterior ao inicio": d < F.lit(first).cast("date"),
         "peso zero ou ausente": F.coalesce(F.col("peso"), F.lit(0)) == 0,

@@ -29,7 +29,8 @@ def raw(spark, d):
 @Q.add(f"""WITH {RAW} SELECT l_orderkey, l_linenumber, l_partkey, unnest(list_filter([CASE WHEN d IS NULL THEN 'data ausente' END, CASE WHEN d IS NOT NULL AND l_orderkey % 9 <> 1 THEN 'data como texto' END, CASE WHEN d > DATE '2001-01-01' THEN 'data futura' END,
   CASE WHEN d < DATE '1995-06-01' THEN 'data anterior ao inicio' END, CASE WHEN coalesce(peso, 0) = 0 THEN 'peso zero ou ausente' END, CASE WHEN coalesce(valor, 0) = 0 THEN 'valor zero ou ausente' END], lambda x: x IS NOT NULL)) AS regra FROM raw""")
 def anomaly_rules(spark, d):
-    return sanitize.anomalies(raw(spark, d), sanitize.movement_rules("2001-01-01", "1995-06-01"), ["l_orderkey", "l_linenumber", "l_partkey"])
+    rows = raw(spark, d).withColumn("dia", X.date_of(F.col("data")))
+    return sanitize.anomalies(rows, sanitize.movement_rules("2001-01-01", "1995-06-01", "dia"), ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @Q.add("""WITH x AS (SELECT l_partkey, l_suppkey, count(*) AS linhas, count(DISTINCT (l_orderkey, l_shipdate)) AS distintas, count(DISTINCT (l_returnflag, l_quantity)) AS iguais FROM lineitem GROUP BY 1, 2)
