@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Lines in a subset, and lines of a note up to which all subsets are tried within the row.
-SUBSET, IN_ROW = 6, 12
+SUBSET, IN_ROW = 6, 5
 #: Sums of a long note's lines that are in memory at a time (12 bytes each, and as much again to sort them).
 HELD = 4_000_000
 PAIR = "array<struct<classe:string,seq_a:int,seq_b:int,difere:boolean>>"
