@@ -91,7 +91,8 @@ def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = sca
         return rows.select("produto_id", "lo", F.last(entry, True).over(at).alias("e"), F.last(exit_, True).over(at).alias("s"), F.lead("lo").over(by).alias("proximo"))
 
     rows = axis(ledger, hot, size).filter("casado > 0")
-    seen = _apart(rows, hot, plain, lambda r: scan.sweep(r, entry, exit_, size))
+    # A sweep reads its rows three times; kept, they are laid out on the axis once.
+    seen = _apart(rows, hot, plain, lambda r: scan.sweep(r.select("produto_id", "lo", "tipo", entry.alias("_e_"), exit_.alias("_s_")).persist(), F.col("_e_"), F.col("_s_"), size))
     used = F.least("e.hi", "s.hi") - F.col("lo")
     seen = seen.filter(F.col("e").isNotNull() & F.col("s").isNotNull() & (F.col("proximo").isNull() | (F.col("proximo") > F.col("lo"))) & (used > 0))
     return seen.select(

@@ -17,23 +17,32 @@ SIZE = 1 << 20
 PICKED = 64
 KEY, BLOCK = "produto_id", "_block_"
 _AHEAD = (W.unboundedPreceding, -1)
+#: Levels of a tree of borders, and borders under one of the level above.
+LEVELS, FANOUT = 3, 32
 
 
 def hot_products(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """(produto_id) with more than `size` rows."""
-    return rows.groupBy(KEY).agg(F.count("*").alias("_n_")).filter(F.col("_n_") > size).select(KEY)
+    """(produto_id) with more than `size` rows, marked for broadcast: there are less than rows / size."""
+    return F.broadcast(rows.groupBy(KEY).agg(F.count("*").alias("_n_")).filter(F.col("_n_") > size).select(KEY))
 
 
 def split(rows: DataFrame, order: tuple[str, ...], size: int = SIZE, key: str = KEY) -> DataFrame:
     """rows with the number of their block.  Borders are the order of rows that a hash picks, so they depend on the rows alone and
-    a task that is run again finds the same.  Rows of equal order stay together."""
-    at = F.struct(*order)
-    picked = rows.filter(F.pmod(F.xxhash64(key, *order), F.lit(max(1, size // PICKED))) == 0).select(F.col(key).alias("_of_"), at.alias("_from_"))
+    a task that is run again finds the same.  Rows of equal order stay together.
+
+    Borders are a tree, a join a level: on its way down a row meets at most FANOUT borders a level.  A join with all of them would try
+    each row with every border of its product, whose number grows with the rows."""
+    picked = rows.filter(F.pmod(F.xxhash64(key, *order), F.lit(max(1, size // PICKED))) == 0).select(F.col(key).alias("_of_"), F.struct(*order).alias("_from_"))
     by = W.partitionBy("_of_").orderBy("_from_")  # one row in size / PICKED
-    edges = picked.withColumn("_k_", F.row_number().over(by)).filter(F.col("_k_") % PICKED == 0)
-    edges = edges.select("_of_", "_from_", F.lead("_from_").over(by).alias("_to_"), (F.col("_k_") / PICKED).cast("int").alias("_b_"))
-    inside = (F.col(key) == F.col("_of_")) & (at >= F.col("_from_")) & (F.col("_to_").isNull() | (at < F.col("_to_")))
-    return rows.join(edges, inside, "left").withColumn(BLOCK, F.coalesce("_b_", F.lit(0))).drop("_of_", "_from_", "_to_", "_b_")
+    edges = picked.withColumn("_k_", F.row_number().over(by)).filter(F.col("_k_") % PICKED == 0).select("_of_", "_from_", (F.col("_k_") / PICKED).cast("int").alias("_b_")).persist()  # rows / size, for all levels
+    out = rows.withColumn("_at_", F.struct(*order)).withColumn(BLOCK, F.lit(0))
+    for step in (FANOUT**k for k in range(LEVELS - 1, -1, -1)):  # borders whose number is a multiple of step, under the last of FANOUT * step
+        up = (F.col("_b_") - F.pmod("_b_", F.lit(FANOUT * step))) if step < FANOUT ** (LEVELS - 1) else F.lit(0)
+        level = edges.filter(F.col("_b_") % step == 0).withColumn("_up_", up)
+        level = level.withColumn("_to_", F.lead("_from_").over(W.partitionBy("_of_", "_up_").orderBy("_b_"))).filter("_b_ > _up_")
+        inside = (F.col(key) == F.col("_of_")) & (F.col(BLOCK) == F.col("_up_")) & (F.col("_at_") >= F.col("_from_")) & (F.col("_to_").isNull() | (F.col("_at_") < F.col("_to_")))
+        out = out.join(F.broadcast(level), inside, "left").withColumn(BLOCK, F.coalesce("_b_", BLOCK)).drop("_of_", "_up_", "_from_", "_to_", "_b_")
+    return out.drop("_at_")
 
 
 def inside(order: tuple[str, ...]) -> W:
