@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
@@ -46,13 +47,24 @@ def _several() -> tuple[str, list[tuple[str, str]]]:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, stops, strict=True)) + "]", [("".join(x), "".join(y)) for x, y in places]
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) where f names its argument several times: c is worked out once a row, which Spark does not see to in branches and inside
+    functions of arrays."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unmarked(c: Column) -> Column:
     """Compatibility decomposition without combining marks: `Dvořák` is `Dvorak`, a ligature its letters.  One translation serves
-    all characters that become one; only texts that hold others are gone through character by character."""
+    all characters that become one; of texts that hold others only those characters are translated by themselves.  Plain ASCII is
+    left as it is."""
     one, plain, _ = _unmarked()
     pattern, places = _several()
-    each = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(pattern), F.concat(*(F.translate(x, a, b) for a, b in places))).otherwise(x))
-    return F.translate(F.when(c.rlike(pattern), F.array_join(each, "")).otherwise(c), one, plain)
+    # Cut before and behind each of those characters, a text is pieces of which they are one each.  The pattern has hundreds of ranges,
+    # so it only meets what isn't ASCII.
+    cut = rf"(?=[^\x00-\x7F])(?={pattern})|(?<=[^\x00-\x7F])(?<={pattern})"
+    holds = lambda x: F.regexp_replace(x, r"[\x00-\x7F]+", "").rlike(pattern)
+    several = lambda x: F.array_join(F.transform(F.split(x, cut), lambda y: F.when(y.rlike(pattern), F.concat(*(F.translate(y, a, b) for a, b in places))).otherwise(y)), "")
+    return once(c, lambda x: F.when(~x.rlike(r"[^\x00-\x7F]"), x).otherwise(F.translate(F.when(holds(x), several(x)).otherwise(x), one, plain)))
 
 
 def fold(c: Column) -> Column:
@@ -77,9 +89,11 @@ def party_key(c: Column) -> Column:
 
 def name_core(c: Column) -> Column:
     """Words of the key that tell companies apart, else all of them."""
-    words = F.filter(F.split(party_key(c), " "), lambda x: x != "")
-    core = F.filter(words, lambda x: ~x.isin(*NAME_STOP_WORDS))
-    return F.when(F.size(core) > 0, core).otherwise(words)
+
+    def core(words: Column) -> Column:
+        return once(F.filter(words, lambda x: ~x.isin(*NAME_STOP_WORDS)), lambda some: F.when(F.size(some) > 0, some).otherwise(words))
+
+    return once(F.filter(F.split(party_key(c), " "), lambda x: x != ""), core)
 
 
 def header(c: Column) -> Column:
@@ -149,7 +163,7 @@ def metal(c: Column) -> Column:
 
 
 def foreign(c: Column) -> Column:
-    return fold(c).rlike(FOREIGN) & ~fold(c).rlike(NOT_FOREIGN)
+    return once(fold(c), lambda x: x.rlike(FOREIGN) & ~x.rlike(NOT_FOREIGN))
 
 
 def unit_cost(value: Column, quantity: Column) -> Column:
