@@ -1,7 +1,8 @@
 """Costs kept as states, and recosting from the earliest change on.
 
-What a product's past means for its future is its open lots: a shortage isn't carried.  So the lots that are open at the end of
-each month are states that costing can start from.  Estimates of shortages look at the whole history; they need its sums by day
+What a product's past means for its future is its open lots: a shortage isn't carried.  So what is left of the lots at the end
+of a month is a state that costing can start from.  It is kept by change: a lot has a row for each month at whose end more or less of
+it is left than before, so that there are no more rows than lots and what exits take of them, however long a lot stays open.  Estimates of shortages look at the whole history; they need its sums by day
 only, which are kept too.  A retroactive change costs the rows from its month on, whatever lies before.
 """
 
@@ -17,10 +18,11 @@ from . import costing
 from . import ledger as L
 
 _MONTH = "competencia"
+_LOT = ("nota_id", "line_no", "data_mov", "custo_lote")
 
 
 class States(NamedTuple):
-    lots: DataFrame  # produto_id, competencia, nota_id, line_no, data_mov, resta, custo_lote: open at the end of the month
+    lots: DataFrame  # produto_id, competencia, nota_id, line_no, data_mov, custo_lote, resta: left at the end of each month in which that changed
     days: DataFrame  # produto_id, data_mov, v, q, xv, xq, primeira, movimento: sums for estimates; whether a valid row moves stock
     exits: DataFrame  # produto_id, nota_id, line_no, data_mov, quantidade, falta, custo_lotes
 
@@ -53,15 +55,20 @@ def _estimated(days: DataFrame) -> DataFrame:
 def _run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lots, exits) of rows of the ledger, which may begin with lots carried from a state (custo_lote set)."""
     axis = costing.axis(rows)
-    took = costing.consumption(rows).groupBy("produto_id", F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
+    used = costing.consumption(rows)
+    took = used.groupBy("produto_id", F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
     took = took.agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
     exits = axis.filter("tipo = 'S'").select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta").join(took, ["produto_id", "nota_id", "line_no", "data_mov"], "left")
-    months = axis.filter("not carried").groupBy("produto_id", _month().alias(_MONTH)).agg(F.sum(F.when(F.col("tipo") == "S", F.col("casado")).otherwise(0)).alias("m"))
-    months = months.select(F.col("produto_id").alias("p"), _MONTH, F.sum("m").over(W.partitionBy("produto_id").orderBy(_MONTH).rowsBetween(W.unboundedPreceding, 0)).alias("saiu"))
-    entries = axis.filter("tipo = 'E'")
     unit = F.coalesce(F.col("custo_lote"), F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
-    open_ = entries.join(months, (F.col("produto_id") == F.col("p")) & (_month() <= F.col(_MONTH)) & (F.col("hi") > F.col("saiu")))
-    lots = open_.select("produto_id", _MONTH, "nota_id", "line_no", "data_mov", F.least(F.col("quantidade"), F.col("hi") - F.col("saiu")).cast("decimal(15,3)").alias("resta"), unit.alias("custo_lote"))
+    came = L.valid(rows).filter("tipo = 'E' and quantidade > 0").select("produto_id", "nota_id", "line_no", "data_mov", unit.alias("custo_lote"), F.when(~F.col("carried"), _month()).alias(_MONTH), F.col("quantidade").cast("decimal(15,3)").alias("d"))
+    went = used.select(
+        "produto_id", F.col("entrada_nota").alias("nota_id"), F.col("entrada_linha").alias("line_no"), F.col("entrada_data").alias("data_mov"), F.col("custo_unit").alias("custo_lote"), _month("saida_data").alias(_MONTH),
+        (-F.col("quantidade")).cast("decimal(15,3)").alias("d"),
+    )
+    # A carried lot begins with what is left of it, before any month.
+    steps = came.unionByName(went).groupBy("produto_id", *_LOT, _MONTH).agg(F.sum("d").alias("d")).filter("d <> 0")
+    upto = W.partitionBy("produto_id", *_LOT).orderBy(F.asc_nulls_first(_MONTH)).rowsBetween(W.unboundedPreceding, 0)
+    lots = steps.withColumn("resta", F.sum("d").over(upto).cast("decimal(15,3)")).filter(F.col(_MONTH).isNotNull()).select("produto_id", _MONTH, *_LOT, "resta")
     return lots, exits.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", F.coalesce("custo_lotes", F.lit(0.0)).alias("custo_lotes"))
 
 
@@ -89,8 +96,8 @@ def since(changed: DataFrame, after: DataFrame, kept: States) -> States:
     start = changed.select("produto_id", _month("desde").alias("inicio"))
     rows = _plain(after.join(start, "produto_id").filter(F.col("data_mov") >= F.col("inicio")))
     before = kept.days.join(start, "produto_id").filter(F.col("data_mov") < F.col("inicio")).drop("inicio")
-    last = before.filter("movimento").groupBy("produto_id").agg(F.max(_month()).alias(_MONTH))
-    carried = kept.lots.join(last, ["produto_id", _MONTH]).select(
+    open_ = kept.lots.join(start, "produto_id").filter(F.col(_MONTH) < F.col("inicio")).groupBy("produto_id", *_LOT).agg(F.max_by("resta", _MONTH).alias("resta")).filter("resta > 0")
+    carried = open_.select(
         "produto_id", "data_mov", F.lit("E").alias("tipo"), "nota_id", "line_no", F.col("resta").alias("quantidade"), F.lit(None).cast("decimal(15,2)").alias("valor"), F.lit("").alias("natureza"), F.lit("lancada").alias("status"),
         "custo_lote", F.lit(True).alias("carried"),
     )

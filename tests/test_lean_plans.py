@@ -1,9 +1,26 @@
-"""What shuffles or reads no more than it must."""
+"""What shuffles or reads no more than it must: states of lots, quantities of notes, anomalies."""
 
-from tallyspark.operators import ingest
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+from test_costing import SCHEMA
+
+from tallyspark.operators import costing, ingest, states
 from tallyspark.plans import intake
 
 
+def test_lots_that_stay_open_have_no_row_a_month(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [(1, day, "E", i, 1, Decimal(10), Decimal(5), "COMPRA", "lancada") for i in range(20)]
+    rows += [(1, day + dt.timedelta(32 * k), "S", 100 + k, 1, Decimal("0.5"), Decimal(5), "VENDA", "lancada") for k in range(1, 31)]
+    ledger = spark.createDataFrame(rows, SCHEMA)
+    lots = states.build(ledger).lots
+    assert lots.count() <= 20 + costing.consumption(ledger).count()  # 20 rows a month before
+    last = lots.groupBy("nota_id").agg(F.max_by("resta", "competencia").alias("resta")).filter("resta > 0")
+    assert {r.nota_id: r.resta for r in last.collect()} == {r.nota_id: r.resta for r in costing.open_lots(ledger).collect()}
+
+
 def test_notes_go_on_from_batch_to_batch(spark):
     groups = [(n, g, float(q)) for n in range(7) for g, q in enumerate((1, 2, 2, 3, 4))]
     items = [(n, i, q) for n in range(7) for i, q in enumerate((3.0, 2.0, 1.0005, 4.5, 9.0))]
