@@ -48,9 +48,10 @@ def stock_anomalies(first_negative: DataFrame, exits: DataFrame, position: DataF
     fall = first_negative.select(F.lit("saldo negativo").alias("regra"), "produto_id", F.col("saldo").cast("double").alias("quantidade"))
     short = exits.filter("falta > 0").agg(F.sum("falta").cast("double").alias("quantidade"), F.count("*").alias("n")).filter("n > 0")
     short = short.select(F.lit("saida sem lastro").alias("regra"), F.lit(None).cast("long").alias("produto_id"), "quantidade")
-    final = position.filter("saldo < -1e-6").select(F.lit("saldo final negativo").alias("regra"), "produto_id", F.col("saldo").cast("double").alias("quantidade"))
-    bare = position.filter("saldo > 0 and coalesce(valor, 0) = 0").select(F.lit("estoque sem valor").alias("regra"), "produto_id", F.col("saldo").cast("double").alias("quantidade"))
-    return fall.unionByName(short).unionByName(final).unionByName(bare)
+    # Both rules on the position exclude each other, so one pass over it serves them.
+    rule = F.when(F.col("saldo") < -1e-6, "saldo final negativo").when((F.col("saldo") > 0) & (F.coalesce("valor", F.lit(0)) == 0), "estoque sem valor")
+    last = position.select(rule.alias("regra"), "produto_id", F.col("saldo").cast("double").alias("quantidade")).filter("regra is not null")
+    return fall.unionByName(short).unionByName(last)
 
 
 def keep_parties(parties: DataFrame, seen: DataFrame) -> DataFrame:

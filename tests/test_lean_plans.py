@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from test_costing import SCHEMA
 
-from tallyspark.operators import costing, ingest, states
+from tallyspark.operators import costing, ingest, reports, states
 from tallyspark.plans import intake
 
 
@@ -37,3 +37,11 @@ def test_notes_go_on_from_batch_to_batch(spark):
 def test_lines_of_notes_are_not_multiplied(spark):
     plan = intake.match_by_qty(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_the_position_is_worked_out_once(spark):
+    position = spark.createDataFrame([(1, -2.0, 3.0), (2, 5.0, None), (3, 5.0, 0.0), (4, 5.0, 1.0), (5, 0.0, None)], "produto_id long, saldo double, valor double").withColumn("saldo", F.col("saldo") + F.rand() * 0)
+    fall = spark.createDataFrame([], "produto_id long, saldo double")
+    out = reports.stock_anomalies(fall, spark.createDataFrame([], "falta double"), position)
+    assert sorted((r.regra, r.produto_id, r.quantidade) for r in out.collect()) == [("estoque sem valor", 2, 5.0), ("estoque sem valor", 3, 5.0), ("saldo final negativo", 1, -2.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("rand(") == 1
