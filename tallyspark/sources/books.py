@@ -51,6 +51,11 @@ def _part(pattern: str, i: int) -> Column:
     return F.regexp_extract("line", pattern, i)
 
 
+def _parts(pattern: str, n: int) -> Column:
+    """All n groups of a pattern for whole lines, from one match; no group holds a line feed."""
+    return F.split(F.regexp_replace("line", pattern, "\n".join(f"${i}" for i in range(1, n + 1))), "\n")
+
+
 def _code_lines(rows: DataFrame, difal: bool) -> DataFrame:
     found = rows.withColumn("cfop", _part(r"^([1-7]\d{3})\s+(.*)$", 1)).filter("cfop <> ''")
     n = F.transform(F.regexp_extract_all(F.substring("line", 5, 1 << 20), F.lit(f"({NUM})"), F.lit(1)), amount)
@@ -91,33 +96,38 @@ def dime_statement(rows: DataFrame) -> DataFrame:
 def inbound_accounting(rows: DataFrame) -> DataFrame:
     """Inbound book of the accounting side; a line `4 base value` gives the last entry before it its difal."""
     p = IN_ACCOUNTING
-    main = F.col("line").rlike(p)
-    rows = rows.withColumn("grupo", F.sum(main.cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, 0))).filter("grupo > 0")
-    more = F.col("line").rlike(IN_ACCOUNTING_MORE) & ~main
+    rows = rows.withColumn("main", F.col("line").rlike(p))
+    rows = rows.withColumn("grupo", F.sum(F.col("main").cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, 0))).filter("grupo > 0")
+    rows = rows.withColumn("more", ~F.col("main") & F.col("line").rlike(IN_ACCOUNTING_MORE))
+    more = F.col("more")
     extra = F.max_by(F.when(more, F.struct(amount(_part(IN_ACCOUNTING_MORE, 1)).alias("b"), amount(_part(IN_ACCOUNTING_MORE, 2)).alias("d"))), F.when(more, F.col("line_no"))).alias("x")
     one = rows.groupBy("arquivo", "grupo").agg(F.min_by("line", "line_no").alias("line"), F.min("line_no").alias("line_no"), extra)
-    rest = F.regexp_extract_all(_part(p, 13), F.lit(f"({NUM})"), F.lit(1))
+    part = lambda i: F.get("g", F.lit(i - 1))
+    one = one.withColumn("g", _parts(p, 13)).withColumn("rest", F.regexp_extract_all(part(13), F.lit(f"({NUM})"), F.lit(1)))
+    rest = F.col("rest")
     tail = lambda i: F.when(F.size(rest) >= 2, amount(F.get(rest, F.lit(i)))).otherwise(0.0)
     return one.select(
-        "arquivo", "line_no", _part(p, 1).alias("data_entrada"), F.trim(_part(p, 2)).alias("especie"), _part(p, 3).alias("serie"), bare_number(_part(p, 4)).alias("numero"), _part(p, 5).alias("data_documento"),
-        _part(p, 6).alias("emitente"), _part(p, 7).alias("uf"), amount(_part(p, 8)).alias("valor_contabil"), F.concat(_part(p, 9), _part(p, 10)).alias("cfop"), _part(p, 11).alias("cod_fiscal"),
-        amount(_part(p, 12)).alias("base_calculo"), tail(0).alias("aliquota"), tail(1).alias("imposto"), F.coalesce("x.b", F.lit(0.0)).alias("difal_base"), F.coalesce("x.d", F.lit(0.0)).alias("difal"),
+        "arquivo", "line_no", part(1).alias("data_entrada"), F.trim(part(2)).alias("especie"), part(3).alias("serie"), bare_number(part(4)).alias("numero"), part(5).alias("data_documento"),
+        part(6).alias("emitente"), part(7).alias("uf"), amount(part(8)).alias("valor_contabil"), F.concat(part(9), part(10)).alias("cfop"), part(11).alias("cod_fiscal"),
+        amount(part(12)).alias("base_calculo"), tail(0).alias("aliquota"), tail(1).alias("imposto"), F.coalesce("x.b", F.lit(0.0)).alias("difal_base"), F.coalesce("x.d", F.lit(0.0)).alias("difal"),
     )
 
 
 def inbound_company(rows: DataFrame) -> DataFrame:
     """Inbound book of the company; a line `ICMS ...` belongs to the next entry, the last of several wins."""
     p, t = IN_COMPANY, IN_COMPANY_TAX
-    tax = F.col("line").rlike(t)
-    main = F.col("line").rlike(p) & ~tax
-    before = F.coalesce(F.sum(main.cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("grupo", before).withColumn("main", main).withColumn("tax", tax).filter("main or tax")
-    x = F.struct(_part(t, 1).alias("cod_fiscal"), amount(_part(t, 2)).alias("base_calculo"), amount(F.concat(_part(t, 3), F.when(_part(t, 3).contains(","), "").otherwise(",0"))).alias("aliquota"), amount(_part(t, 4)).alias("imposto"))
+    rows = rows.withColumn("tax", F.col("line").rlike(t))
+    rows = rows.withColumn("main", ~F.col("tax") & F.col("line").rlike(p))
+    before = F.coalesce(F.sum(F.col("main").cast("int")).over(_by_file().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("grupo", before).filter("main or tax").withColumn("t", F.when(F.col("tax"), _parts(t, 4)))
+    told = lambda i: F.get("t", F.lit(i - 1))
+    x = F.struct(told(1).alias("cod_fiscal"), amount(told(2)).alias("base_calculo"), amount(F.concat(told(3), F.when(told(3).contains(","), "").otherwise(",0"))).alias("aliquota"), amount(told(4)).alias("imposto"))
     one = rows.groupBy("arquivo", "grupo").agg(F.max_by(F.when(F.col("tax"), x), F.when(F.col("tax"), F.col("line_no"))).alias("x"), F.max(F.when(F.col("main"), F.struct("line_no", "line"))).alias("m")).filter("m is not null")
-    one = one.select("arquivo", "m.*", "x")
+    one = one.select("arquivo", "m.*", "x").withColumn("g", _parts(p, 9))
+    part = lambda i: F.get("g", F.lit(i - 1))
     return one.select(
-        "arquivo", "line_no", _part(p, 1).alias("data_entrada"), _part(p, 2).alias("especie"), _part(p, 3).alias("serie"), bare_number(_part(p, 4)).alias("numero"), _part(p, 5).alias("data_documento"), _part(p, 6).alias("emitente"),
-        _part(p, 7).alias("uf"), amount(_part(p, 8)).alias("valor_contabil"), _part(p, 9).alias("cfop"), F.coalesce("x.cod_fiscal", F.lit("")).alias("cod_fiscal"),
+        "arquivo", "line_no", part(1).alias("data_entrada"), part(2).alias("especie"), part(3).alias("serie"), bare_number(part(4)).alias("numero"), part(5).alias("data_documento"), part(6).alias("emitente"),
+        part(7).alias("uf"), amount(part(8)).alias("valor_contabil"), part(9).alias("cfop"), F.coalesce("x.cod_fiscal", F.lit("")).alias("cod_fiscal"),
         *(F.coalesce(f"x.{c}", F.lit(0.0)).alias(c) for c in ("base_calculo", "aliquota", "imposto")),
     )
 
