@@ -56,9 +56,10 @@ def code_balance(spark, d):
 
 @Q.add(f"""WITH {V.BOOKS_SQL} SELECT DISTINCT 'a' AS lado, numero FROM book_a WHERE numero NOT IN (SELECT numero FROM book_b) UNION ALL SELECT DISTINCT 'b', numero FROM book_b WHERE cents > 9000000 AND numero NOT IN (SELECT numero FROM book_a WHERE cents <= 9000000)""")
 def only_one_side(spark, d):
+    # A whole book's numbers are no table to broadcast, whatever Spark takes their size for: sorted, they can spill.
     a, b = V.book(spark, d, "a"), V.book(spark, d, "b")
-    left = a.join(b.select("numero"), "numero", "left_anti").select(F.lit("a").alias("lado"), "numero").distinct()
-    right = b.filter("cents > 9000000").join(a.filter("cents <= 9000000").select("numero"), "numero", "left_anti").select(F.lit("b").alias("lado"), "numero").distinct()
+    left = a.join(b.select("numero").hint("merge"), "numero", "left_anti").select(F.lit("a").alias("lado"), "numero").distinct()
+    right = b.filter("cents > 9000000").join(a.filter("cents <= 9000000").select("numero").hint("merge"), "numero", "left_anti").select(F.lit("b").alias("lado"), "numero").distinct()
     return left.unionByName(right)
 
 

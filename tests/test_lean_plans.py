@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_costing import SCHEMA
 
 from tallyspark.operators import costing, ingest, reports, states
-from tallyspark.plans import intake
+from tallyspark.plans import books, intake
 
 
 def test_lots_that_stay_open_have_no_row_a_month(spark):
@@ -45,3 +45,8 @@ def test_the_position_is_worked_out_once(spark):
     out = reports.stock_anomalies(fall, spark.createDataFrame([], "falta double"), position)
     assert sorted((r.regra, r.produto_id, r.quantidade) for r in out.collect()) == [("estoque sem valor", 2, 5.0), ("estoque sem valor", 3, 5.0), ("saldo final negativo", 1, -2.0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("rand(") == 1
+
+
+def test_numbers_of_a_book_are_not_broadcast(spark):
+    plan = books.only_one_side(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
