@@ -55,15 +55,13 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def unmarked(c: Column) -> Column:
     """Compatibility decomposition without combining marks: `Dvořák` is `Dvorak`, a ligature its letters.  One translation serves
-    all characters that become one; of texts that hold others only those characters are translated by themselves.  Plain ASCII is
-    left as it is."""
+    all characters that become one; only texts that hold others are gone through character by
+    character.  Plain ASCII is left as it is."""
     one, plain, _ = _unmarked()
     pattern, places = _several()
-    # Cut before and behind each of those characters, a text is pieces of which they are one each.  The pattern has hundreds of ranges,
-    # so it only meets what isn't ASCII.
-    cut = rf"(?=[^\x00-\x7F])(?={pattern})|(?<=[^\x00-\x7F])(?<={pattern})"
+    # The pattern has hundreds of ranges, so whole texts meet it with what isn't ASCII only.
     holds = lambda x: F.regexp_replace(x, r"[\x00-\x7F]+", "").rlike(pattern)
-    several = lambda x: F.array_join(F.transform(F.split(x, cut), lambda y: F.when(y.rlike(pattern), F.concat(*(F.translate(y, a, b) for a, b in places))).otherwise(y)), "")
+    several = lambda x: F.array_join(F.transform(F.split(x, ""), lambda y: F.when(y.rlike(pattern), F.concat(*(F.translate(y, a, b) for a, b in places))).otherwise(y)), "")
     return once(c, lambda x: F.when(~x.rlike(r"[^\x00-\x7F]"), x).otherwise(F.translate(F.when(holds(x), several(x)).otherwise(x), one, plain)))
 
 
