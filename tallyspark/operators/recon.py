@@ -115,9 +115,9 @@ def first_subset(v: list[int], target: int, held: int = HELD) -> list[int] | Non
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _search(cents: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The first smallest subset that makes the target, by position, for notes with many lines."""
+    """The first smallest subset that makes the target, by position, for notes with many lines; null for others (no values)."""
     for values, target in cents:
-        yield pd.Series([first_subset(v.tolist(), t) for v, t in zip(values, target, strict=True)])
+        yield pd.Series([None if v is None else first_subset(v.tolist(), int(t)) for v, t in zip(values, target, strict=True)], dtype=object)
 
 
 def pair_notes(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -134,10 +134,9 @@ def pair_notes(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = rows.withColumn("valores", F.expr(f"if({open_}, transform(maior, x -> x.cents), null)")).withColumn("n", F.size("valores"))
     fits = f"filter(sequence(1, shiftleft(1, n) - 1), m -> bit_count(m) <= {SUBSET} and aggregate(sequence(0, n - 1), 0L, (s, i) -> s + if(getbit(m, n - 1 - i) = 1, valores[i], 0L)) = alvo)"
     best = f"array_max(transform({fits}, m -> named_struct('k', -bit_count(m), 'm', m)))"
-    rows = rows.withColumn("mascara", F.expr(f"if({open_} and n <= {IN_ROW}, {best}.m, null)"))
-    small = rows.filter(f"n <= {IN_ROW} or not ({open_}) or la is null or lb is null").withColumn("idx", F.expr("if(mascara is null, null, filter(sequence(0, n - 1), i -> getbit(mascara, n - 1 - i) = 1))"))
-    large = rows.filter(f"{open_} and n > {IN_ROW}").withColumn("idx", _search("valores", "alvo"))
-    rows = small.unionByName(large)
+    rows = rows.withColumn("mascara", F.expr(f"if({open_} and n <= {IN_ROW}, {best}.m, null)")).withColumn("muitos", F.expr(f"if({open_} and n > {IN_ROW}, valores, null)"))
+    # All notes pass the search, most without values: a branch of their own would make both books again.
+    rows = rows.withColumn("busca", _search("muitos", "alvo")).withColumn("idx", F.expr("coalesce(busca, if(mascara is null, null, filter(sequence(0, n - 1), i -> getbit(mascara, n - 1 - i) = 1)))"))
     alone = "transform({0}, x -> named_struct('classe', 'so_{1}', 'seq_a', {2}, 'seq_b', {3}, 'difere', false))"
     so_a, so_b = alone.format("la", "a", "x.seq", "null"), alone.format("lb", "b", "null", "x.seq")
     sort = "array_sort(transform({}, x -> named_struct('v', -x.cents, 'seq', x.seq, 'cfop', x.cfop)))"

@@ -47,11 +47,12 @@ def book(spark: SparkSession, d: str, which: str) -> DataFrame:
     """Book a: every line; book b: some lines missing, some codes and values changed."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_shipdate", "l_linenumber")
+    order = W.partitionBy("numero").orderBy("l_partkey", "l_shipdate", "l_linenumber")  # numero: what follows needs no other shuffle
     cfop = F.concat(F.when(F.col("l_returnflag") == "N", "5").otherwise("1"), F.when(F.col("l_linestatus") == "F", "101").otherwise("102"))
     rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("numero"), F.row_number().over(order).alias("seq"), cfop.alias("cfop"), F.round(F.col("l_extendedprice").cast("decimal(15,2)") * 100).cast("long").alias("cents"), "l_partkey", "l_linenumber",
+        F.col("l_orderkey").alias("numero"), cfop.alias("cfop"), F.round(F.col("l_extendedprice").cast("decimal(15,2)") * 100).cast("long").alias("cents"), "l_partkey", "l_shipdate", "l_linenumber",
     )
+    rows = rows.withColumn("seq", F.row_number().over(order))
     if which == "b":
         rows = rows.filter((F.col("l_partkey") + F.col("l_linenumber")) % 17 != 0)
         rows = rows.withColumn("cfop", F.when(F.col("numero") % 23 == 0, F.concat(F.substring("cfop", 1, 1), F.lit("949"))).otherwise(F.col("cfop")))
