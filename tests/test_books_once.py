@@ -8,7 +8,7 @@ from tallyspark.plans import books
 LINES = "numero long, seq int, cfop string, cents long"
 
 
-@pytest.mark.parametrize(("query", "made"), [(books.recon_notes, 2)])
+@pytest.mark.parametrize(("query", "made"), [(books.recon_notes, 2), (books.missing_by_code, 3)])
 def test_books_are_made_once(spark, query, made):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("row_number()") == made
