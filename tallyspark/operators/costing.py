@@ -8,6 +8,8 @@ shuffle by product.
 
 A product with very many rows would be one task.  Where there are such, `hot` names them (scan.hot_products): they are worked
 through in blocks of about `size` rows, the others by windows; the rows that come out are the same.
+
+`parts` (ledger.parts_of) is in how many parts by product a large ledger is worked through, so that a task's memory doesn't grow.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def _axis(rows: DataFrame) -> DataFrame:
     return rows.drop("corrente", "falta_total")
 
 
-def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
+def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None) -> DataFrame:
     """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit, saida_data, entrada_data): which
     exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs its
     custo_lote, where the ledger has that column and it is set, else valor / quantidade, 0 if either is missing."""
@@ -90,7 +92,7 @@ def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = sca
         # Rows that start at one point see each other only at the last of them.
         return rows.select("produto_id", "lo", F.last(entry, True).over(at).alias("e"), F.last(exit_, True).over(at).alias("s"), F.lead("lo").over(by).alias("proximo"))
 
-    rows = axis(ledger, hot, size).filter("casado > 0")
+    rows = axis(L.dealt(ledger, parts, "produto_id"), hot, size).filter("casado > 0")
     # A sweep reads its rows three times; kept, they are laid out on the axis once.
     seen = _apart(rows, hot, plain, lambda r: scan.sweep(r.select("produto_id", "lo", "tipo", entry.alias("_e_"), exit_.alias("_s_")).persist(), F.col("_e_"), F.col("_s_"), size))
     used = F.least("e.hi", "s.hi") - F.col("lo")
@@ -102,24 +104,25 @@ def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = sca
     )
 
 
-def exit_costs(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
+def exit_costs(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None) -> DataFrame:
     """Per exit: quantidade, falta, custo_total = lots taken at their cost + shortage at the estimated cost."""
-    taken = consumption(ledger, hot, size).groupBy(F.col("produto_id"), F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
-    taken = taken.agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
-    exits = axis(estimates(ledger, hot), hot, size).filter("tipo = 'S'")
-    out = exits.join(taken, ["produto_id", "nota_id", "line_no", "data_mov"], "left")
+    keys = ("produto_id", "nota_id", "line_no", "data_mov")
+    lots = consumption(ledger, hot, size, parts).select("produto_id", F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"), "quantidade", "custo_unit")
+    taken = L.dealt(lots, parts, *keys).groupBy(*keys).agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
+    exits = axis(estimates(L.dealt(ledger, parts, "produto_id"), hot), hot, size).filter("tipo = 'S'").select(*keys, "quantidade", "falta", "est_custo")
+    out = L.dealt(exits, parts, *keys).join(taken, list(keys), "left")
     total = F.coalesce("custo_lotes", F.lit(0.0)) + F.col("falta").cast("double") * F.col("est_custo")
     return out.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", total.alias("custo_total"))
 
 
-def open_lots(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
+def open_lots(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None) -> DataFrame:
     """Entries of which something is left: quantidade, resta, custo_unit, valor_resta.
 
     What exits took in all is one number a product, so what is left of a lot needs no pairing."""
     took = F.sum(F.when(F.col("tipo") == "S", F.col("casado")))
     plain = lambda rows: rows.withColumn("saiu", F.coalesce(took.over(W.partitionBy("produto_id")), F.lit(0)))
     blocked = lambda rows: rows.join(rows.groupBy("produto_id").agg(F.coalesce(took, F.lit(0)).alias("saiu")), "produto_id")
-    rows = _apart(axis(L.valid(ledger, until), hot, size), hot, plain, blocked)
+    rows = _apart(axis(L.valid(L.dealt(ledger, parts, "produto_id"), until), hot, size), hot, plain, blocked)
     left = F.least(F.col("quantidade"), F.greatest(F.col("hi") - F.col("saiu"), F.lit(0)))
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
     rows = rows.filter("tipo = 'E'").withColumn("resta", left).filter("resta > 0")
@@ -127,9 +130,10 @@ def open_lots(ledger: DataFrame, until: str | None = None, hot: DataFrame | None
     return rows.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "resta", "custo_unit", (F.col("resta").cast("double") * F.col("custo_unit")).alias("valor_resta"))
 
 
-def position(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
+def position(ledger: DataFrame, until: str | None = None, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None) -> DataFrame:
     """(produto_id, saldo, valor, custo_medio) at a date: lots left, less shortages at their estimated cost; the average
     only where the balance is above 0.  Estimates look at the whole history beyond their first step."""
+    ledger = L.dealt(ledger, parts, "produto_id")
     lots = open_lots(ledger, until, hot, size).groupBy("produto_id").agg(F.sum("valor_resta").alias("lotes"))
     short = axis(L.valid(estimates(ledger, hot), until), hot, size).filter("falta > 0").groupBy("produto_id").agg(F.sum(F.col("falta").cast("double") * F.col("est_custo")).alias("faltas"))
     out = L.balances(ledger, until=until).join(lots, "produto_id", "left").join(short, "produto_id", "left")

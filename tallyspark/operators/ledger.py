@@ -14,6 +14,21 @@ from . import scan
 ORDER = ("data_mov", "tipo", "nota_id", "line_no")  # E sorts before S
 
 
+#: Rows of a ledger in a task of its windows, and parts from which it is dealt so; fewer are left to Spark.
+ROWS, PARTS = 250_000, 16
+
+
+def parts_of(rows: int) -> int | None:
+    """Into how many parts to deal a ledger of so many rows by product."""
+    return n if (n := -(-rows // ROWS)) >= PARTS else None
+
+
+def dealt(ledger: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """ledger in so many parts by its keys.  Spark joins small parts by their bytes when shuffled, which are few for the memory that
+    windows and joins over them take."""
+    return ledger.repartition(parts, *keys) if parts else ledger
+
+
 def valid(ledger: DataFrame, until: str | None = None) -> DataFrame:
     """Dated movements that aren't cancelled, up to a date."""
     out = ledger.filter(F.col("data_mov").isNotNull() & (F.col("status") != "cancelada"))

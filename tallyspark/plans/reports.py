@@ -52,7 +52,7 @@ SELECT round((SELECT sum(saldo) FROM pos), 2) AS estoque_qtd, round((SELECT sum(
 def dashboard(spark, d):
     month = assess.summary(T.items(spark, d), V.rates(spark)).filter(F.col("competencia") == MONTH)
     issues = V.table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("resolvida"))
-    out = reports.dashboard(costing.position(V.ledger(spark, d), S.DAY), month, issues)
+    out = reports.dashboard(costing.position(V.ledger(spark, d), S.DAY, parts=S.parts(spark, d)), month, issues)
     return out.select(*V.number("estoque_qtd", digits=2), *V.number("estoque_valor", digits=0), "produtos", *V.number("base_beneficiada", "icms_recolher", digits=1), "excecoes_abertas")
 
 
@@ -77,7 +77,7 @@ SELECT 'saldo negativo' AS regra, produto_id, round(saldo, 3) AS quantidade FROM
 UNION ALL SELECT 'saldo final negativo', produto_id, round(saldo, 3) FROM pos WHERE saldo < -1e-6 UNION ALL SELECT 'estoque sem valor', produto_id, round(saldo, 3) FROM pos WHERE saldo > 0 AND coalesce(valor, 0) = 0""")
 def stock_anomalies(spark, d):
     rows = V.ledger(spark, d)
-    out = reports.stock_anomalies(ledger.first_negative(rows), costing.exit_costs(rows), costing.position(rows, S.DAY))
+    out = reports.stock_anomalies(ledger.first_negative(rows), costing.exit_costs(rows, parts=S.parts(spark, d)), costing.position(rows, S.DAY, parts=S.parts(spark, d)))
     return out.select("regra", "produto_id", *V.number("quantidade", digits=3))
 
 

@@ -13,6 +13,10 @@ WITH = f"WITH {V.LEDGER_SQL}"
 DAY, FROM, TO = "1999-01-01", "1998-01-01", "1998-12-31"
 
 
+def parts(spark, d):
+    return ledger.parts_of(V.table(spark, d, "lineitem").count())  # Parquet's footers know it
+
+
 @Q.add(f"{WITH} SELECT nota_id, line_no, produto_id, tipo, data_mov, round(quantidade::DOUBLE, 4) AS quantidade FROM mov WHERE data_mov <= DATE '1996-06-30' AND tipo = 'S'")
 def scan_filter(spark, d):
     rows = ledger.valid(V.ledger(spark, d), "1996-06-30").filter("tipo = 'S'")
@@ -99,7 +103,7 @@ lots AS (SELECT s.produto_id, s.nota_id AS saida_nota, s.line_no AS saida_linha,
 
 @Q.add(f"{EST}{AXIS} SELECT produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, round(usado::DOUBLE, 4) AS quantidade, round(unit, 4) AS custo_unit FROM lots")
 def fifo_consumption(spark, d):
-    out = costing.consumption(V.ledger(spark, d))
+    out = costing.consumption(V.ledger(spark, d), parts=parts(spark, d))
     return out.select("produto_id", "saida_nota", "saida_linha", "entrada_nota", "entrada_linha", *V.number("quantidade", "custo_unit"))
 
 
@@ -107,7 +111,7 @@ def fifo_consumption(spark, d):
 SELECT a.produto_id, a.nota_id, a.line_no, a.data_mov, round(a.quantidade::DOUBLE, 4) AS quantidade, round(falta::DOUBLE, 4) AS falta, round(coalesce(c, 0) + falta::DOUBLE * est_custo, 2) AS custo_total
 FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no, data_mov) JOIN est USING (produto_id, data_mov) WHERE a.tipo = 'S'""")
 def exit_cost(spark, d):
-    return costing.exit_costs(V.ledger(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "falta"), *V.number("custo_total", digits=2))
+    return costing.exit_costs(V.ledger(spark, d), parts=parts(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "falta"), *V.number("custo_total", digits=2))
 
 
 @Q.add(f"{EST} SELECT produto_id, data_mov, round(est_custo, 4) AS est_custo FROM est")
@@ -120,7 +124,7 @@ SELECT a.produto_id, a.nota_id, a.line_no, a.data_mov, round(a.quantidade::DOUBL
   round((a.quantidade - coalesce(u, 0))::DOUBLE * (valor::DOUBLE / a.quantidade::DOUBLE), 2) AS valor_resta
 FROM axis a LEFT JOIN used USING (produto_id, nota_id, line_no, data_mov) WHERE a.tipo = 'E' AND a.quantidade > coalesce(u, 0)""")
 def open_lots(spark, d):
-    return costing.open_lots(V.ledger(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "resta"), *V.number("valor_resta", digits=2))
+    return costing.open_lots(V.ledger(spark, d), parts=parts(spark, d)).select("produto_id", "nota_id", "line_no", "data_mov", *V.number("quantidade", "resta"), *V.number("valor_resta", digits=2))
 
 
 CUT = EST.replace("WHERE status <> 'cancelada' AND data_mov IS NOT NULL)", f"WHERE status <> 'cancelada' AND data_mov IS NOT NULL AND data_mov <= DATE '{DAY}')")
@@ -132,7 +136,7 @@ val AS (SELECT a.produto_id, sum(CASE a.tipo WHEN 'E' THEN (a.quantidade - coale
   FROM axis a LEFT JOIN used ON a.tipo = 'E' AND used.produto_id = a.produto_id AND used.nota_id = a.nota_id AND used.line_no = a.line_no AND used.data_mov = a.data_mov JOIN est ON est.produto_id = a.produto_id AND est.data_mov = a.data_mov GROUP BY 1)
 SELECT produto_id, round(saldo::DOUBLE, 4) AS saldo, round(coalesce(valor, 0), 2) AS valor, round(CASE WHEN saldo > 0 THEN coalesce(valor, 0) / saldo::DOUBLE END, 2) AS custo_medio FROM bal LEFT JOIN val USING (produto_id)""")
 def stock_position(spark, d):
-    return costing.position(V.ledger(spark, d), DAY).select("produto_id", *V.number("saldo"), *V.number("valor", "custo_medio", digits=2))
+    return costing.position(V.ledger(spark, d), DAY, parts=parts(spark, d)).select("produto_id", *V.number("saldo"), *V.number("valor", "custo_medio", digits=2))
 
 
 @Q.add(f"""{WITH}, s AS (SELECT produto_id, sum(CASE WHEN data_mov < DATE '{FROM}' THEN CASE tipo WHEN 'E' THEN quantidade ELSE -quantidade END ELSE 0 END) AS abertura,
