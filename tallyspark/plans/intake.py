@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled
 from ..operators import ingest
 from . import views as V
 
@@ -149,7 +150,7 @@ def party_match(spark, d):
     parties = c.select(F.col("c_custkey").alias("parceiro_id"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string")).otherwise("").alias("cnpj"), F.upper("c_name").alias("nome"), F.concat("c_name", F.lit(" SA | Casa "), "c_name", F.lit(" Filial")).alias("variantes"))
     k, n = F.col("o_orderkey") % 5, F.col("c_name")
     name = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit("  SA"))).when(k == 2, F.concat(F.lit("casa "), n)).when(k == 3, "").otherwise(F.concat(n, F.lit(" X")))
-    rows = V.table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_custkey").cast("string").alias("cnpj"), name.alias("nome"))
+    rows = V.table(spark, d, "orders").join(shuffled(c), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_custkey").cast("string").alias("cnpj"), name.alias("nome"))
     return ingest.match_party(rows, parties).select("o_orderkey", "parceiro_id", "como")
 
 
