@@ -53,14 +53,15 @@ def _estimated(days: DataFrame) -> DataFrame:
 
 
 def _run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lots, exits) of rows of the ledger, which may begin with lots carried from a state (custo_lote set)."""
-    axis = costing.axis(rows)
-    used = costing.consumption(rows)
+    """(lots, exits) of rows of the ledger, which may begin with lots carried from a state (custo_lote set).  Both come from the rows on
+    the axis and from what exits took, which are kept: made for each, they would be shuffled for each."""
+    axis = costing.axis(rows).persist()
+    used = costing.overlaps(axis).persist()
     took = used.groupBy("produto_id", F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"))
     took = took.agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
     exits = axis.filter("tipo = 'S'").select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta").join(took, ["produto_id", "nota_id", "line_no", "data_mov"], "left")
     unit = F.coalesce(F.col("custo_lote"), F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
-    came = L.valid(rows).filter("tipo = 'E' and quantidade > 0").select("produto_id", "nota_id", "line_no", "data_mov", unit.alias("custo_lote"), F.when(~F.col("carried"), _month()).alias(_MONTH), F.col("quantidade").cast("decimal(15,3)").alias("d"))
+    came = axis.filter("tipo = 'E'").select("produto_id", "nota_id", "line_no", "data_mov", unit.alias("custo_lote"), F.when(~F.col("carried"), _month()).alias(_MONTH), F.col("quantidade").alias("d"))
     went = used.select(
         "produto_id", F.col("entrada_nota").alias("nota_id"), F.col("entrada_linha").alias("line_no"), F.col("entrada_data").alias("data_mov"), F.col("custo_unit").alias("custo_lote"), _month("saida_data").alias(_MONTH),
         (-F.col("quantidade")).cast("decimal(15,3)").alias("d"),
@@ -72,6 +73,13 @@ def _run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lots, exits.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", F.coalesce("custo_lotes", F.lit(0.0)).alias("custo_lotes"))
 
 
+def by_product(ledger: DataFrame, parts: int | None = None) -> DataFrame:
+    """What states need of a ledger, by product and kept, in `parts` (ledger.parts_of) or more.  All that is made of it here goes by
+    product, so whatever is made of the kept rows, of one part of them or another, is not shuffled again."""
+    rows = ledger.select("produto_id", *L.ORDER, "quantidade", "valor", "natureza", "status")
+    return rows.repartition(max(parts or 1, int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "produto_id").persist()
+
+
 def _plain(ledger: DataFrame) -> DataFrame:
     return ledger.select("produto_id", *L.ORDER, "quantidade", "valor", "natureza", "status", F.lit(None).cast("double").alias("custo_lote"), F.lit(False).alias("carried"))
 
@@ -83,10 +91,11 @@ def build(ledger: DataFrame) -> States:
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(produto_id, desde): the first day on which a product's rows differ between two states of the ledger."""
+    """(produto_id, desde): the first day on which a product's rows differ between two states of the ledger.  It is kept: a row a product
+    at most, which both states of the ledger are read for."""
     cols = ("produto_id", *L.ORDER, "quantidade", "valor", "natureza", "status")
     mark = lambda df, v: df.select(F.xxhash64(*cols).alias("h"), "produto_id", "data_mov", F.lit(v).alias("v"))
-    return mark(before, 1).unionByName(mark(after, -1)).groupBy("produto_id", "data_mov", "h").agg(F.sum("v").alias("v")).filter("v <> 0 and data_mov is not null").groupBy("produto_id").agg(F.min("data_mov").alias("desde"))
+    return mark(before, 1).unionByName(mark(after, -1)).groupBy("produto_id", "data_mov", "h").agg(F.sum("v").alias("v")).filter("v <> 0 and data_mov is not null").groupBy("produto_id").agg(F.min("data_mov").alias("desde")).persist()
 
 
 def since(changed: DataFrame, after: DataFrame, kept: States) -> States:

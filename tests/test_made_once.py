@@ -1,6 +1,6 @@
 """Tables that several parts of a plan read are made once."""
 
-from tallyspark.plans import books, skew
+from tallyspark.plans import books, imports, skew
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,3 +19,7 @@ def test_blocks_of_a_hot_product_read_the_ledger_once(spark):
     found = leaves(skew.hot_exit_cost(spark, SMALL))
     assert len(found) < 40
     assert not [text for kind, text in found if kind == "LogicalRelation" and "o_orderkey" in text]
+
+
+def test_states_read_the_ledger_once(spark):
+    assert not [text for kind, text in leaves(imports.recost_since(spark, SMALL)) if kind != "InMemoryRelation"]
