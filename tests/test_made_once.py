@@ -23,3 +23,8 @@ def test_blocks_of_a_hot_product_read_the_ledger_once(spark):
 
 def test_states_read_the_ledger_once(spark):
     assert not [text for kind, text in leaves(imports.recost_since(spark, SMALL)) if kind != "InMemoryRelation"]
+
+
+def test_files_are_ranked_without_their_items(spark):
+    judged = [text for _, text in leaves(imports.import_legacy(spark, SMALL)) if "como#" in text and "chave_acesso#" in text]
+    assert judged and not [text for text in judged if "itens#" in text]
