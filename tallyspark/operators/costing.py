@@ -43,7 +43,7 @@ def estimates(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     entry = (F.col("tipo") == "E") & F.col("valor").isNotNull() & (F.col("quantidade") > 0) & (F.col("natureza") != "ACERTO")
     exit_ = (F.col("tipo") == "S") & F.col("valor").isNotNull() & (F.col("quantidade") > 0)
     upto = W.partitionBy("produto_id").orderBy("data_mov").rangeBetween(_FIRST, 0)
-    whole = W.partitionBy("produto_id")
+    whole = upto.rangeBetween(_FIRST, W.unboundedFollowing)  # in the order of `upto`, so that one pass holds a product's rows for both
     parts = {"v": F.sum(F.when(entry, F.col("valor"))), "q": F.sum(F.when(entry, F.col("quantidade"))), "xv": F.sum(F.when(exit_, F.col("valor"))), "xq": F.sum(F.when(exit_, F.col("quantidade")))}
     unit = F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double"))
     first = F.min(F.when((F.col("tipo") == "E") & unit.isNotNull(), F.struct(*L.ORDER, unit.alias("u"))))
@@ -52,7 +52,10 @@ def estimates(ledger: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     chosen = lambda upto_, first_, all_: F.coalesce(nz(upto_), nz(first_["u"]), nz(all_), F.lit(0.0))
 
     def plain(dated: DataFrame) -> DataFrame:
-        return dated.withColumn("est_custo", chosen(ratio(parts["v"].over(upto), parts["q"].over(upto)), first.over(whole), ratio(parts["xv"].over(whole), parts["xq"].over(whole))))
+        # Named first: a sum that is used twice would be carried and made twice.
+        sums = dated.withColumns({"_v_": parts["v"].over(upto), "_q_": parts["q"].over(upto), "_f_": first.over(whole), "_xv_": parts["xv"].over(whole), "_xq_": parts["xq"].over(whole)})
+        cost = chosen(ratio(F.col("_v_"), F.col("_q_")), F.col("_f_"), ratio(F.col("_xv_"), F.col("_xq_")))
+        return sums.select(*dated.columns, cost.alias("est_custo"))
 
     def blocked(dated: DataFrame) -> DataFrame:
         days = dated.groupBy("produto_id", "data_mov").agg(*(c.alias(f"_{n}_") for n, c in parts.items()), first.alias("_f_"))  # a row a day
@@ -81,31 +84,50 @@ def _axis(rows: DataFrame) -> DataFrame:
     return rows.drop("corrente", "falta_total")
 
 
-def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None) -> DataFrame:
+def consumption(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE, parts: int | None = None, exits: tuple[str, ...] = ()) -> DataFrame:
     """(produto_id, saida_nota, saida_linha, entrada_nota, entrada_linha, quantidade, custo_unit, saida_data, entrada_data): which
     exit took how much of which lot.  A note's line may come on several days, so the dates belong to the key.  A lot costs its
-    custo_lote, where the ledger has that column and it is set, else valor / quantidade, 0 if either is missing."""
-    return overlaps(axis(L.dealt(ledger, parts, "produto_id"), hot, size), hot, size)
+    custo_lote, where the ledger has that column and it is set, else valor / quantidade, 0 if either is missing.
 
+    Rows that axis() has laid out already aren't laid out again.  `exits`: as in overlaps()."""
+    laid = ledger if "casado" in ledger.columns else axis(L.dealt(ledger, parts, "produto_id"), hot, size)
+    return overlaps(laid, hot, size, exits)
 
-def overlaps(rows: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE) -> DataFrame:
-    """consumption() from the rows of axis()."""
+
+def overlaps(rows: DataFrame, hot: DataFrame | None = None, size: int = scan.SIZE, exits: tuple[str, ...] = ()) -> DataFrame:
+    """consumption() from the rows of axis().
+
+    With `exits` (names of columns; not with `hot`) exits come along, so that nothing has to be joined to them again: (produto_id,
+    saida_nota, saida_linha, saida_data, lo, quantidade, custo_unit, saida).  Each exit has one row whose saida has its columns of those
+    names, with the first lot that it takes, if any; in its other lots' rows saida is null."""
     unit = F.coalesce(F.when((F.col("valor") != 0) & (F.col("quantidade") != 0), F.col("valor").cast("double") / F.col("quantidade").cast("double")), F.lit(0.0))
     unit = F.coalesce("custo_lote", unit) if "custo_lote" in rows.columns else unit
-    entry = F.when(F.col("tipo") == "E", F.struct("nota_id", "line_no", "data_mov", "hi", unit.alias("unit")))
-    exit_ = F.when(F.col("tipo") == "S", F.struct("nota_id", "line_no", "data_mov", "hi"))
+    key = ("nota_id", "line_no", "data_mov")
+    end = F.when(F.col("casado") > 0, F.col("hi")).alias("hi") if exits else "hi"
+    entry = F.when(F.col("tipo") == "E", F.struct(*(() if exits else key), "hi", unit.alias("unit")))
+    exit_ = F.when(F.col("tipo") == "S", F.struct(*key, end, *exits))
 
-    def plain(rows: DataFrame) -> DataFrame:
+    def plain(rows: DataFrame, *own: str) -> DataFrame:
         by = W.partitionBy("produto_id").orderBy("lo", "tipo")
         at = by.rowsBetween(_FIRST, 0)
         # Rows that start at one point see each other only at the last of them.
-        return rows.select("produto_id", "lo", F.last(entry, True).over(at).alias("e"), F.last(exit_, True).over(at).alias("s"), F.lead("lo").over(by).alias("proximo"))
+        return rows.select("produto_id", "lo", *own, F.last(entry, True).over(at).alias("e"), F.last(exit_, True).over(at).alias("s"), F.lead("lo").over(by).alias("proximo"))
+
+    used = F.least("e.hi", "s.hi") - F.col("lo")
+    taken = F.col("e").isNotNull() & F.col("s.hi").isNotNull() & (F.col("proximo").isNull() | (F.col("proximo") > F.col("lo"))) & (used > 0)
+    if exits:
+        # An exit that takes nothing has no place on the axis: it comes before all that have one, and ends nowhere.
+        seen = plain(rows.filter("casado > 0 or tipo = 'S'").withColumn("lo", F.when(F.col("casado") > 0, F.col("lo"))), "tipo")
+        taken, own = F.coalesce(taken, F.lit(False)), F.col("tipo") == "S"
+        return seen.filter(own | taken).select(
+            "produto_id", F.col("s.nota_id").alias("saida_nota"), F.col("s.line_no").alias("saida_linha"), F.col("s.data_mov").alias("saida_data"), "lo",
+            F.when(taken, used).alias("quantidade"), F.when(taken, F.col("e.unit")).alias("custo_unit"), F.when(own, F.struct(*(f"s.{c}" for c in exits))).alias("saida"),
+        )
 
     rows = rows.filter("casado > 0")
     # A sweep reads its rows three times; kept, they are laid out on the axis once.
     seen = _apart(rows, hot, plain, lambda r: scan.sweep(r.select("produto_id", "lo", "tipo", entry.alias("_e_"), exit_.alias("_s_")).persist(), F.col("_e_"), F.col("_s_"), size))
-    used = F.least("e.hi", "s.hi") - F.col("lo")
-    seen = seen.filter(F.col("e").isNotNull() & F.col("s").isNotNull() & (F.col("proximo").isNull() | (F.col("proximo") > F.col("lo"))) & (used > 0))
+    seen = seen.filter(taken)
     return seen.select(
         "produto_id", F.col("s.nota_id").alias("saida_nota"), F.col("s.line_no").alias("saida_linha"), F.col("e.nota_id").alias("entrada_nota"),
         F.col("e.line_no").alias("entrada_linha"), used.alias("quantidade"), F.col("e.unit").alias("custo_unit"),
@@ -119,9 +141,11 @@ def exit_costs(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan
     With `hot` the ledger and its rows on the axis are kept, since blocks read them many times, and hot products go apart from the others
     for good: each step that would take both together and part them again would make and shuffle all rows for each side."""
     if hot is None:
-        rows = L.dealt(ledger, parts, "produto_id")
-        # Lots without what the estimates need: a task's windows have less to hold.
-        return _costs(axis(estimates(rows)), consumption(ledger, parts=parts), parts)
+        # Shuffled and sorted as it is; what the windows are made of, which is wider, is worked out behind that.
+        rows = L.dealt(ledger, parts, "produto_id") if parts else ledger.repartition("produto_id")
+        laid = axis(estimates(rows.sortWithinPartitions("produto_id", *L.ORDER)))
+        # Lots and exits come from one pass by product: two would make and shuffle the ledger twice, and be joined by four keys.
+        return _costs(None, consumption(laid, exits=("quantidade", "falta", "est_custo")), parts)
 
     def kept(which: str | None):
         def make(rows: DataFrame) -> DataFrame:
@@ -134,13 +158,20 @@ def exit_costs(ledger: DataFrame, hot: DataFrame | None = None, size: int = scan
     return _apart(ledger.select("produto_id", *L.ORDER, "quantidade", "valor", "natureza", "status").persist(), hot, kept(None), kept(_ALL))
 
 
-def _costs(laid: DataFrame, lots: DataFrame, parts: int | None) -> DataFrame:
-    """exit_costs() from rows on the axis with their estimates, and from consumption()."""
+def _costs(laid: DataFrame | None, lots: DataFrame, parts: int | None) -> DataFrame:
+    """exit_costs() from rows on the axis with their estimates, and from consumption(); or from consumption() with its exits alone."""
     keys = ("produto_id", "nota_id", "line_no", "data_mov")
-    lots = lots.select("produto_id", F.col("saida_nota").alias("nota_id"), F.col("saida_linha").alias("line_no"), F.col("saida_data").alias("data_mov"), "quantidade", "custo_unit")
-    taken = L.dealt(lots, parts, *keys).groupBy(*keys).agg(F.sum(F.col("quantidade").cast("double") * F.col("custo_unit")).alias("custo_lotes"))
-    exits = laid.filter("tipo = 'S'").select(*keys, "quantidade", "falta", "est_custo")
-    out = L.dealt(exits, parts, *keys).join(taken, list(keys), "left")
+    lots = lots.withColumnsRenamed({"saida_nota": "nota_id", "saida_linha": "line_no", "saida_data": "data_mov"})
+    cost = F.sum(F.col("quantidade").cast("double") * F.col("custo_unit"))
+    if laid is None:
+        # Exits of one key share their lots, as in the join; one whose key isn't whole has none.
+        whole = F.col("produto_id").isNotNull() & F.col("nota_id").isNotNull() & F.col("line_no").isNotNull() & F.col("data_mov").isNotNull()
+        same = W.partitionBy(*keys).orderBy("lo").rowsBetween(_FIRST, W.unboundedFollowing)
+        out = lots.select(*keys, "saida", F.when(whole, cost.over(same)).alias("custo_lotes")).filter("saida is not null").select(*keys, "saida.*", "custo_lotes")
+    else:
+        taken = L.dealt(lots.select(*keys, "quantidade", "custo_unit"), parts, *keys).groupBy(*keys).agg(cost.alias("custo_lotes"))
+        exits = laid.filter("tipo = 'S'").select(*keys, "quantidade", "falta", "est_custo")
+        out = L.dealt(exits, parts, *keys).join(taken, list(keys), "left")
     total = F.coalesce("custo_lotes", F.lit(0.0)) + F.col("falta").cast("double") * F.col("est_custo")
     return out.select("produto_id", "nota_id", "line_no", "data_mov", "quantidade", "falta", total.alias("custo_total"))
 
