recon_notes: subsets of notes of one length are sought together

Symptom: recon_notes took 855 task seconds a GB on sf0.1, half of them (437) in Python.
Evidence: of 34,736 open notes 11,878 have more than 5 lines; first_subset is called for each and makes dozens of numpy calls on a few numbers, 0.8 to 1.0 ms a note. All of them alone: 9.4 s of CPU; together by length: 0.22 s, the same subsets found.
Fix: up to 16 lines, all notes of one length in a batch try their choices of 1, 2, ... lines as one array, in order of position; a note leaves once it has found its own, and 200,000 sums are made at a time. Longer notes go on as before.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1478 -> 1040 s, shuffle 1.04 -> 1.04 GB, spill 0.00 -> 0.00 GB, read 0.68 -> 0.68 GB, longest task 49 -> 36 s, most memory of a task 436 -> 436 MB; at 6 GB of input CPU 6911 -> 3725 s, shuffle 6.23 -> 6.23 GB, spill 0.00 -> 0.00 GB, read 4.27 -> 4.27 GB, longest task 45 -> 30 s, most memory of a task 436 -> 436 MB; with hot keys, at 1 GB of input CPU 1930 -> 864 s, shuffle 1.39 -> 1.03 GB, spill 0.00 -> 0.00 GB, read 0.90 -> 0.67 GB, longest task 57 -> 27 s, most memory of a task 588 -> 588 MB.

@@ -6,6 +6,7 @@ Book lines: numero, seq (order in the book), cfop, cents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -21,6 +22,8 @@ from . import scan
 SUBSET, IN_ROW = 6, 5
 #: Sums of a long note's lines that are in memory at a time (12 bytes each, and as much again to sort them).
 HELD = 4_000_000
+#: Lines of a note up to which all its subsets are tried, together with those of notes of its length; sums made at a time for that.
+AT_ONCE, TRIED = 16, 200_000
 PAIR = "array<struct<classe:string,seq_a:int,seq_b:int,difere:boolean>>"
 
 
@@ -113,11 +116,54 @@ def first_subset(v: list[int], target: int, held: int = HELD) -> list[int] | Non
     return None
 
 
+def _grown(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Choices of k of n positions in their order: of each, the place of its first k - 1 among the choices of k - 1, and its last."""
+    last = np.array([c[-1] for c in combinations(range(n), k - 1)]) if k > 1 else np.array([-1])
+    more = n - 1 - last
+    begin = np.repeat(np.cumsum(more) - more, more)
+    return np.repeat(np.arange(len(last)), more), np.repeat(last, more) + 1 + np.arange(len(begin)) - begin
+
+
+def first_subsets(values: np.ndarray, targets: np.ndarray) -> list[list[int] | None]:
+    """first_subset() for notes of equally many lines (values: a row a note): all choices of a size are tried for all notes at once, and a
+    note that has found its own leaves before those of the next size."""
+    notes, n = values.shape
+    found: list[list[int] | None] = [None] * notes
+    left, sums = np.arange(notes), np.zeros((notes, 1), np.int64)
+    for k in range(1, min(n, SUBSET) + 1):
+        ahead, last = _grown(n, k)
+        sums = sums[:, ahead] + values[left][:, last]
+        hits = sums == targets[left, None]
+        hit = hits.any(1)
+        if hit.any():
+            choices = list(combinations(range(n), k))
+            for note, at in zip(left[hit], hits[hit].argmax(1), strict=True):
+                found[note] = list(choices[at])
+            left, sums = left[~hit], sums[~hit]
+        if not len(left):
+            break
+    return found
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _search(cents: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The first smallest subset that makes the target, by position, for notes with many lines; null for others (no values)."""
     for values, target in cents:
-        yield pd.Series([None if v is None else first_subset(v.tolist(), int(t)) for v, t in zip(values, target, strict=True)], dtype=object)
+        found = np.full(len(values), None, object)
+        asked = np.flatnonzero(values.notna())
+        lines, goal = [values.iloc[i] for i in asked], target.iloc[asked].to_numpy(np.int64)
+        size = np.array([len(v) for v in lines], int)
+        for n in np.unique(size):
+            of = np.flatnonzero(size == n)
+            if n > AT_ONCE:
+                for i in of:
+                    found[asked[i]] = first_subset(lines[i].tolist(), int(goal[i]))
+                continue
+            step = max(1, TRIED // max(comb(n, k) for k in range(min(n, SUBSET) + 1)))
+            for part in (of[i : i + step] for i in range(0, len(of), step)):
+                for i, v in zip(part, first_subsets(np.stack([lines[i] for i in part]).astype(np.int64), goal[part]), strict=True):
+                    found[asked[i]] = v
+        yield pd.Series(found, dtype=object)
 
 
 def pair_notes(a: DataFrame, b: DataFrame) -> DataFrame:
