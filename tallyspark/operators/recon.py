@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from . import scan
 
-#: Lines in a subset, and lines of a note up to which all subsets are tried within the row.
-SUBSET, IN_ROW = 6, 5
+#: Lines in a subset.
+SUBSET = 6
 #: Sums of a long note's lines that are in memory at a time (12 bytes each, and as much again to sort them).
 HELD = 4_000_000
 #: Lines of a note up to which all its subsets are tried, together with those of notes of its length; sums made at a time for that.
@@ -27,9 +27,10 @@ AT_ONCE, TRIED = 16, 200_000
 PAIR = "array<struct<classe:string,seq_a:int,seq_b:int,difere:boolean>>"
 
 
-def by_number(book: DataFrame, name: str) -> DataFrame:
-    """One row a note: its lines in order.  A note has few lines."""
-    return book.groupBy("numero").agg(F.array_sort(F.collect_list(F.struct("seq", "cfop", "cents"))).alias(name))
+def by_number(book: DataFrame, name: str, total: str | None = None) -> DataFrame:
+    """One row a note: its lines in order, and their sum as `total`, null if an amount is.  A note has few lines."""
+    lines = F.sort_array(F.collect_list(F.struct("seq", "cfop", "cents"))).alias(name)
+    return book.groupBy("numero").agg(lines, *([F.when(F.count("cents") == F.count("*"), F.sum("cents")).alias(total)] if total else []))
 
 
 class _Choices:
@@ -147,7 +148,7 @@ def first_subsets(values: np.ndarray, targets: np.ndarray) -> list[list[int] | N
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _search(cents: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The first smallest subset that makes the target, by position, for notes with many lines; null for others (no values)."""
+    """The first smallest subset that makes the target, by position; null for notes without values."""
     for values, target in cents:
         found = np.full(len(values), None, object)
         asked = np.flatnonzero(values.notna())
@@ -172,21 +173,16 @@ def pair_notes(a: DataFrame, b: DataFrame) -> DataFrame:
     A number in one book only: its lines stand alone.  Equal sums: lines pair by falling amount if there are as many, else
     the first of each.  Else the smallest subset of the larger side, first by position, that makes the smaller side's sum
     pairs by its first line, and the rest of that side stands alone; without one the note needs a look (revisar)."""
-    rows = by_number(a, "la").join(by_number(b, "lb"), "numero", "full")
-    total = "aggregate({}, 0L, (s, x) -> s + x.cents)"
-    rows = rows.select("*", F.expr(total.format("la")).alias("sa"), F.expr(total.format("lb")).alias("sb"))
+    # Lambdas are interpreted, row by row: what an aggregate, a field of an array or sort_array can say isn't left to them.
+    rows = by_number(a, "la", "sa").join(by_number(b, "lb", "sb"), "numero", "full")
     rows = rows.withColumn("maior", F.expr("if(sa > sb, la, lb)")).withColumn("alvo", F.least("sa", "sb"))
     open_ = "la is not null and lb is not null and sa <> sb"
-    rows = rows.withColumn("valores", F.expr(f"if({open_}, transform(maior, x -> x.cents), null)")).withColumn("n", F.size("valores"))
-    fits = f"filter(sequence(1, shiftleft(1, n) - 1), m -> bit_count(m) <= {SUBSET} and aggregate(sequence(0, n - 1), 0L, (s, i) -> s + if(getbit(m, n - 1 - i) = 1, valores[i], 0L)) = alvo)"
-    best = f"array_max(transform({fits}, m -> named_struct('k', -bit_count(m), 'm', m)))"
-    rows = rows.withColumn("mascara", F.expr(f"if({open_} and n <= {IN_ROW}, {best}.m, null)")).withColumn("muitos", F.expr(f"if({open_} and n > {IN_ROW}, valores, null)"))
     # All notes pass the search, most without values: a branch of their own would make both books again.
-    rows = rows.withColumn("busca", _search("muitos", "alvo")).withColumn("idx", F.expr("coalesce(busca, if(mascara is null, null, filter(sequence(0, n - 1), i -> getbit(mascara, n - 1 - i) = 1)))"))
+    rows = rows.withColumn("valores", F.expr(f"if({open_}, maior.cents, null)")).withColumn("idx", _search("valores", "alvo"))
     alone = "transform({0}, x -> named_struct('classe', 'so_{1}', 'seq_a', {2}, 'seq_b', {3}, 'difere', false))"
     so_a, so_b = alone.format("la", "a", "x.seq", "null"), alone.format("lb", "b", "null", "x.seq")
-    sort = "array_sort(transform({}, x -> named_struct('v', -x.cents, 'seq', x.seq, 'cfop', x.cfop)))"
-    zipped = f"transform(zip_with({sort.format('la')}, {sort.format('lb')}, (p, q) -> named_struct('p', p, 'q', q)), z -> named_struct('classe', 'casada', 'seq_a', z.p.seq, 'seq_b', z.q.seq, 'difere', z.p.cfop <> z.q.cfop))"
+    sort = "sort_array(transform({}, x -> named_struct('v', -x.cents, 'seq', x.seq, 'cfop', x.cfop)))"
+    zipped = f"zip_with({sort.format('la')}, {sort.format('lb')}, (p, q) -> named_struct('classe', 'casada', 'seq_a', p.seq, 'seq_b', q.seq, 'difere', p.cfop <> q.cfop))"
     one = "array(named_struct('classe', 'casada', 'seq_a', {0}.seq, 'seq_b', {1}.seq, 'difere', {0}.cfop <> {1}.cfop))"
     rest = "transform(filter(maior, (x, i) -> not array_contains(idx, i)), x -> named_struct('classe', if(sa > sb, 'so_a', 'so_b'), 'seq_a', if(sa > sb, x.seq, null), 'seq_b', if(sa > sb, null, x.seq), 'difere', false))"
     found = f"concat(if(sa > sb, {one.format('la[idx[0]]', 'lb[0]')}, {one.format('la[0]', 'lb[idx[0]]')}), {rest})"

@@ -43,3 +43,15 @@ def test_odd_lines(spark):
         (4, "so_a", 1, None, False), (5, "casada", None, None, True), (5, "casada", 1, 1, True), (6, "so_b", None, 1, False),
     ]
     assert got == sorted(want, key=repr)
+
+
+def test_totals_and_subsets_are_not_interpreted(spark):
+    pairs = recon.pair_notes(*(spark.createDataFrame([(1, 1, "x", 5)], LINES),) * 2)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "array_sort(" not in plan
+
+
+def test_lines_by_number(spark):
+    rows = [(1, 2, "x", 5), (1, None, "x", 1), (1, 2, None, 7), (1, 2, "x", 5), (None, 1, "x", 3), (2, 1, "x", None), (2, 2, "x", 4)]
+    got = {r.numero: ([tuple(x) for x in r.l], r.s) for r in recon.by_number(spark.createDataFrame(rows, LINES), "l", "s").collect()}
+    assert got == {1: ([(None, "x", 1), (2, None, 7), (2, "x", 5), (2, "x", 5)], 18), None: ([(1, "x", 3)], 3), 2: ([(1, "x", None), (2, "x", 4)], None)}
